@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality, secrets
+from . import exact_dedup, mixing, pii, quality, secrets, substring_dedup, suffix_dedup
 from .common import documents
 
 QUERIES = {
     "op1_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(documents(spark, sf)).drop("row_key"),
     "op2_pii": lambda spark, sf: pii.pii_spans(documents(spark, sf)),
+    "op4_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_dedup(documents(spark, sf)),
+    "op5_substring_dedup": lambda spark, sf: substring_dedup.substring_dedup(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mixing.mix_sources(documents(spark, sf)).drop("source", "times"),
     "op8_quality": lambda spark, sf: quality.quality_rules(documents(spark, sf)),
     "op9_secrets": lambda spark, sf: secrets.secret_spans(documents(spark, sf)),
