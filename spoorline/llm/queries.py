@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, near_dedup, pii, quality, secrets, substring_dedup, suffix_dedup
 from .common import documents
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_dedup(documents(spark, sf)),
     "op5_substring_dedup": lambda spark, sf: substring_dedup.substring_dedup(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mixing.mix_sources(documents(spark, sf)).drop("source", "times"),
+    "op7_near_dedup": lambda spark, sf: near_dedup.near_dedup(documents(spark, sf)),
     "op8_quality": lambda spark, sf: quality.quality_rules(documents(spark, sf)),
     "op9_secrets": lambda spark, sf: secrets.secret_spans(documents(spark, sf)),
 }
