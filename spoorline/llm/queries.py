@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, pii, quality, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
 from .common import documents
 
 QUERIES = {
@@ -14,6 +16,7 @@ QUERIES = {
     "op7_near_dedup": lambda spark, sf: near_dedup.near_dedup(documents(spark, sf)),
     "op8_quality": lambda spark, sf: quality.quality_rules(documents(spark, sf)),
     "op9_secrets": lambda spark, sf: secrets.secret_spans(documents(spark, sf)),
+    "op10_sentencepiece": lambda spark, sf: pieces.sampled_pieces(documents(spark, sf)).withColumn("ids_hash", F.xxhash64("ids")).drop("ids"),
 }
 
 SQL = {
