@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -10,6 +10,7 @@ from .common import documents
 QUERIES = {
     "op1_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(documents(spark, sf)).drop("row_key"),
     "op2_pii": lambda spark, sf: pii.pii_spans(documents(spark, sf)),
+    "op3_lm_scoring": lambda spark, sf: lm_scoring.quality_score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     "op4_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_dedup(documents(spark, sf)),
     "op5_substring_dedup": lambda spark, sf: substring_dedup.substring_dedup(documents(spark, sf)),
     "op6_mixing": lambda spark, sf: mixing.mix_sources(documents(spark, sf)).drop("source", "times"),
