@@ -34,7 +34,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def winners(rows: DataFrame) -> DataFrame:
     """One row per digest: its winner's length and doc_id, and how many rows have it. Summed up before the shuffle."""
     best = F.min(F.struct((-F.col("length")).alias("l"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("copies")).select("digest", (-F.col("best.l")).alias("length"), F.col("best.i").alias("winner"), "copies")
+    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("copies")).select(F.col("digest").alias("digest"), (-F.col("best.l")).alias("length"), F.col("best.i").alias("winner"), "copies")
 
 
 def shard_of(shards: int):
@@ -83,6 +83,10 @@ def _bytes(column: pd.Series) -> np.ndarray:
 
 def _merge(history: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
     """One shard: build the slots of its historical digests, look the batch's groups up, return all winners."""
+    if not len(history):  # an absent side comes without columns
+        history = batch.iloc[:0]
+    elif not len(batch):
+        batch = history.iloc[:0]
     old = _bytes(history["digest"])
     mphf = MinimalPerfectHash(old)
     place = np.empty(len(old), dtype=np.int64)
