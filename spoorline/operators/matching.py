@@ -14,11 +14,11 @@ from .metrics import distance
 
 def near(a: DataFrame, b: DataFrame, radius: float, strict: bool = False) -> DataFrame:
     """Pairs of a frame within a radius. a: frame, x, y, ...; b: frame, px, py, ... Adds d."""
-    cells = lambda x, y: (F.floor(F.col(x) / radius).alias("cx"), F.floor(F.col(y) / radius).alias("cy"))
+    cells = lambda x, y: (F.floor(F.col(x) / radius).alias("__cx"), F.floor(F.col(y) / radius).alias("__cy"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     left = a.select("*", *cells("x", "y"))
-    right = b.select("*", *cells("px", "py")).withColumn("o", around).withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
-    j = left.join(right, ["frame", "cx", "cy"]).drop("cx", "cy").withColumn("d", distance())
+    right = b.select("*", *cells("px", "py")).withColumn("__o", around).withColumn("__cx", F.col("__cx") + F.col("__o.i")).withColumn("__cy", F.col("__cy") + F.col("__o.j")).drop("__o")
+    j = left.join(right, ["frame", "__cx", "__cy"]).drop("__cx", "__cy").withColumn("d", distance())
     return j.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_FRAME = Window.partitionBy("track_id").orderBy("frame")
+
+def by_frame() -> WindowSpec:
+    return Window.partitionBy("track_id").orderBy("frame")
 
 
 def velocity(tracks: DataFrame) -> DataFrame:
     """First differences along each track, with length and direction."""
-    d = tracks.withColumn("vx", F.lead("x").over(BY_FRAME) - F.col("x")).withColumn("vy", F.lead("y").over(BY_FRAME) - F.col("y")).where("vx is not null")
+    d = tracks.withColumn("vx", F.lead("x").over(by_frame()) - F.col("x")).withColumn("vy", F.lead("y").over(by_frame()) - F.col("y")).where("vx is not null")
     return d.withColumn("speed", F.hypot("vx", "vy")).withColumn("angle", F.atan2("vy", "vx"))
 
 
 def motion_vectors(tracks: DataFrame) -> DataFrame:
     """Differences between consecutive frames only."""
-    nxt = F.lead("frame").over(BY_FRAME)
-    d = tracks.withColumn("next", nxt).withColumn("dx", F.lead("x").over(BY_FRAME) - F.col("x")).withColumn("dy", F.lead("y").over(BY_FRAME) - F.col("y"))
+    nxt = F.lead("frame").over(by_frame())
+    d = tracks.withColumn("next", nxt).withColumn("dx", F.lead("x").over(by_frame()) - F.col("x")).withColumn("dy", F.lead("y").over(by_frame()) - F.col("y"))
     return d.where("next = frame + 1").select("track_id", "frame", "x", "y", "dx", "dy")
 
 
@@ -50,7 +52,7 @@ def baseline_scores(traces: DataFrame, value: str, frames: int = 11) -> DataFram
 
 def peak_candidates(traces: DataFrame, value: str, height: float) -> DataFrame:
     """Strict local maxima at or above a height (plateaus left to the grouped form below)."""
-    a, b = F.lag(value).over(BY_FRAME), F.lead(value).over(BY_FRAME)
+    a, b = F.lag(value).over(by_frame()), F.lead(value).over(by_frame())
     return traces.withColumn("a", a).withColumn("b", b).where((F.col(value) > F.col("a")) & (F.col(value) > F.col("b")) & (F.col(value) >= height)).drop("a", "b")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring
+from . import geometry, scoring
 
-ALL = {**scoring.QUERIES}
+ALL = {**scoring.QUERIES, **geometry.QUERIES}
 
 
 def queries() -> dict:

@@ -43,7 +43,7 @@ def _tracking_sql(queries: str, rule: str) -> str:
 def curves(spark, sf):
     """A score curve per track: running hit share (percent) at every fifth frame."""
     p = m.paired(v.tracks(spark, sf), v.predictions(spark, sf), "left").withColumn("hit", F.when(F.col("d") <= 4, 100.0).otherwise(0.0))
-    run = F.avg("hit").over(s.BY_FRAME.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.avg("hit").over(s.by_frame().rowsBetween(Window.unboundedPreceding, 0))
     return p.withColumn("score", F.round(run, 6)).where("frame % 5 = 0").select("track_id", F.col("frame").alias("k"), "score")
 
 
