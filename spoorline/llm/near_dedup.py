@@ -7,8 +7,9 @@ Pairs within four standard errors of the threshold or above are confirmed on the
 
 Documents with equal sets are one class, so copies cost nothing. In each bucket of a band, every class is first held
 against two of its members only; links join into components, and then candidates of one bucket that are still in
-different components are held against each other. No pair that could change a component goes untested, and a large group of
-near copies is never paired out.
+different components are held against each other. Their rarest shingles bound what two sets can have in common, exactly,
+and pairs that cannot reach the threshold drop out before full sets are read. No pair that could change a component goes
+untested, and a large group of near copies is never paired out.
 
 Defined results: texts without words (null, empty) have no shingles, are linked with nothing and stay; a text of one or
 two words has one shingle; components are named by their smallest doc_id, null doc_ids last; repeated rows are equal sets;
@@ -132,9 +133,40 @@ def estimate(a: str, b: str) -> Column:
     return (1 - reduce(lambda p, q: p + q, unlike) / F.lit(float(MINIMA)) - CHANCE) / (1 - CHANCE)
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and one text of each wanted class."""
+    keys = wanted.select("cls").join(classes.select("cls", F.col("first.k").alias("row_key")), "cls")
+    return _rows(docs).join(keys, "row_key").select("cls", "text")
+
+
+def rarest_shingles(docs: DataFrame, classes: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
+    """cls, n, shared and the class's rarest shingles (rare) with the last of them in order (last), for among: cls, comp.
+
+    Shingles are in one order for all: first those of one component only, then by how many of the classes have them.
+    shared counts the others: no class of another component has more in common with it. A set of n shingles keeps so many
+    rare ones that a similar enough set must have some of them.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            for a, raw, at in slices(batch["text"]):
+                found = shingle_sets(raw, at, size)
+                of = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]) + a)
+                yield pa.RecordBatch.from_arrays([batch["cls"].take(of), batch["comp"].take(of), pa.array(np.concatenate(found).view(np.int64))], names=["cls", "comp", "shingle"])
+
+    texts = _texts_of(docs, classes, among).dropDuplicates(["cls"]).join(among, "cls").select("cls", "comp", "text")
+    each = texts.mapInArrow(rows, "cls binary, comp binary, shingle long")
+    common = each.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
+    rarity = F.when(F.col("c0") == F.col("c1"), 0).otherwise(F.col("c")).alias("r")
+    ranked = each.select("cls", "shingle").join(common.select("shingle", rarity), "shingle")
+    # A document's own set is what one row holds here.
+    sets = ranked.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("r", "shingle"))).alias("all"), F.count("*").alias("n"), F.count_if(F.col("r") > 0).alias("shared"))
+    rare = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return sets.select("cls", "n", "shared", rare.alias("rare")).select("cls", "n", "shared", F.col("rare.shingle").alias("rare"), F.element_at("rare", -1).alias("last"))
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (u, v of classes) whose full sets are similar enough. Only texts of classes in pairs are turned into sets."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes.select("cls", F.col("first.k").alias("row_key")), "cls")
 
     def sets(batches):
         for batch in batches:
@@ -143,7 +175,8 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
                 # fixed-width numbers in a binary column
                 yield pa.RecordBatch.from_arrays([batch["cls"].slice(a, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "members"])
 
-    texts = _rows(docs).join(wanted, "row_key").select("cls", "text").mapInArrow(sets, "cls binary, members binary").dropDuplicates(["cls"])
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+    texts = _texts_of(docs, classes, wanted).mapInArrow(sets, "cls binary, members binary").dropDuplicates(["cls"])
     both = pairs.join(texts.select(F.col("cls").alias("u"), F.col("members").alias("a")), "u").join(texts.select(F.col("cls").alias("v"), F.col("members").alias("b")), "v")
 
     def similar(batches):
@@ -164,7 +197,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     least = percent / 100 - MARGIN
     signed = checkpoint(_rows(docs).mapInArrow(lambda b: _signed(size, b), "doc_id long, row_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
-    classes = checkpoint(signed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = checkpoint(signed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     sigs = classes.select("cls", "sig")
     banded = classes.select("cls", F.explode("bands").alias("band"))
 
@@ -179,15 +212,44 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     links = checkpoint(confirmed(docs, classes, tested, percent, size))
     comps = checkpoint(components(links))
 
-    named = shared.select("band", "cls").join(comps, F.col("cls") == F.col("node"), "left").select("band", "cls", F.coalesce("component", "cls").alias("comp"))
-    open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-    rest = checkpoint(named.join(open_, "band").join(sigs, "cls").select("band", "cls", "comp", "sig"))
-    x, y = (rest.select("band", *(F.col(c).alias(c + s) for c in ("cls", "comp", "sig"))) for s in "xy")
-    more = x.join(y, "band").where((F.col("clsx") < F.col("clsy")) & (F.col("compx") != F.col("compy")) & (estimate("sigx", "sigy") >= least))
-    more = checkpoint(more.select(F.col("clsx").alias("u"), F.col("clsy").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = checkpoint(links.unionByName(confirmed(docs, classes, more, percent, size)))
-        comps = checkpoint(components(links))
+    def still_apart(members: DataFrame) -> DataFrame:
+        """Members (band, cls, ...) of the buckets whose classes are not yet one component, with comp."""
+        named = members.join(comps, F.col("cls") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
+        return named.join(open_, "band")
+
+    fields = ("cls", "comp", "n", "shared", "rare", "last", "sig")
+
+    def possible(x: str, y: str) -> Column:
+        """Exact bounds on what two sets have in common, then the estimate. Of the set whose rare shingles end first, those that are not rare may all be common."""
+        n = F.col(f"n{x}") + F.col(f"n{y}")
+        most = F.size(F.array_intersect(f"rare{x}", f"rare{y}")) + F.when(F.col(f"last{x}") <= F.col(f"last{y}"), F.col(f"n{x}") - F.size(f"rare{x}")).otherwise(F.col(f"n{y}") - F.size(f"rare{y}"))
+        enough = lambda c: (100 + percent) * c >= percent * n
+        return (F.col(f"comp{x}") != F.col(f"comp{y}")) & enough(F.least(f"shared{x}", f"shared{y}")) & (estimate(f"sig{x}", f"sig{y}") >= least) & enough(most)
+
+    def sided(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("band", *(F.col(c).alias(c + side) for c in fields))
+
+    # First against the class that shares most of itself, which in a group of copies is their source; then all that is left.
+    rest = shared.select("band", "cls")
+    for final in (False, True):
+        rows = checkpoint(still_apart(rest))
+        # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
+        able = rarest_shingles(docs, classes, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
+        rows = checkpoint(rows.join(able, "cls").join(sigs, "cls").select("band", *fields))
+        rest = rows.select("band", "cls")
+        x = sided(rows, "x")
+        if final:
+            more = x.join(sided(rows, "y"), "band").where((F.col("clsx") < F.col("clsy")) & possible("x", "y"))
+        else:
+            middle = F.max_by(F.struct(*fields), F.struct(F.col("shared") / F.col("n"), "cls")).alias("m")
+            more = x.join(rows.groupBy("band").agg(middle).select("band", *(F.col(f"m.{c}").alias(c + "y") for c in fields)), "band").where(possible("x", "y"))
+        more = more.select(F.least("clsx", "clsy").alias("u"), F.greatest("clsx", "clsy").alias("v")).distinct()
+        more = checkpoint(more.join(tested, ["u", "v"], "left_anti"))
+        if not more.isEmpty():
+            links = checkpoint(links.unionByName(confirmed(docs, classes, more, percent, size)))
+            comps = checkpoint(components(links))
+            tested = tested.unionByName(more)
     heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
     of_class = heads.select("cls", "comp").join(least_of, "comp").select("cls", "first")
