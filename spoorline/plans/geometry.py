@@ -35,7 +35,8 @@ def sources(sp, sf):
 
 
 def rounded(df, digits=4, *cols):
-    return df.withColumns({c: F.round(c, digits) for c in cols or ("x", "y")})
+    """Rounded a hair above ties, which two engines may sum to either side of."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, digits) for c in cols or ("x", "y")})
 
 
 def _field_sql(weight: str, reach: float | None) -> str:
@@ -132,9 +133,9 @@ QUERIES = {
     "field_idw": (lambda sp, sf: i.dense_field(sources(sp, sf), grid(sp, sf), "idw", 20.0), _field_sql("1 / (d * d + 400)", None)),
     "idw_power": (lambda sp, sf: i.idw_power(sources(sp, sf), grid(sp, sf)), with_(TRACKS, FLOW, GRID, SOURCES, "pr AS (SELECT g.frame, gx, gy, 1 / power(sqrt((g.x - s.px) * (g.x - s.px) + (g.y - s.py) * (g.y - s.py)) + 1e-6, 2) AS w, dx, dy FROM grid g JOIN src s ON g.frame = s.frame)") + "SELECT frame, gx, gy, round(sum(w * dx) / sum(w), 5) AS vx, round(sum(w * dy) / sum(w), 5) AS vy FROM pr GROUP BY ALL"),
     "motion_idw_blend": (
-        lambda sp, sf: i.blended_motion(*_motion_points(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 60.0),
+        lambda sp, sf: rounded(i.blended_motion(*_motion_points(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 60.0), 4, "mx", "my"),
         with_(TRACKS, FLOW, "pt AS (SELECT * FROM tracks WHERE track_id % 4 <> 0)", "sr AS (SELECT track_id AS s_id, frame, x AS px, y AS py, mx, my FROM moves WHERE mx IS NOT NULL AND track_id % 4 = 0)", "pr AS (SELECT pt.track_id, pt.frame, s_id, mx, my, sqrt((pt.x - px) * (pt.x - px) + (pt.y - py) * (pt.y - py)) AS d FROM pt JOIN sr ON pt.frame = sr.frame)", "mo AS (SELECT track_id, frame, count(*) FILTER (d < 1e-6) AS hits, arg_min({'x': mx, 'y': my}, s_id) FILTER (d < 1e-6) AS e, sum(1 / (d * d)) FILTER (d >= 1e-6) AS w, sum(mx / (d * d)) FILTER (d >= 1e-6) AS wx, sum(my / (d * d)) FILTER (d >= 1e-6) AS wy FROM pr WHERE d <= 60 GROUP BY ALL)")
-        + "SELECT p.track_id, p.frame, round(CASE WHEN hits > 0 THEN e.x WHEN w > 0 THEN 0.9 * wx / w + 0.1 * coalesce(f.dx, 0) ELSE coalesce(f.dx, 0) END, 4) AS mx, round(CASE WHEN hits > 0 THEN e.y WHEN w > 0 THEN 0.9 * wy / w + 0.1 * coalesce(f.dy, 0) ELSE coalesce(f.dy, 0) END, 4) AS my FROM pt p LEFT JOIN flow f ON " + HIT.format(t="p.frame", x="p.x", y="p.y") + " LEFT JOIN mo ON mo.track_id = p.track_id AND mo.frame = p.frame",
+        + "SELECT p.track_id, p.frame, round(CASE WHEN hits > 0 THEN e.x WHEN w > 0 THEN 0.9 * wx / w + 0.1 * coalesce(f.dx, 0) ELSE coalesce(f.dx, 0) END + 1e-9, 4) AS mx, round(CASE WHEN hits > 0 THEN e.y WHEN w > 0 THEN 0.9 * wy / w + 0.1 * coalesce(f.dy, 0) ELSE coalesce(f.dy, 0) END + 1e-9, 4) AS my FROM pt p LEFT JOIN flow f ON " + HIT.format(t="p.frame", x="p.x", y="p.y") + " LEFT JOIN mo ON mo.track_id = p.track_id AND mo.frame = p.frame",
     ),
     "bilinear_sample": (
         lambda sp, sf: rounded(i.bilinear(v.tracks(sp, sf).select((F.col("track_id") * 1000 + F.col("frame")).alias("point_id"), (F.col("frame") % 80 + 23941).cast("int").alias("frame"), (F.col("x") / 10).alias("x"), (F.col("y") / 15).alias("y")), v.pixels(sp, sf)), 4, "value"),
@@ -146,7 +147,7 @@ QUERIES = {
     "propagate_backward3": (lambda sp, sf: rounded(p.propagate(v.tracks(sp, sf).where("frame = 20"), v.flow(sp, sf), CELL_X, CELL_Y, 10, True), 3), _propagated_sql(True)),
     "segment_flow_blend": (
         lambda sp, sf: rounded(p.blend_segments(v.anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 10), 3),
-        with_(TRACKS, FLOW, ANCHORS, SEG, _AHEAD, _BACK) + "SELECT a.track_id, a.frame, round((1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.x + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.x, 3) AS x, round((1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.y + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.y, 3) AS y FROM ahead a JOIN back b ON a.track_id = b.track_id AND a.t0 = b.t0 AND a.frame = b.frame WHERE a.frame > a.t0 AND a.frame < a.t1 UNION ALL SELECT track_id, frame, round(x, 3), round(y, 3) FROM anchors",
+        with_(TRACKS, FLOW, ANCHORS, SEG, _AHEAD, _BACK) + "SELECT a.track_id, a.frame, round((1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.x + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.x + 1e-9, 3) AS x, round((1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.y + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.y + 1e-9, 3) AS y FROM ahead a JOIN back b ON a.track_id = b.track_id AND a.t0 = b.t0 AND a.frame = b.frame WHERE a.frame > a.t0 AND a.frame < a.t1 UNION ALL SELECT track_id, frame, round(x, 3), round(y, 3) FROM anchors",
     ),
     "segment_linear_threshold": (lambda sp, sf: rounded(p.blend_segments(v.anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 10, 10), 3), with_(TRACKS, ANCHORS, SEG, LINEAR) + "SELECT track_id, frame, round(x, 3) AS x, round(y, 3) AS y FROM lin UNION SELECT track_id, frame, round(x, 3), round(y, 3) FROM anchors"),
     "anchor_correction": (lambda sp, sf: p.anchor_corrections(v.anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 10), with_(TRACKS, FLOW, ANCHORS, SEG, _AHEAD) + "SELECT s.track_id, s.t1 AS frame, round(s.x1 - a.x, 3) AS cx, round(s.y1 - a.y, 3) AS cy FROM seg s JOIN ahead a ON s.track_id = a.track_id AND s.t0 = a.t0 AND a.frame = s.t1"),

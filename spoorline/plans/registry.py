@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry, scoring
+from . import geometry, images, scoring
 
-ALL = {**scoring.QUERIES, **geometry.QUERIES}
+ALL = {**scoring.QUERIES, **geometry.QUERIES, **images.QUERIES}
 
 
 def queries() -> dict:
