@@ -59,7 +59,7 @@ def pareto_take(sizes: DataFrame, t: DataFrame, seed: int = 20) -> DataFrame:
     rows = join_small(sizes.withColumn("__group", key), t.withColumn("__group", key).drop("source"), ["__group"], "left")
     p = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("left") / F.greatest(F.col("source_size"), F.lit(1))))
     # Odds of inclusion: the source's fraction, halved for documents far above the mean size.
-    odds = (p / (1 - p)) * F.pow(F.col("mean") / (F.col("mean") + F.col("size") + 1e-9), F.lit(0.5))
+    odds = (p / (1 - p)) * F.pow((F.col("mean") + 1) / (F.col("mean") + F.col("size") + 1), F.lit(0.5))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11).cast("double") + 0.5) / float(1 << 53)
     rows = rows.withColumn("rank", (u / (1 - u)) / odds)
     # rank/(1+rank) lies in (0, 1) whatever the odds.

@@ -133,13 +133,12 @@ def estimate(a: str, b: str) -> Column:
     return (1 - reduce(lambda p, q: p + q, unlike) / F.lit(float(MINIMA)) - CHANCE) / (1 - CHANCE)
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls and one text of each wanted class."""
-    keys = wanted.select("cls").join(classes.select("cls", F.col("first.k").alias("row_key")), "cls")
-    return _rows(docs).join(keys, "row_key").select("cls", "text")
+    return _rows(docs).join(wanted.select(F.col("cls").alias("row_key")), "row_key").select(F.col("row_key").alias("cls"), "text").dropDuplicates(["cls"])
 
 
-def rarest_shingles(docs: DataFrame, classes: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
+def rarest_shingles(docs: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
     """cls, n, shared and the class's rarest shingles (rare) with the last of them in order (last), for among: cls, comp.
 
     Shingles are in one order for all: first those of one component only, then by how many of the classes have them.
@@ -154,8 +153,8 @@ def rarest_shingles(docs: DataFrame, classes: DataFrame, among: DataFrame, perce
                 of = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]) + a)
                 yield pa.RecordBatch.from_arrays([batch["cls"].take(of), batch["comp"].take(of), pa.array(np.concatenate(found).view(np.int64))], names=["cls", "comp", "shingle"])
 
-    texts = _texts_of(docs, classes, among).dropDuplicates(["cls"]).join(among, "cls").select("cls", "comp", "text")
-    each = texts.mapInArrow(rows, "cls binary, comp binary, shingle long")
+    texts = _texts_of(docs, among).join(among, "cls").select("cls", "comp", "text")
+    each = texts.mapInArrow(rows, "cls long, comp long, shingle long")
     common = each.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
     rarity = F.when(F.col("c0") == F.col("c1"), 0).otherwise(F.col("c")).alias("r")
     ranked = each.select("cls", "shingle").join(common.select("shingle", rarity), "shingle")
@@ -165,7 +164,7 @@ def rarest_shingles(docs: DataFrame, classes: DataFrame, among: DataFrame, perce
     return sets.select("cls", "n", "shared", rare.alias("rare")).select("cls", "n", "shared", F.col("rare.shingle").alias("rare"), F.element_at("rare", -1).alias("last"))
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (u, v of classes) whose full sets are similar enough. Only texts of classes in pairs are turned into sets."""
 
     def sets(batches):
@@ -176,7 +175,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
                 yield pa.RecordBatch.from_arrays([batch["cls"].slice(a, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "members"])
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    texts = _texts_of(docs, classes, wanted).mapInArrow(sets, "cls binary, members binary").dropDuplicates(["cls"])
+    texts = _texts_of(docs, wanted).mapInArrow(sets, "cls long, members binary")
     both = pairs.join(texts.select(F.col("cls").alias("u"), F.col("members").alias("a")), "u").join(texts.select(F.col("cls").alias("v"), F.col("members").alias("b")), "v")
 
     def similar(batches):
@@ -189,7 +188,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
 
-    return both.mapInArrow(similar, "u binary, v binary")
+    return both.mapInArrow(similar, "u long, v long")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
@@ -197,7 +196,9 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     least = percent / 100 - MARGIN
     signed = checkpoint(_rows(docs).mapInArrow(lambda b: _signed(size, b), "doc_id long, row_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
-    classes = checkpoint(signed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    # A class is named by the key of its first row.
+    classes = signed.where("cls is not null").groupBy(F.col("cls").alias("digest")).agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes.withColumn("cls", F.col("first.k")))
     sigs = classes.select("cls", "sig")
     banded = classes.select("cls", F.explode("bands").alias("band"))
 
@@ -209,7 +210,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     shared = checkpoint(banded.join(buckets, "band"))
     stars = shared.select("cls", F.explode(F.array("low", "high")).alias("mid")).where("cls <> mid").select(F.least("cls", "mid").alias("u"), F.greatest("cls", "mid").alias("v")).distinct()
     tested = checkpoint(likely(stars))
-    links = checkpoint(confirmed(docs, classes, tested, percent, size))
+    links = checkpoint(confirmed(docs, tested, percent, size))
     comps = checkpoint(components(links))
 
     def still_apart(members: DataFrame) -> DataFrame:
@@ -230,29 +231,28 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     def sided(rows: DataFrame, side: str) -> DataFrame:
         return rows.select("band", *(F.col(c).alias(c + side) for c in fields))
 
-    # First against the class that shares most of itself, which in a group of copies is their source; then all that is left.
-    rest = shared.select("band", "cls")
-    for final in (False, True):
-        rows = checkpoint(still_apart(rest))
-        # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
-        able = rarest_shingles(docs, classes, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
-        rows = checkpoint(rows.join(able, "cls").join(sigs, "cls").select("band", *fields))
-        rest = rows.select("band", "cls")
-        x = sided(rows, "x")
-        if final:
-            more = x.join(sided(rows, "y"), "band").where((F.col("clsx") < F.col("clsy")) & possible("x", "y"))
-        else:
-            middle = F.max_by(F.struct(*fields), F.struct(F.col("shared") / F.col("n"), "cls")).alias("m")
-            more = x.join(rows.groupBy("band").agg(middle).select("band", *(F.col(f"m.{c}").alias(c + "y") for c in fields)), "band").where(possible("x", "y"))
-        more = more.select(F.least("clsx", "clsy").alias("u"), F.greatest("clsx", "clsy").alias("v")).distinct()
-        more = checkpoint(more.join(tested, ["u", "v"], "left_anti"))
-        if not more.isEmpty():
-            links = checkpoint(links.unionByName(confirmed(docs, classes, more, percent, size)))
-            comps = checkpoint(components(links))
-            tested = tested.unionByName(more)
-    heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "first")
+    # Once more against one class a bucket, the one with most open buckets, which in a group of copies is near its source.
+    rows = checkpoint(still_apart(shared.select("band", "cls")))
+    wide = rows.join(rows.groupBy("cls").agg(F.count("*").alias("reach")), "cls")
+    middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
+    central = rows.join(middle, "band").where("comp <> m.comp").select(F.least("cls", "m.cls").alias("u"), F.greatest("cls", "m.cls").alias("v")).distinct()
+    central = checkpoint(likely(central.join(tested, ["u", "v"], "left_anti")))
+    links = checkpoint(links.unionByName(confirmed(docs, central, percent, size)))
+    comps = checkpoint(components(links))
+    tested = tested.unionByName(central)
+    rows = checkpoint(still_apart(rows.select("band", "cls")))
+    # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
+    able = rarest_shingles(docs, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
+    rows = rows.join(checkpoint(able.join(sigs, "cls")), "cls")
+    more = sided(rows, "x").join(sided(rows, "y"), "band").where((F.col("clsx") < F.col("clsy")) & possible("x", "y"))
+    more = more.select(F.col("clsx").alias("u"), F.col("clsy").alias("v")).distinct()
+    more = checkpoint(more.join(tested, ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        links = checkpoint(links.unionByName(confirmed(docs, more, percent, size)))
+        comps = checkpoint(components(links))
+    heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select(F.col("digest"), F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
-    of_class = heads.select("cls", "comp").join(least_of, "comp").select("cls", "first")
+    of_class = heads.select("digest", "comp").join(least_of, "comp").select(F.col("digest").alias("cls"), "first")
     return signed.join(of_class, "cls", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("first", place).alias("first"), place.alias("place"))
 
 

@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .common import mix, prefix_hashes, range_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, log_inclusion double, round_trip boolean, ids array<int>"
 CHUNK = 1 << 20
+#: Characters of distinct chunks whose lattices are kept.
+KEPT = 1_000_000
 _STEP, _ROUND, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -46,6 +49,8 @@ def gumbel(key: np.ndarray) -> np.ndarray:
 
 
 class Model:
+    """A SentencePiece model: pieces, weights, and what it takes to cut texts into chunks."""
+
     def __init__(self, path: str = MODEL, alpha: float = 1.0):
         from sentencepiece import SentencePieceProcessor
 
@@ -53,7 +58,9 @@ class Model:
         n = sp.get_piece_size()
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.byte = {int(t[3:5], 16): i for i, t in enumerate(self.text) if sp.is_byte(i)}
-        self.bytes = {i: b for b, i in self.byte.items()}
+        self.raw = [t.replace("▁", " ").encode() for t in self.text]
+        for b, i in self.byte.items():
+            self.raw[i] = bytes([b])
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         score = np.array([sp.get_score(i) for i in plain])
         rank = np.empty(len(plain))
@@ -79,33 +86,75 @@ class Model:
             some = ends - begins >= length
             self.may[mix(range_hashes(prefix, begins[some], begins[some] + length)) >> np.uint64(42)] = True
 
+    @property
+    def lattice(self) -> Lattice:
+        if not hasattr(self, "_lattice"):
+            self._lattice = Lattice(self)
+        return self._lattice
+
     def decode(self, ids) -> str:
-        """The text of a sequence of ids."""
-        out, run = [], bytearray()
-        for i in ids:
-            if (b := self.bytes.get(i)) is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(self.text[i])
-        return ("".join(out) + run.decode("utf-8", "replace")).replace("▁", " ")[1:]
+        """The text of a sequence of ids: what pieces stand for in UTF-8, end to end."""
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 class Lattice:
-    """The lattices of distinct chunks, end to end: for each place and length, the piece and its probability given the place."""
+    """The lattices of distinct chunks, end to end. An edge is a piece at a place; edges stand in order of place, long ones
+    first, which are the likely ones.
+
+    log_prob is an edge's probability given its place: the share of all segmentations from there on that begin with it.
+    Chunks are kept between slices; when they outgrow KEPT characters, only those seen often stay.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.seen = np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        self.start = self.stop = self.end = self.place = self.next = none
+        self.ids, self.log_prob = none.astype(np.int32), none.astype(np.float64)
+        self.first, self.upto = np.zeros(1, dtype=np.int64), np.zeros(0)
+        self.spelled: list[list[int]] = []
 
-    def __init__(self, model: Model, chunks: list[str]):
+    def numbers(self, parts: list[list[str]]) -> list[list[int]]:
+        """The number of every chunk; new chunks get their lattices."""
+        if len(self.end) > KEPT:
+            often = [c for c, n in zip(self.number, self.seen.tolist(), strict=True) if n > 3]
+            self.clear()
+            self.numbers([often])
+        out = [list(map(self.number.__getitem__, p)) for p in parts]
+        new = list(islice(self.number, len(self.seen), None))
+        if new:
+            self.add(new)
+        self.seen = np.append(self.seen, np.zeros(len(new), dtype=np.int64)) + np.bincount(np.fromiter(chain.from_iterable(out), dtype=np.int64), minlength=len(self.number))
+        return out
+
+    def add(self, chunks: list[str]) -> None:
+        old, model = self.__dict__.copy(), self.model
+        self.spelled = []
+        self.build(model, chunks)
+        n, e = len(old["end"]), len(old["place"])
+        for name, by in (("start", n), ("stop", n), ("end", n), ("place", n), ("next", n)):
+            setattr(self, name, np.append(old[name], getattr(self, name) + by))
+        self.first = np.append(old["first"][:-1], self.first + e)
+        self.log_prob = np.append(old["log_prob"], self.log_prob)
+        self.ids = np.append(old["ids"], np.where(self.ids < -1, self.ids - len(old["spelled"]), self.ids).astype(np.int32))
+        self.spelled = old["spelled"] + self.spelled
+        self.upto = np.append(old["upto"], self.upto)
+
+    def build(self, model: Model, chunks: list[str]) -> None:
         size = np.array([len(c) for c in chunks], dtype=np.int64)
         self.stop = np.cumsum(size)
         self.start = self.stop - size
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        n, m = len(codes), model.longest
+        n = len(codes)
         self.end = np.repeat(self.stop, size)
         prefix = prefix_hashes(codes.astype(np.uint64) + np.uint64(1))
         i, found = np.arange(n), []
-        for length in range(1, m + 1):
+        for length in range(1, model.longest + 1):
             i = i[i + length <= self.end[i]]
             h = range_hashes(prefix, i, i + length)
             begun = model.may[mix(h) >> np.uint64(42)]
@@ -114,52 +163,69 @@ class Lattice:
                 break
             at = np.searchsorted(model.hash, h).clip(max=len(model.hash) - 1)
             hit = model.hash[at] == h
-            found.append((length, i[hit], model.id[at[hit]]))
-        m = max((length for length, i, _ in found if len(i)), default=1)
-        self.ids = np.full((n, m), -1, dtype=np.int32)
-        weight = np.full((n, m), -np.inf)
-        for length, i, ids in found[:m]:
-            self.ids[i, length - 1], weight[i, length - 1] = ids, model.weight[ids]
-        place = np.arange(n)
-        self.spelled: list[list[int]] = []
-        for i in np.flatnonzero(self.ids[:, 0] < 0).tolist():
-            b = [model.byte[x] for x in chr(codes[i]).encode("utf-8", "replace")]
-            weight[i, 0] = model.unknown * len(b)
+            found.append((i[hit], np.full(int(hit.sum()), length, dtype=np.int64), model.id[at[hit]]))
+        single = np.zeros(n, dtype=bool)
+        if found:
+            single[found[0][0]] = True
+        other, ids, weights = np.flatnonzero(~single), [], []
+        for c in codes[other].tolist():
+            b = [model.byte[x] for x in chr(c).encode("utf-8", "replace")]
+            weights.append(model.unknown * len(b))
             if len(b) == 1:
-                self.ids[i, 0] = b[0]
+                ids.append(b[0])
             else:
                 self.spelled.append(b)
-                self.ids[i, 0] = -1 - len(self.spelled)
-        # Backward sums, all chunks at once, by distance from the chunk's end; ends have places of their own.
-        slot = place + np.repeat(np.arange(len(chunks)), size)
+                ids.append(-1 - len(self.spelled))
+        found.append((other, np.ones(len(other), dtype=np.int64), np.array(ids, dtype=np.int32)))
+        place, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        weight = model.weight[np.maximum(ids, 0)]
+        weight[len(weight) - len(other) :] = weights
+        # Backward sums, all chunks at once, by distance from the chunk's end; ends have slots of their own.
+        slot = np.arange(n) + np.repeat(np.arange(len(chunks)), size)
         beta = np.zeros(n + len(chunks))
-        left = self.end - place
-        by = np.argsort(left, kind="stable")
-        cut = np.searchsorted(left[by], np.arange(1, int(left.max(initial=0)) + 2))
-        for d, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True), 1):
-            i, w = by[a:b], min(d, m)
-            x = weight[i, :w] + beta[slot[i][:, None] + np.arange(1, w + 1)]
-            top = x.max(axis=1)
-            beta[slot[i]] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        ahead = np.minimum(slot[:, None] + np.arange(1, m + 1), len(beta) - 1)
-        weight += beta[ahead]
-        weight -= beta[slot][:, None]
-        self.log_prob = np.minimum(weight, 0.0)
-        self.sum = np.cumsum(np.exp(self.log_prob, dtype=np.float32), axis=1)
-        last = m - 1 - np.argmax(np.isfinite(self.log_prob)[:, ::-1], axis=1)
-        self.sum[place, last] = 2.0
-        self.longest = m
+        left = self.end - np.arange(n)
+        by = np.argsort((left[place] << 32) | place, kind="stable")
+        far, at, ahead, w = left[place[by]], slot[place[by]], slot[place[by]] + length[by], weight[by]
+        cut = np.searchsorted(far, np.arange(1, int(far.max(initial=0)) + 2))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            x, to = w[a:b] + beta[ahead[a:b]], at[a:b]
+            new = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            top = np.maximum.reduceat(x, new)
+            beta[to[new]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(new, b - a)))), new))
+        lp = np.minimum(w + beta[ahead] - beta[at], 0.0)
+        order = np.argsort((place[by] << 8) | (255 - length[by]), kind="stable")
+        by = by[order]
+        self.place, self.next, self.ids, self.log_prob = place[by], (place + length)[by], ids[by], lp[order]
+        self.first = np.searchsorted(self.place, np.arange(n + 1))
+        rank = np.arange(len(by)) - self.first[self.place]
+        # Sums of probabilities up to each edge of a place; the last edge takes what is left.
+        self.upto = np.exp(self.log_prob)
+        for r in range(1, int(rank.max(initial=0)) + 1):
+            i = np.flatnonzero(rank == r)
+            self.upto[i] += self.upto[i - 1]
+        self.upto[self.first[1:] - 1] = 2.0
+
+    def others(self, edge: int, shut: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The edges at an edge's place that are not shut, and their probabilities."""
+        e = np.arange(self.first[self.place[edge]], self.first[self.place[edge] + 1])
+        for x in shut:
+            e = e[e != x]
+        return e, np.exp(self.log_prob[e])
 
     def walk(self, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draw a path from each start to its chunk's end: walk and edge of each piece, walk by walk. Edge: place times longest, plus length - 1."""
+        """Draw a path from each start to its chunk's end: walk and edge of each piece, walk by walk."""
         live, now, step = np.arange(len(start)), start.copy(), 0
         out = []
         while len(live):
             with np.errstate(over="ignore"):
                 u = uniform(key[live] + np.uint64(step) * _STEP)
-            j = (self.sum.take(now, axis=0) < u[:, None].astype(np.float32)).sum(axis=1)
-            out.append((live, now * self.longest + j))
-            after = now + j + 1
+            e = self.first[now]
+            on = np.flatnonzero(u > self.upto[e])
+            while len(on):
+                e[on] += 1
+                on = on[u[on] > self.upto[e[on]]]
+            out.append((live, e))
+            after = self.next[e]
             on = after < self.end[now]
             live, now, step = live[on], after[on], step + 1
         if not out:
@@ -172,14 +238,13 @@ class Lattice:
 
 def sample(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text up to k (log_prob, score, log_inclusion, ids), best score first."""
-    number: dict[str, int] = {}
-    parts = [[number.setdefault(c, len(number)) for c in model.chunks("▁" + t.replace(" ", "▁"))] if t else [] for t in texts]
-    lattice = Lattice(model, list(number))
+    lattice = model.lattice
+    parts = lattice.numbers([model.chunks("▁" + t.replace(" ", "▁")) if t else [] for t in texts])
     occ = np.fromiter(chain.from_iterable(parts), dtype=np.int64)
     first = np.cumsum([0, *map(len, parts)])
     begin = lattice.start[occ] if len(occ) else occ
     doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    m, log_prob, all_ids = lattice.longest, lattice.log_prob.ravel(), lattice.ids.ravel()
+    log_prob, all_ids = lattice.log_prob, lattice.ids
     bound = gumbel(keys)  # of the set of all segmentations: location 0
     heaps: list[list] = [[] for _ in texts]
     paths: list[list[list[np.ndarray]]] = [[] for _ in texts]  # by sample: edge, chunk, log probability and id of each piece
@@ -195,18 +260,14 @@ def sample(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[lis
             if node is not None:
                 parent, t, shut = node
                 edge, c, lp, ids = paths[d][parent]
-                place = edge[t] // m
-                left = np.exp(lattice.log_prob[place])
-                left[list(shut)] = 0.0
-                some = np.flatnonzero(left)
+                some, left = lattice.others(edge[t], shut)
                 with np.errstate(over="ignore"):
                     u = uniform(keys[d : d + 1] + np.uint64(r) * _ROUND + _PLACE)[0]
-                sums = np.cumsum(left[some])
-                new = int(some[min(np.searchsorted(sums, u * sums[-1]), len(some) - 1)])
-                e = place * m + new
+                sums = np.cumsum(left)
+                e = int(some[min(np.searchsorted(sums, u * sums[-1]), len(some) - 1)])
                 head = [np.append(edge[:t], e), c[: t + 1], np.append(lp[:t], log_prob[e]), np.append(ids[:t], all_ids[e])]
-                o, after = c[t] + 1, place + new + 1
-                if after < lattice.end[place]:
+                o, after = c[t] + 1, lattice.next[e]
+                if after < lattice.end[lattice.place[e]]:
                     starts.append(np.array([after]))
                     occs.append(c[t : t + 1])
                     docs_.append(np.array([d]))
@@ -220,37 +281,39 @@ def sample(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[lis
         w, edges = lattice.walk(start, key)
         cut = np.searchsorted(doc[w], [d for d, _, _ in todo] + [len(texts)]) if len(w) else np.zeros(len(todo) + 1, dtype=np.int64)
         drawn = [edges, of[w], log_prob.take(edges), all_ids.take(edges)]
+        # The paths of all texts end to end: what is kept of the parent's, then what was drawn.
+        pieces = [[y for x, h in enumerate(heads) for y in ((h[q], drawn[q][cut[x] : cut[x + 1]]) if h is not None else (drawn[q][cut[x] : cut[x + 1]],))] for q in range(4)]
+        whole = [np.concatenate(y) for y in pieces]
+        size = np.array([(0 if h is None else len(h[0])) for h in heads], dtype=np.int64) + np.diff(cut)
+        ends = np.cumsum(size)
+        begins = ends - size
+        of = np.repeat(np.arange(len(todo)), size)
+        nth = np.arange(len(of)) - begins[of]
+        lp = whole[2]
+        # Sums run within one text only, so that results don't depend on its neighbours.
+        before = np.concatenate([np.cumsum(lp[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]) - lp
+        # Sets that share the path up to a piece and differ there, from the changed piece on.
+        with np.errstate(divide="ignore", over="ignore"):
+            mass = before + np.log(np.maximum(-np.expm1(lp), 0.0))
+            shuts: list[tuple[int, ...]] = [()] * len(todo)
+            for x, (_, _, node) in enumerate(todo):
+                if node is not None:
+                    shuts[x] = (*node[2], int(heads[x][0][-1]))
+                    at = begins[x] + node[1]
+                    mass[begins[x] : at] = -np.inf
+                    mass[at] = before[at] + np.log(lattice.others(shuts[x][-1], shuts[x])[1].sum())
+            doc, best = np.array([d for d, _, _ in todo]), np.array([v for _, v, _ in todo])
+            g = gumbel((keys[doc] + np.uint64(r) * _STEP)[of] + (nth + 1).astype(np.uint64) * _ROUND)
+        value = np.where(np.isneginf(mass), np.inf, np.logaddexp(-best[of], -(mass + g)))  # negated; truncated at the value of the set that it comes from
         later = []
-        for x, (d, best, node) in enumerate(todo):
-            path = [y[cut[x] : cut[x + 1]] for y in drawn]
-            t0, shut = 0, ()
-            if node is not None:
-                t0, shut = node[1], (*node[2], int(heads[x][0][-1] % m))
-                path = [np.concatenate([h, y]) for h, y in zip(heads[x], path, strict=True)]
-            paths[d].append(path)
-            scores[d].append(best)
-            # Sets that share the path up to a piece and differ there. A Gumbel draw made from 53 bits lies between -4 and
-            # 38, so sets whose mass is below that of k others by more than 42 cannot be among the k best: masses fall
-            # along the path, and what comes after a long enough start need not be drawn.
-            reach = t0 + 96
-            while True:
-                lp = path[2][:reach]
-                before = np.cumsum(lp) - lp
-                with np.errstate(divide="ignore"):
-                    mass = before[t0:] + np.log(np.maximum(-np.expm1(lp[t0:]), 0.0))
-                    if node is not None:
-                        rest = np.exp(lattice.log_prob[path[0][t0] // m])
-                        rest[list(shut)] = 0.0
-                        mass[0] = before[t0] + (np.log(rest.sum()) if rest.any() else -np.inf)
-                if reach >= len(path[2]) or (len(mass) > k and before[-1] < np.partition(mass, -k - 1)[-k - 1] - 42.0):
-                    break
-                reach *= 4
-            with np.errstate(over="ignore"):
-                g = gumbel(keys[d : d + 1] + np.uint64(r) * _STEP + (np.arange(len(mass)) + t0 + 1).astype(np.uint64) * _ROUND)
-            value = -np.logaddexp(-best, -(mass + g))
-            few = np.argpartition(-value, k)[: k + 1] if len(value) > k + 1 else np.arange(len(value))
-            for i in few[np.isfinite(mass[few])].tolist():
-                heapq.heappush(heaps[d], (-float(value[i]), r, i, (r - 1, t0 + i, shut if i == 0 and node is not None else (int(path[0][t0 + i] % m),))))
+        for x, (d, v, node) in enumerate(todo):
+            a, b = begins[x], ends[x]
+            paths[d].append([y[a:b] for y in whole])
+            scores[d].append(v)
+            few = np.argpartition(value[a:b], k)[: k + 1] if b - a > k + 1 else np.arange(b - a)
+            for i in few.tolist():
+                if value[a + i] < np.inf:
+                    heapq.heappush(heaps[d], (float(value[a + i]), r, i, (r - 1, i, shuts[x] if node is not None and i == node[1] else (int(whole[0][a + i]),))))
             if r < k and heaps[d]:
                 v, _, _, nxt = heapq.heappop(heaps[d])
                 later.append((d, -v, nxt))
