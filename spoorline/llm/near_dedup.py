@@ -37,6 +37,8 @@ CHANCE = 1 / (1 << BITS)
 #: Four standard errors of the estimate near the threshold.
 MARGIN = 0.15
 CHUNK = 1 << 20
+#: Keys of 8 bytes that may be broadcast.
+SENT = 200_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -134,8 +136,9 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and one text of each wanted class."""
-    return _rows(docs).join(wanted.select(F.col("cls").alias("row_key")), "row_key").select(F.col("row_key").alias("cls"), "text").dropDuplicates(["cls"])
+    """cls and one text of each wanted class (distinct). Up to SENT keys are sent to the texts; beyond that, both are shuffled."""
+    keys = checkpoint(wanted.select(F.col("cls").alias("row_key")))
+    return _rows(docs).join(F.broadcast(keys) if keys.count() <= SENT else keys, "row_key").select(F.col("row_key").alias("cls"), "text").dropDuplicates(["cls"])
 
 
 def rarest_shingles(docs: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
@@ -210,8 +213,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     shared = checkpoint(banded.join(buckets, "band"))
     stars = shared.select("cls", F.explode(F.array("low", "high")).alias("mid")).where("cls <> mid").select(F.least("cls", "mid").alias("u"), F.greatest("cls", "mid").alias("v")).distinct()
     tested = checkpoint(likely(stars))
-    links = checkpoint(confirmed(docs, tested, percent, size))
-    comps = checkpoint(components(links))
+    comps = checkpoint(components(confirmed(docs, tested, percent, size)))
 
     def still_apart(members: DataFrame) -> DataFrame:
         """Members (band, cls, ...) of the buckets whose classes are not yet one component, with comp."""
@@ -237,8 +239,9 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
     central = rows.join(middle, "band").where("comp <> m.comp").select(F.least("cls", "m.cls").alias("u"), F.greatest("cls", "m.cls").alias("v")).distinct()
     central = checkpoint(likely(central.join(tested, ["u", "v"], "left_anti")))
-    links = checkpoint(links.unionByName(confirmed(docs, central, percent, size)))
-    comps = checkpoint(components(links))
+    # What is known of the components stands for the links they came from.
+    known = lambda: comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    comps = checkpoint(components(known().unionByName(confirmed(docs, central, percent, size))))
     tested = tested.unionByName(central)
     rows = checkpoint(still_apart(rows.select("band", "cls")))
     # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
@@ -248,8 +251,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     more = more.select(F.col("clsx").alias("u"), F.col("clsy").alias("v")).distinct()
     more = checkpoint(more.join(tested, ["u", "v"], "left_anti"))
     if not more.isEmpty():
-        links = checkpoint(links.unionByName(confirmed(docs, more, percent, size)))
-        comps = checkpoint(components(links))
+        comps = checkpoint(components(known().unionByName(confirmed(docs, more, percent, size))))
     heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select(F.col("digest"), F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
     of_class = heads.select("digest", "comp").join(least_of, "comp").select(F.col("digest").alias("cls"), "first")
