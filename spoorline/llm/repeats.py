@@ -126,7 +126,8 @@ def _cut(unit: Unit, shards: int, block: pa.Table, notes: pa.Table) -> pa.Table:
         what = (key, lead, n, stretch)
         again = what in seen
         seen.add(what)
-        for c, x in zip(out, (key % shards, int(again), key, lead, doc, row, number, start, n, None if again else stretch), strict=True):
+        # What repeats within its block only passes through, so the block deals it, not a key that others share.
+        for c, x in zip(out, ((number if again else key) % shards, int(again), key, lead, doc, row, number, start, n, None if again else stretch), strict=True):
             out[c].append(x)
 
     number = block["block"][0].as_py() if block.num_rows else 0
