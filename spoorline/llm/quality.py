@@ -3,8 +3,9 @@
 Each document gets a row of measures. Per language and source, every measure is summed up in a quantile sketch: counts in
 cells whose bounds grow by a fixed factor, so that a quantile is right to within that factor, and sketches merge by adding
 counts (Spark sums them before the shuffle; one source with a third of all rows is no larger than any other). The thresholds read off the
-sketches replace fixed cutoffs: a document fails when a measure lies beyond the far quantile of its own group by more than
-``SLACK`` times the spread of the middle half. Joined back, they filter the documents.
+sketches replace fixed cutoffs: a document fails when a measure lies outside the middle half of its own group by more than
+``SLACK`` times that half's spread, so that up to a quarter of bad rows on one side cannot move the cutoff. Joined back, the
+thresholds filter the documents.
 
 Defined results: null text has no words and fails the base rule; null lang or source is a group of its own; repeated rows
 are judged alike; a group with fewer than ``MIN_ROWS`` documents that pass the base rule uses its language's sketch, then
@@ -98,14 +99,14 @@ def thresholds(m: DataFrame) -> DataFrame:
     """lang, source, then for each measure the least and the greatest value that passes."""
     good = m.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in MEASURES))).alias("x")).select("lang", "source", "x.*")
     fine = checkpoint(sketch(good, ["lang", "source", "measure"]))  # bounded by groups times cells
-    at = {"low": 0.005, "q1": 0.25, "q3": 0.75, "high": 0.995}
+    at = {"q1": 0.25, "q3": 0.75}
     levels = []
     for depth, keys in enumerate((["lang", "source"], ["lang"], [])):
         merged = fine.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
         q = quantiles(merged, [*keys, "measure"], at)
         floor = F.element_at(F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv)), F.col("measure"))
         spread = F.greatest(F.col("q3") - F.col("q1"), floor)
-        levels.append(q.select(*keys, "measure", F.when(F.col("n_rows") >= MIN_ROWS, F.struct((F.col("low") - SLACK * spread).alias("least"), (F.col("high") + SLACK * spread).alias("most"))).alias(f"t{depth}")))
+        levels.append(q.select(*keys, "measure", F.when(F.col("n_rows") >= MIN_ROWS, F.struct((F.col("q1") - SLACK * spread).alias("least"), (F.col("q3") + SLACK * spread).alias("most"))).alias(f"t{depth}")))
     groups = m.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, MEASURES))).alias("measure"))
     a, b, c = levels
     # Nulls are groups too: joins compare null-safely.

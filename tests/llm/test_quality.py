@@ -70,3 +70,14 @@ def test_verdicts(spark):
     assert kept.columns == df.columns and kept.count() == len(clean) + 2
     none = df.where("false")
     assert quality.quality_rules(none).count() == 0 == quality.quality_filter(none).count()
+
+
+def test_junk_does_not_move_its_cutoff(spark):
+    """A few percent of junk in a group, far more than the last half percent, are still beyond the group's threshold."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    for percent in (3, 5, 20):
+        rows = [(i, " ".join(w + ("#$" if i < 3 * percent else "") for w in r.sample(words, 100)), "en", "s") for i in range(300)]
+        got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+        assert {g.doc_id for g in got if not g.kept} == set(range(3 * percent))
+        assert not any(g.base_failed for g in got)
