@@ -4,11 +4,11 @@ Two bigram models, one of the target documents and one of all documents (the bac
 inventory of bigrams. Every token of a document gets a loss from both; the mean difference is the document's score, and
 lower means more like the target.
 
-Counts cover every token of every document: words and then bigrams are summed up inside each task and then by Spark, and
-what is gathered grows with the corpus. Words whose share of either model's tokens is below ``WORD_SHARE`` are one unknown
-word, and bigrams below ``BIGRAM_SHARE`` of both are left to the unigrams; by the pigeonhole principle at most 2/share
-entries remain whatever the size of the corpus, so that the models can be broadcast. Bigrams are smoothed by absolute
-discounting, with exactly the mass that is left going to the unigrams.
+Counts cover every token of every document, and every word and every bigram counts in the scores, whatever its share of the
+corpus. Documents are dealt into blocks by their content. A block sends each of its words and bigrams once, with its counts
+there, to where all blocks' counts of it are summed up, and gets the sums back in the order in which it asked; no model is
+held in one place or broadcast. Bigrams are smoothed by absolute discounting, with exactly the mass that is left going to
+the unigrams. ``models`` makes bounded models in memory instead, on request.
 
 Defined results: null and empty texts have no tokens and null losses and score; without target documents the target model
 is uniform; repeated rows each count and score alike; null doc_ids are never targets; an empty table gives an empty table.
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_small, word_bounds, word_hashes
+from .common import checkpoint, join_small, mix, shuffle_partitions, word_bounds, word_hashes
 from .near_dedup import slices
 
-WORD_SHARE, BIGRAM_SHARE, DISCOUNT = 1e-5, 2e-6, 0.75
+DISCOUNT = 0.75
 #: Distinct entries that a task holds before it hands its counts on.
 HELD = 2_000_000
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -112,7 +112,7 @@ class Bigrams:
         return -np.log(p)
 
 
-def models(docs: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> tuple[Vocabulary, Bigrams, Bigrams]:
+def models(docs: DataFrame, word_share: float, bigram_share: float) -> tuple[Vocabulary, Bigrams, Bigrams]:
     """Vocabulary, target model and background model of docs (text, target boolean)."""
     schema = "code long, n_all long, n_target long"
 
@@ -145,11 +145,184 @@ def models(docs: DataFrame, word_share: float = WORD_SHARE, bigram_share: float
     return vocabulary, *out
 
 
-def score(docs: DataFrame, target_ids: DataFrame, word_share: float = WORD_SHARE, bigram_share: float = BIGRAM_SHARE) -> DataFrame:
-    """doc_id, n_tokens, both losses a token and their difference, for every document. target_ids: doc_ids of target documents."""
+#: Bytes of text that a block may hold, some 3 million words; blocks are what a task looks up at once.
+BLOCK = 16 << 20
+START = 0  # stands before the first word of a text
+_MOVED = "kind string, dest long, source long, n long, blob binary"
+
+
+def _pack(*columns: np.ndarray) -> tuple[int, bytes]:
+    return len(columns[0]), pa.compress(np.stack([x.astype(np.int64) for x in columns]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(n: int, blob: bytes, k: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * k, codec="zstd", asbytes=True), dtype=np.int64).reshape(k, n)
+
+
+def _moved(rows: list[tuple]) -> pa.Table:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[x.split()[0] for x in _MOVED.split(", ")])
+
+
+def _part(codes: np.ndarray, parts: int) -> np.ndarray:
+    return (codes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+
+def _split(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of a sorted array."""
+    at = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield int(part[a]), slice(a, b)
+
+
+def _in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    """The rows (doc_id, text and others) by block of their content, as compressed batches: block, rows."""
+    names = docs.columns
+
+    def packed(batches):
+        for batch in batches:
+            block, rows = batch["block"].to_numpy(), batch.select(names)
+            order = np.argsort(block, kind="stable")
+            said = []
+            for b, run in _split(block[order]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows.take(pa.array(order[run])))
+                said.append((b, sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in said], pa.int64()), pa.array([x[1] for x in said], pa.binary())], names=["block", "rows"])
+
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(packed, "block long, rows binary")
+
+
+class _Block:
+    """The texts of a block as words and pairs of words, by hash, each once and in the order in which they are looked up."""
+
+    def __init__(self, table: pa.Table, parts: int):
+        self.rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]]).combine_chunks()
+        before, word, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, raw, at in slices(self.rows["text"]):
+            h, r = _words(raw, at)
+            b = np.empty_like(h)
+            b[1:] = h[:-1]
+            b[np.append(True, r[1:] != r[:-1])[: len(r)]] = START
+            before.append(b)
+            word.append(h)
+            row.append(r + a)
+        before, word, self.row = (np.concatenate(x) for x in (before, word, row))
+        with np.errstate(over="ignore"):
+            code = mix(mix(before.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + word.view(np.uint64)).view(np.int64)
+        code, at, pair = np.unique(code, return_index=True, return_inverse=True)
+        self.pair_part = _part(code, parts)
+        order = np.lexsort((code, before[at], self.pair_part))  # equal first words stand together, which packs well
+        self.pair_part, self.code, self.first, second = self.pair_part[order], code[order], before[at][order], word[at][order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.pair = place[pair]  # of each token
+        words = np.unique(np.concatenate([self.first, second]))
+        part = _part(words, parts)
+        order = np.argsort(part, kind="stable")
+        self.word_part, self.words = part[order], words[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.a, self.b = (place[np.searchsorted(words, x)] for x in (self.first, second))  # words of each pair
+
+
+def _asked(table: pa.Table, parts: int) -> pa.Table:
+    """Counts of a block's words and pairs, sent to where each is summed up."""
+    me = table["block"][0].as_py()
+    x = _Block(table, parts)
+    target = x.rows["target"].to_numpy()[x.row].astype(np.float64)
+    n, t = np.bincount(x.pair, minlength=len(x.code)), np.bincount(x.pair, target, len(x.code))
+    w = [np.bincount(of, c, len(x.words)) for of in (x.b, x.a) for c in (n, t)]
+    out = [("pair", p, me, *_pack(x.code[s], x.first[s], n[s], t[s])) for p, s in _split(x.pair_part)]
+    return _moved(out + [("word", p, me, *_pack(x.words[s], *(c[s] for c in w))) for p, s in _split(x.word_part)])
+
+
+def _summed_pairs(table: pa.Table, parts: int) -> pa.Table:
+    """Whole counts of pairs, back to each block that asked, and how many words follow each first word. Words pass through."""
+    rows = table.to_pylist()
+    out = [tuple(r.values()) for r in rows if r["kind"] == "word"]
+    asked = [r for r in rows if r["kind"] == "pair"]
+    if asked:
+        code, first, n, t = np.concatenate([_unpack(r["n"], r["blob"], 4) for r in asked], axis=1)
+        _, at, of = np.unique(code, return_index=True, return_inverse=True)
+        n, t = np.bincount(of, n), np.bincount(of, t)
+        a = 0
+        for r in asked:
+            mine = of[a : a + r["n"]]
+            a += r["n"]
+            out.append(("counts", r["source"], r["dest"], *_pack(n[mine], t[mine])))
+        contexts, of = np.unique(first[at], return_inverse=True)
+        follow, follow_t = np.bincount(of), np.bincount(of, t > 0)
+        part = _part(contexts, parts)
+        order = np.argsort(part, kind="stable")
+        out += [("follow", p, -1, *_pack(contexts[order][s], follow[order][s], follow_t[order][s])) for p, s in _split(part[order])]
+    return _moved(out)
+
+
+def _summed_words(table: pa.Table) -> pa.Table:
+    """Whole counts of words, as contexts and of what follows them, back to each block, and the sums of all words (kind total)."""
+    rows = table.to_pylist()
+    asked, follow = ([r for r in rows if r["kind"] == k] for k in ("word", "follow"))
+    w, f = (np.concatenate([np.zeros((k, 0), np.int64), *(_unpack(r["n"], r["blob"], k) for r in x)], axis=1) for x, k in ((asked, 5), (follow, 3)))
+    code, of = np.unique(np.append(w[0], f[0]), return_inverse=True)
+    m = w.shape[1]
+    sums = [np.bincount(of[:m], x, len(code)) for x in w[1:]] + [np.bincount(of[m:], x, len(code)) for x in f[1:]]
+    out, a = [], 0
+    for r in asked:
+        mine = of[a : a + r["n"]]
+        a += r["n"]
+        out.append(("words", r["source"], r["dest"], *_pack(*(x[mine] for x in sums))))
+    known = int((sums[0] > 0).sum())
+    return _moved([*out, ("total", -1, -1, *_pack(*(np.array([x]) for x in (sums[0].sum(), sums[1].sum(), known))))])
+
+
+def _scored(table: pa.Table, replies: pa.Table, parts: int, totals: tuple[int, int, int]) -> pa.Table:
+    names, types = [x.split()[0] for x in SCORES.split(", ")], [pa.int64(), pa.int64(), *[pa.float64()] * 3]
+    if not table.num_rows:
+        return pa.table([pa.array([], t) for t in types], names=names)
+    x = _Block(table, parts)
+    rows = sorted(replies.to_pylist(), key=lambda r: r["source"])
+    got = {kind: np.concatenate([np.zeros((k, 0), np.int64), *(_unpack(r["n"], r["blob"], k) for r in rows if r["kind"] == kind)], axis=1) for kind, k in (("counts", 2), ("words", 6))}
+    assert got["counts"].shape[1] == len(x.code) and got["words"].shape[1] == len(x.words)
+    size = x.rows.num_rows
+    n = np.bincount(x.row, minlength=size)
+    means = []
+    for m in (1, 0):
+        count, context, follow, word = got["counts"][m], got["words"][2 + m][x.a], got["words"][4 + m][x.a], got["words"][m][x.b]
+        left = np.where(context > 0, DISCOUNT * follow / np.maximum(context, 1), 1.0)
+        p = np.maximum(count - DISCOUNT, 0.0) / np.maximum(context, 1) + left * (word + 1.0) / (totals[m] + totals[2] + 1)
+        means.append(np.bincount(x.row, -np.log(p)[x.pair], size) / np.maximum(n, 1))
+    t, b = means
+    return pa.table([x.rows["doc_id"], pa.array(n), *(pa.array(y, mask=n == 0) for y in (t, b, t - b))], names=names).cast(pa.schema(list(zip(names, types, strict=True))))
+
+
+def whole_score(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """SCORES of rows (doc_id, text) by models that keep every word and every bigram. marked: the same rows and target."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(rows.sparkSession), -(-size // BLOCK))
+    asked = _in_blocks(marked, parts).groupBy("block").applyInArrow(lambda t: _asked(t, parts), _MOVED)
+    pairs = checkpoint(asked.groupBy("dest").applyInArrow(lambda t: _summed_pairs(t, parts), _MOVED))
+    words = checkpoint(pairs.where("kind in ('word', 'follow')").groupBy("dest").applyInArrow(_summed_words, _MOVED))
+    totals = np.zeros(3, dtype=np.int64)
+    for r in words.where("kind = 'total'").toLocalIterator():
+        totals += _unpack(1, bytes(r["blob"]), 3)[:, 0]
+    # By the model that uses them: background, target; then the distinct words.
+    totals = tuple(totals.tolist())
+    replies = pairs.where("kind = 'counts'").unionByName(words.where("kind = 'words'"))
+    return _in_blocks(rows, parts).groupBy("block").cogroup(replies.groupBy("dest")).applyInArrow(lambda t, r: _scored(t, r, parts, totals), SCORES)
+
+
+def score(docs: DataFrame, target_ids: DataFrame, word_share: float = 0.0, bigram_share: float = 0.0) -> DataFrame:
+    """doc_id, n_tokens, both losses a token and their difference, for every document. target_ids: doc_ids of target documents.
+
+    A share above 0 asks for models() without the entries below it.
+    """
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = join_small(rows, ids, ["doc_id"], "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = join_small(rows, ids, ["doc_id"], "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    if word_share <= 0 and bigram_share <= 0:
+        return whole_score(rows, marked)
     shared = docs.sparkSession.sparkContext.broadcast(models(marked, word_share, bigram_share))
 
     def losses(batches):

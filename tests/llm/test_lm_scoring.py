@@ -83,3 +83,14 @@ def test_empty(spark):
     assert lm_scoring.score(none, none).count() == 0
     one = spark.createDataFrame([(1, "a b a b")], "doc_id long, text string")
     assert lm_scoring.score(one, none.select("doc_id")).first().n_tokens == 4
+
+
+def test_rare_entries_count_by_default(spark):
+    """A word and its bigrams that are far below any fixed share of the corpus score as plain counts say."""
+    docs = [*((i, "the same few words " * 2000) for i in range(40)), (100, "odd bird sang"), (101, "odd bird flew"), (102, "new bird sang")]
+    targets = {100}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.quality_score(df, spark.createDataFrame([(100, 1), (101, 0)], "doc_id long, quality int")).collect()}
+    for i, (n, t, b) in by_hand(docs, targets).items():
+        assert got[i].n_tokens == n
+        assert math.isclose(got[i].target_loss, t, rel_tol=1e-9) and math.isclose(got[i].background_loss, b, rel_tol=1e-9)
