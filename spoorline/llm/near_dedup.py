@@ -1,9 +1,10 @@
 """Operator 7: near-duplicate documents by b-bit MinHash.
 
-Each document's set of shingles gives 128 minima. Six of them make a band key, and documents that share one of 21 keys are
-candidates: at a similarity of 0.85, one pair in 20,000 shares none. Of every minimum the two lowest bits are kept, packed
+Each document's set of shingles gives 128 minima. A few of them make a band key, and documents that share a key are candidates.
+The threshold decides how many: the most with which one pair in 20,000 at most shares none at the threshold itself. That is
+21 bands of six at 0.85 (one pair in 20,800) and 25 of five at 0.8 (one in 22,000). Of every minimum the two lowest bits are kept, packed
 into four numbers; the share of equal ones, corrected for chance agreement, estimates a pair's similarity by counting bits.
-Pairs within four standard errors of the threshold or above are confirmed on the full sets.
+Pairs within four standard errors of the threshold, at that threshold, or above are confirmed on the full sets.
 
 Documents with equal sets are one class, so copies cost nothing. In each bucket of a band, every class is first held
 against two of its members only; links join into components, and then candidates of one bucket that are still in
@@ -19,6 +20,7 @@ an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 from .common import checkpoint, flat, mix, prefix_hashes, range_hashes, word_bounds, word_hashes
 from .graph import components
 
-MINIMA, ROWS, BITS, SEED = 128, 6, 2, 7
-BANDS = MINIMA // ROWS
+MINIMA, BITS, SEED = 128, 2, 7
+#: Most pairs at the threshold that may share no band.
+MISSED = 1 / 20_000
 #: Chance that two unlike minima agree in their low bits.
 CHANCE = 1 / (1 << BITS)
-#: Four standard errors of the estimate near the threshold.
-MARGIN = 0.15
+#: Standard errors of the estimate at the threshold that a candidate may lie below it.
+ERRORS = 4
 CHUNK = 1 << 20
 #: Keys of 8 bytes that may be broadcast.
 SENT = 200_000
@@ -43,6 +46,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def band_rows(percent: int) -> int:
+    """Minima in a band key: the most that miss no more than MISSED of the pairs at the threshold, one at least."""
+    return next((r for r in range(MINIMA, 1, -1) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISSED), 1)
+
+
+def margin(percent: int) -> float:
+    """ERRORS standard errors of estimate() at the threshold, rounded up to hundredths."""
+    agree = CHANCE + (1 - CHANCE) * percent / 100
+    return math.ceil(100 * ERRORS * math.sqrt(agree * (1 - agree) / MINIMA) / (1 - CHANCE)) / 100
+
+
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, bytes and bounds of runs of rows with some CHUNK bytes, one row at least."""
     raw, at = flat(texts)
@@ -96,15 +110,16 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(len(low), -1, lanes) << shift, axis=2).view(np.int64)
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(minima), BANDS), dtype=np.uint64)
+def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
+    bands = MINIMA // rows
+    out = np.zeros((len(minima), bands), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(ROWS):
-            out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + minima[:, j : BANDS * ROWS : ROWS].astype(np.uint64) + np.uint64(1))
-        return mix(out + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+        for j in range(rows):
+            out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + minima[:, j : bands * rows : rows].astype(np.uint64) + np.uint64(1))
+        return mix(out + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
 
-def _signed(size: int, batches) -> Iterator[pa.RecordBatch]:
+def _signed(size: int, width: int, batches) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "row_key", "n_shingles", "cls", "sig", "bands"]
     for batch in batches:
         for a, raw, at in slices(batch["text"]):
@@ -113,7 +128,7 @@ def _signed(size: int, batches) -> Iterator[pa.RecordBatch]:
             cls, sig, bands = ([None] * len(sets) for _ in range(3))
             if full:
                 minima = signatures([sets[i] for i in full])
-                for i, s, b in zip(full, packed(minima).tolist(), band_keys(minima).tolist(), strict=True):
+                for i, s, b in zip(full, packed(minima).tolist(), band_keys(minima, width).tolist(), strict=True):
                     cls[i], sig[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), s, b
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -196,8 +211,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> Dat
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """doc_id, row_key, n_shingles, first (place of the component's first document) and place for every row of docs."""
-    least = percent / 100 - MARGIN
-    signed = checkpoint(_rows(docs).mapInArrow(lambda b: _signed(size, b), "doc_id long, row_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"))
+    least, width = percent / 100 - margin(percent), band_rows(percent)
+    signed = checkpoint(_rows(docs).mapInArrow(lambda b: _signed(size, width, b), "doc_id long, row_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
     # A class is named by the key of its first row.
     classes = signed.where("cls is not null").groupBy(F.col("cls").alias("digest")).agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))

@@ -79,3 +79,26 @@ def test_empty_and_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 60)]
     got = components(spark.createDataFrame(links, "u long, v long"))
     assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(21)] + [(40, 40), (50, 40), (60, 40)]
+
+
+def test_layout_follows_the_threshold():
+    """Pairs just at the pipeline's 0.8 share a band, and their estimate lies within the margin."""
+    assert [nd.band_rows(p) for p in (85, 80)] == [6, 5]
+    for percent in (50, 70, 80, 85, 90):
+        rows = nd.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (nd.MINIMA // rows) <= nd.MISSED
+        agree = 0.25 + 0.75 * percent / 100
+        assert nd.margin(percent) >= 4 * (agree * (1 - agree) / nd.MINIMA) ** 0.5 / 0.75
+
+
+def test_few_pairs_at_the_threshold_share_no_band():
+    """21 bands of six lose about one pair in 600 at 0.8; of 6,000 some ten."""
+    r = np.random.default_rng(2)
+    a, b = [], []
+    for _ in range(6000):
+        both = r.integers(0, 2**63, 80, dtype=np.uint64)
+        one, two = (r.integers(0, 2**63, 10, dtype=np.uint64) for _ in range(2))
+        a.append(np.concatenate([both, one]))
+        b.append(np.concatenate([both, two]))
+    width = nd.band_rows(80)
+    assert (nd.band_keys(nd.signatures(a), width) != nd.band_keys(nd.signatures(b), width)).all(axis=1).sum() <= 3
