@@ -40,7 +40,7 @@ def _known(sp, sf):
 
 
 def _mesh_points(sp, sf):
-    return v.tracks(sp, sf).where("frame < 6 and track_id < 150").select("frame", "track_id", "x", "y")
+    return v.tracks(sp, sf).select("frame", "track_id", "x", "y")
 
 
 def _nearest(sp, sf):
@@ -56,7 +56,7 @@ def _dense_flow(sp, sf):
 
 
 def _cell_anchors(sp, sf):
-    return j.anchor_segments(v.anchors(sp, sf).where("track_id < 40")).select("track_id", "t0", (F.col("x0") / 100).alias("x0"), (F.col("y0") / 25).alias("y0"), "t1", (F.col("x1") / 100).alias("x1"), (F.col("y1") / 25).alias("y1"))
+    return j.anchor_segments(v.anchors(sp, sf)).select("track_id", "t0", (F.col("x0") / 100).alias("x0"), (F.col("y0") / 25).alias("y0"), "t1", (F.col("x1") / 100).alias("x1"), (F.col("y1") / 25).alias("y1"))
 
 
 def _corridors(sp, sf):
@@ -90,7 +90,7 @@ QUERIES = {
     "mesh_triangles": (lambda sp, sf: me.triangles(_mesh_points(sp, sf)), None),
     "mesh_edges": (lambda sp, sf: me.edges(me.triangles(_mesh_points(sp, sf))), None),
     "mesh_quality": (lambda sp, sf: me.quality(me.triangles(_mesh_points(sp, sf)), _mesh_points(sp, sf)), None),
-    "mesh_barycentric": (lambda sp, sf: me.barycentric(v.predictions(sp, sf).where("frame < 6 and track_id < 150").select(F.col("track_id").alias("query_id"), "frame", F.col("x").alias("px"), F.col("y").alias("py")), me.triangles(_mesh_points(sp, sf)), _mesh_points(sp, sf), 60.0), None),
+    "mesh_barycentric": (lambda sp, sf: me.barycentric(v.predictions(sp, sf).select(F.col("track_id").alias("query_id"), "frame", F.col("x").alias("px"), F.col("y").alias("py")), me.triangles(_mesh_points(sp, sf)), _mesh_points(sp, sf), 60.0), None),
     "mesh_laplacian": (lambda sp, sf: me.laplacian(me.edges(me.triangles(_mesh_points(sp, sf))), _mesh_points(sp, sf)), None),
     "gap_topk": (lambda sp, sf: sa.spaced_top(_motion_scores(sp, sf), 8, True), None),
     "complexity_topk": (lambda sp, sf: sa.spaced_top(d.complexity(v.pixels(sp, sf)).select(F.lit(0).cast("long").alias("video"), "frame", F.col("complexity").alias("score")), 8, False), None),

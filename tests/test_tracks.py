@@ -239,3 +239,18 @@ def test_streams(spark, tmp_path):
     q = online.interventions(s).writeStream.format("memory").queryName("counts").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert max(r.total for r in spark.table("counts").collect()) == 3
+
+
+def test_mesh_and_corridor_queries_see_the_whole_table(spark):
+    """Every frame has its mesh points, and every track that has segments has them in the corridor search."""
+    from spoorline.operators import matching
+    from spoorline.plans import images, views
+
+    sf = "/root/testdata/sf0.001"
+    points, tracks = images._mesh_points(spark, sf), views.tracks(spark, sf)
+    assert points.count() == tracks.count()
+    assert points.select("frame").distinct().count() == tracks.select("frame").distinct().count() > 6
+    small = "/root/testdata/sf0.01"
+    ids = lambda df: {r.track_id for r in df.select("track_id").distinct().collect()}
+    got = ids(images._cell_anchors(spark, small))
+    assert got == ids(matching.anchor_segments(views.anchors(spark, small))) and max(got) >= 40
