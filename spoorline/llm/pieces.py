@@ -5,8 +5,9 @@ chunks of a batch share one lattice. Backward sums give the probability of every
 it. The search keeps sets of segmentations ("this prefix, then none of these pieces"), each with its perturbed best value:
 a Gumbel draw of location log(mass), truncated at its parent's. That value is exact, so best-first search never expands a
 set in vain: popping a set emits its best segmentation (its prefix completed by draws from the lattice) and splits the rest
-by the first piece that differs. The first k pops are k distinct segmentations, sampled without replacement. The value of
-the (k+1)-th gives each one's inclusion probability.
+by the first piece that differs. Only the next NEAR places are split one by one; all that differ later are one set, whose mass
+is known too, and which is split when it is popped. The first k segmentations are distinct, sampled without replacement. The
+value of the (k+1)-th gives each one's inclusion probability.
 
 All draws come from hashes of the row's key, so that results don't depend on partitions or reruns. The model file holds
 merge ranks instead of probabilities; piece weights follow Zipf's law in the rank, to the power ``alpha``. Characters
@@ -26,22 +27,27 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, range_hashes
+from .common import mix, powers, prefix_hashes, range_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, log_inclusion double, round_trip boolean, ids array<int>"
 CHUNK = 1 << 20
 #: Characters of distinct chunks whose lattices are kept.
-KEPT = 1_000_000
+KEPT = 1_500_000
+#: Places after a changed piece that are sets of their own.
+NEAR = 64
+#: Steps of a walk that one uniform number drives, by its rest after each choice.
+DRIVEN = 4
 _STEP, _ROUND, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def uniform(key: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit keys."""
-    return ((mix(mix(key)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return ((mix(mix(key)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def gumbel(key: np.ndarray) -> np.ndarray:
@@ -61,6 +67,7 @@ class Model:
         self.raw = [t.replace("▁", " ").encode() for t in self.text]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
+        self.bytes = pa.array(self.raw, pa.binary())
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         score = np.array([sp.get_score(i) for i in plain])
         rank = np.empty(len(plain))
@@ -75,9 +82,13 @@ class Model:
         self.chunks = re.compile(f"▁+[^▁{alone}]*|[^▁{alone}]+" + (f"|{alone}" if alone else "")).findall
         codes = np.frombuffer("".join(self.text[i] for i in plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         ends = np.cumsum([len(self.text[i]) for i in plain])
-        h = range_hashes(prefix_hashes(codes + np.uint64(1)), np.append(0, ends[:-1]), ends)
+        h = mix(range_hashes(prefix_hashes(codes + np.uint64(1)), np.append(0, ends[:-1]), ends))
         by = np.argsort(h)
-        self.hash, self.id = h[by], np.array(plain, dtype=np.int32)[by]
+        # The last entry ends every search.
+        self.hash, self.id = np.append(h[by], np.uint64((1 << 64) - 1)), np.append(np.array(plain, dtype=np.int32)[by], np.int32(-1))
+        # Where the hashes with given upper bits begin, and how many there are at most.
+        self.near = np.searchsorted(self.hash[:-1] >> np.uint64(44), np.arange(1 << 20, dtype=np.uint64))
+        self.crowd = int(np.diff(np.append(self.near, len(plain))).max())
         # Which hashes may begin a piece: a chunk's places are followed only as long as some piece starts that way.
         begins = np.append(0, ends[:-1])
         prefix = prefix_hashes(codes + np.uint64(1))
@@ -115,7 +126,7 @@ class Lattice:
         self.seen = np.zeros(0, dtype=np.int64)
         none = np.zeros(0, dtype=np.int64)
         self.start = self.stop = self.end = self.place = self.next = none
-        self.ids, self.log_prob = none.astype(np.int32), none.astype(np.float64)
+        self.ids, self.log_prob, self.opens = none.astype(np.int32), none.astype(np.float64), none.astype(bool)
         self.first, self.upto = np.zeros(1, dtype=np.int64), np.zeros(0)
         self.spelled: list[list[int]] = []
 
@@ -141,6 +152,7 @@ class Lattice:
             setattr(self, name, np.append(old[name], getattr(self, name) + by))
         self.first = np.append(old["first"][:-1], self.first + e)
         self.log_prob = np.append(old["log_prob"], self.log_prob)
+        self.opens = np.append(old["opens"], self.opens)
         self.ids = np.append(old["ids"], np.where(self.ids < -1, self.ids - len(old["spelled"]), self.ids).astype(np.int32))
         self.spelled = old["spelled"] + self.spelled
         self.upto = np.append(old["upto"], self.upto)
@@ -152,17 +164,23 @@ class Lattice:
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(codes)
         self.end = np.repeat(self.stop, size)
-        prefix = prefix_hashes(codes.astype(np.uint64) + np.uint64(1))
-        i, found = np.arange(n), []
+        wide = codes.astype(np.uint64) + np.uint64(1)
+        power = powers(model.longest)
+        i, h, found = np.arange(n), np.zeros(n, dtype=np.uint64), []
         for length in range(1, model.longest + 1):
-            i = i[i + length <= self.end[i]]
-            h = range_hashes(prefix, i, i + length)
-            begun = model.may[mix(h) >> np.uint64(42)]
-            i, h = i[begun], h[begun]
+            fits = i + length <= self.end[i]
+            i = i[fits]
+            with np.errstate(over="ignore"):
+                h = h[fits] + wide[i + (length - 1)] * power[length - 1]
+            mixed = mix(h)
+            begun = model.may[mixed >> np.uint64(42)]
+            i, h, mixed = i[begun], h[begun], mixed[begun]
             if not len(i):
                 break
-            at = np.searchsorted(model.hash, h).clip(max=len(model.hash) - 1)
-            hit = model.hash[at] == h
+            at = model.near[mixed >> np.uint64(44)]
+            for _ in range(model.crowd):
+                at = at + (model.hash[at] < mixed)
+            hit = model.hash[at] == mixed
             found.append((i[hit], np.full(int(hit.sum()), length, dtype=np.int64), model.id[at[hit]]))
         single = np.zeros(n, dtype=bool)
         if found:
@@ -197,6 +215,7 @@ class Lattice:
         by = by[order]
         self.place, self.next, self.ids, self.log_prob = place[by], (place + length)[by], ids[by], lp[order]
         self.first = np.searchsorted(self.place, np.arange(n + 1))
+        self.opens = np.isin(self.place, self.start)
         rank = np.arange(len(by)) - self.first[self.place]
         # Sums of probabilities up to each edge of a place; the last edge takes what is left.
         self.upto = np.exp(self.log_prob)
@@ -213,123 +232,212 @@ class Lattice:
         return e, np.exp(self.log_prob[e])
 
     def walk(self, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draw a path from each start to its chunk's end: walk and edge of each piece, walk by walk."""
-        live, now, step = np.arange(len(start)), start.copy(), 0
-        out = []
+        """Draw a path from each start to its chunk's end: the number of its pieces, and the edges of all, walk by walk."""
+        live, now, step, u = np.arange(len(start)), start, 0, np.zeros(0)
+        count, out = np.zeros(len(start), dtype=np.int64), []
         while len(live):
-            with np.errstate(over="ignore"):
-                u = uniform(key[live] + np.uint64(step) * _STEP)
+            if step % DRIVEN == 0:
+                with np.errstate(over="ignore"):
+                    u = uniform(key[live] + np.uint64(step) * _STEP)
             e = self.first[now]
+            low = np.zeros(len(e))
             on = np.flatnonzero(u > self.upto[e])
             while len(on):
+                low[on] = self.upto[e[on]]
                 e[on] += 1
                 on = on[u[on] > self.upto[e[on]]]
             out.append((live, e))
             after = self.next[e]
-            on = after < self.end[now]
+            on = np.flatnonzero(after < self.end[now])
+            count[live] = step + 1
+            e = e[on]
+            # The last edge of a place has no more than what is left.
+            u = np.clip((u[on] - low[on]) / np.exp(self.log_prob[e]), 0.0, 1.0)
             live, now, step = live[on], after[on], step + 1
-        if not out:
-            none = np.zeros(0, dtype=np.int64)
-            return none, none
-        w, e = (np.concatenate(x) for x in zip(*out, strict=True))
-        by = np.argsort(w, kind="stable")
-        return w[by], e[by]
+        begin = np.cumsum(count) - count
+        edges = np.empty(int(count.sum()), dtype=np.int64)
+        for n, (live, e) in enumerate(out):
+            edges[begin[live] + n] = e
+        return count, edges
 
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with spelled characters in bytes, and how many ids came of each."""
+        many = np.ones(len(ids), dtype=np.int64)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, many
+        words = [self.spelled[-2 - x] for x in ids[odd].tolist()]
+        many[odd] = list(map(len, words))
+        out = np.repeat(ids, many)
+        out[np.repeat(ids < 0, many)] = list(chain.from_iterable(words))
+        return out, many
 
-def sample(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
-    """For each text up to k (log_prob, score, log_inclusion, ids), best score first."""
+
+class _Text:
+    """The search of one text: what is left to pop, and where each of its paths stands (round, begin, end)."""
+
+    __slots__ = ("heap", "paths")
+
+    def __init__(self):
+        self.heap: list[tuple] = []  # (-value, round, place, near or rest, shut)
+        self.paths: list[tuple[int, int]] = []
+
+
+def rounds(model: Model, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[tuple], np.ndarray]:
+    """For each sample 1..k (texts, log_prob, score, ids, ids of each text), and each text's (k+1)-th value."""
     lattice = model.lattice
     parts = lattice.numbers([model.chunks("▁" + t.replace(" ", "▁")) if t else [] for t in texts])
-    occ = np.fromiter(chain.from_iterable(parts), dtype=np.int64)
     first = np.cumsum([0, *map(len, parts)])
-    begin = lattice.start[occ] if len(occ) else occ
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(first))
-    log_prob, all_ids = lattice.log_prob, lattice.ids
-    bound = gumbel(keys)  # of the set of all segmentations: location 0
-    heaps: list[list] = [[] for _ in texts]
-    paths: list[list[list[np.ndarray]]] = [[] for _ in texts]  # by sample: edge, chunk, log probability and id of each piece
-    scores: list[list[float]] = [[] for _ in texts]
-    todo: list[tuple[int, float, tuple | None]] = [(d, float(bound[d]), None) for d in range(len(texts))]
+    occ = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(first[-1]))
+    begin = lattice.start[occ]
+    found = [_Text() for _ in texts]
+    taken: list[np.ndarray] = []  # the edges of each round's paths
+    out = []
+    todo: list[tuple[int, float, tuple | None]] = [(d, v, None) for d, v in enumerate(gumbel(keys).tolist())]  # the set of all segmentations: location 0
     for r in range(1, k + 1):
         if not todo:
             break
-        # Starts of this round's draws: what is left of the chunk of the changed piece, and all chunks after it.
-        starts, occs, docs_, heads = [], [], [], []
+        # What each path keeps of its parent's, and where this round's draws start: what is left of the chunk of the changed piece, and all chunks after it.
+        heads, starts, offs, shuts = [], [], [], []
         for d, _, node in todo:
-            o, head = first[d], None
-            if node is not None:
+            o = int(first[d])
+            if node is None:
+                heads.append(np.zeros(0, dtype=np.int64))
+                shuts.append(())
+                offs.append(0)
+            else:
                 parent, t, shut = node
-                edge, c, lp, ids = paths[d][parent]
-                some, left = lattice.others(edge[t], shut)
+                a, _ = found[d].paths[parent]
+                kept = taken[parent][a : a + t + 1]
+                some, left = lattice.others(int(kept[t]), shut)
                 with np.errstate(over="ignore"):
                     u = uniform(keys[d : d + 1] + np.uint64(r) * _ROUND + _PLACE)[0]
                 sums = np.cumsum(left)
                 e = int(some[min(np.searchsorted(sums, u * sums[-1]), len(some) - 1)])
-                head = [np.append(edge[:t], e), c[: t + 1], np.append(lp[:t], log_prob[e]), np.append(ids[:t], all_ids[e])]
-                o, after = c[t] + 1, lattice.next[e]
-                if after < lattice.end[lattice.place[e]]:
+                heads.append(np.append(kept[:t], e))
+                shuts.append((*shut, e))
+                place, after = lattice.place[e], lattice.next[e]
+                o += int(np.count_nonzero(lattice.opens[kept]))  # chunks that the kept pieces have begun
+                inside = after < lattice.end[place]
+                if inside:
                     starts.append(np.array([after]))
-                    occs.append(c[t : t + 1])
-                    docs_.append(np.array([d]))
-            heads.append(head)
+                offs.append(o - int(first[d]) - int(inside))
             starts.append(begin[o : first[d + 1]])
-            occs.append(np.arange(o, first[d + 1]))
-            docs_.append(doc_of[o : first[d + 1]])
-        start, of, doc = (np.concatenate(x) for x in (starts, occs, docs_))
-        with np.errstate(over="ignore"):
-            key = keys[doc] + np.uint64(r) * _ROUND + (of - first[doc] + 1).astype(np.uint64) * _PLACE
-        w, edges = lattice.walk(start, key)
-        cut = np.searchsorted(doc[w], [d for d, _, _ in todo] + [len(texts)]) if len(w) else np.zeros(len(todo) + 1, dtype=np.int64)
-        drawn = [edges, of[w], log_prob.take(edges), all_ids.take(edges)]
-        # The paths of all texts end to end: what is kept of the parent's, then what was drawn.
-        pieces = [[y for x, h in enumerate(heads) for y in ((h[q], drawn[q][cut[x] : cut[x + 1]]) if h is not None else (drawn[q][cut[x] : cut[x + 1]],))] for q in range(4)]
-        whole = [np.concatenate(y) for y in pieces]
-        size = np.array([(0 if h is None else len(h[0])) for h in heads], dtype=np.int64) + np.diff(cut)
-        ends = np.cumsum(size)
-        begins = ends - size
+        docs = np.array([d for d, _, _ in todo])
+        offs = np.array(offs)
+        size = first[docs + 1] - first[docs] - offs
+        start = np.concatenate(starts)
         of = np.repeat(np.arange(len(todo)), size)
-        nth = np.arange(len(of)) - begins[of]
-        lp = whole[2]
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + offs[of]
+        with np.errstate(over="ignore"):
+            key = keys[docs][of] + np.uint64(r) * _ROUND + (nth + 1).astype(np.uint64) * _PLACE
+        count, drawn = lattice.walk(start, key)
+        tail = np.bincount(of, count, len(todo)).astype(np.int64)
+        head = np.array(list(map(len, heads)), dtype=np.int64)
+        total = head + tail
+        ends = np.cumsum(total)
+        begins = ends - total
+        edges = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        is_head = np.zeros(len(edges), dtype=bool)
+        if head.any():
+            at = np.repeat(begins, head) + np.arange(int(head.sum())) - np.repeat(np.cumsum(head) - head, head)
+            edges[at] = np.concatenate(heads)
+            is_head[at] = True
+        edges[~is_head] = drawn
+        taken.append(edges)
+        lp = lattice.log_prob[edges]
         # Sums run within one text only, so that results don't depend on its neighbours.
-        before = np.concatenate([np.cumsum(lp[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]) - lp
-        # Sets that share the path up to a piece and differ there, from the changed piece on.
+        sums = [float(lp[a:b].sum()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        for x, (d, _, _) in enumerate(todo):
+            found[d].paths.append((int(begins[x]), int(ends[x])))
+        changed = np.array([-1 if node is None else node[1] for _, _, node in todo])
+        _split(lattice, keys, r, [(found[d], d, v) for d, v, _ in todo], lp, begins, ends, changed, np.maximum(changed, 0), sums, shuts, k)
+        ids, many = lattice.spell(lattice.ids[edges])
+        n_ids = total if len(ids) == len(edges) else np.add.reduceat(np.append(many, 0), np.minimum(begins, len(many))) * (total > 0)
+        out.append((docs, np.array(sums), np.array([v for _, v, _ in todo]), ids, n_ids))
+        todo = []
+        for d in docs.tolist():
+            if (node := _popped(lattice, keys, found[d], d, taken, k)) is not None:
+                todo.append((d, *node))
+    kappa = np.full(len(texts), -np.inf)
+    for d, v, _ in todo:
+        kappa[d] = v
+    return out, kappa
+
+
+def _split(lattice: Lattice, keys: np.ndarray, r: int, owners: list, lp: np.ndarray, begins: np.ndarray, ends: np.ndarray, changed: np.ndarray, place: np.ndarray, sums: list[float], shuts: list, k: int) -> None:
+    """Put the sets on the heaps that share a path of round r up to a place and differ there, from the changed piece on."""
+    lane = np.arange(NEAR)
+    at = (begins + place)[:, None] + lane
+    inside = at < ends[:, None]
+    own = np.where(inside, lp[np.minimum(at, max(len(lp) - 1, 0))], 0.0) if len(lp) else np.zeros(at.shape)
+    upto = np.array([float(lp[a : a + t].sum()) for a, t in zip(begins.tolist(), place.tolist(), strict=True)])
+    before = upto[:, None] + np.cumsum(own, axis=1)  # after each place
+    with np.errstate(divide="ignore", over="ignore"):
+        mass = np.where(inside, before - own + np.log(np.maximum(-np.expm1(own), 0.0)), -np.inf)
+        for x in np.flatnonzero(changed >= 0).tolist():
+            mass[x, 0] = upto[x] + np.log(lattice.others(shuts[x][-1], shuts[x])[1].sum())
+        # All that differ later: what the places up to there leave, less the path itself.
+        rest = np.minimum(np.array(sums) - before[:, -1], 0.0)
+        last = before[:, -1] + np.where(begins + place + NEAR < ends, np.log(np.maximum(-np.expm1(rest), 0.0)), -np.inf)
+        mass = np.column_stack([mass, last])
+        base = keys[[d for _, d, _ in owners]] + np.uint64(r) * _STEP
+        nth = (place[:, None] + np.arange(NEAR + 1) + 1).astype(np.uint64)
+        salt = nth * _ROUND
+        salt[:, -1] = nth[:, -1] * _PLACE + _ROUND
+        best = np.array([v for _, _, v in owners])[:, None]
+        value = np.where(np.isneginf(mass), np.inf, np.logaddexp(-best, -(mass + gumbel(base[:, None] + salt))))  # negated; truncated at the value of the set that it comes from
+    few = np.argsort(value, axis=1, kind="stable")[:, : k + 1]
+    for x, (text, _, _) in enumerate(owners):
+        for i in few[x].tolist():
+            if value[x, i] < np.inf:
+                heapq.heappush(text.heap, (float(value[x, i]), r, int(place[x]) + i, i == NEAR, shuts[x] if i == 0 and changed[x] >= 0 else ()))
+
+
+def _popped(lattice: Lattice, keys: np.ndarray, text: _Text, d: int, taken: list[np.ndarray], k: int) -> tuple[float, tuple] | None:
+    """The best set's value and (path, place, shut edges). A set of all that differ later is split first: its value goes to one of its parts, by mass."""
+    while text.heap:
+        value, r, t, is_rest, shut = heapq.heappop(text.heap)
+        a, b = text.paths[r - 1]
+        path = taken[r - 1][a:b]
+        if not is_rest:
+            return -value, (r - 1, t, shut or (int(path[t]),))
+        lp = lattice.log_prob[path]
+        upto = min(len(path), t + max(NEAR, t))
+        before = np.cumsum(lp) - lp
         with np.errstate(divide="ignore", over="ignore"):
-            mass = before + np.log(np.maximum(-np.expm1(lp), 0.0))
-            shuts: list[tuple[int, ...]] = [()] * len(todo)
-            for x, (_, _, node) in enumerate(todo):
-                if node is not None:
-                    shuts[x] = (*node[2], int(heads[x][0][-1]))
-                    at = begins[x] + node[1]
-                    mass[begins[x] : at] = -np.inf
-                    mass[at] = before[at] + np.log(lattice.others(shuts[x][-1], shuts[x])[1].sum())
-            doc, best = np.array([d for d, _, _ in todo]), np.array([v for _, v, _ in todo])
-            g = gumbel((keys[doc] + np.uint64(r) * _STEP)[of] + (nth + 1).astype(np.uint64) * _ROUND)
-        value = np.where(np.isneginf(mass), np.inf, np.logaddexp(-best[of], -(mass + g)))  # negated; truncated at the value of the set that it comes from
-        later = []
-        for x, (d, v, node) in enumerate(todo):
-            a, b = begins[x], ends[x]
-            paths[d].append([y[a:b] for y in whole])
-            scores[d].append(v)
-            few = np.argpartition(value[a:b], k)[: k + 1] if b - a > k + 1 else np.arange(b - a)
-            for i in few.tolist():
-                if value[a + i] < np.inf:
-                    heapq.heappush(heaps[d], (float(value[a + i]), r, i, (r - 1, i, shuts[x] if node is not None and i == node[1] else (int(whole[0][a + i]),))))
-            if r < k and heaps[d]:
-                v, _, _, nxt = heapq.heappop(heaps[d])
-                later.append((d, -v, nxt))
-        todo = later
-    out = []
-    for d in range(len(texts)):
-        kappa = -heaps[d][0][0] if heaps[d] else -np.inf
-        rows = []
-        for (_, _, lp, ids), score in zip(paths[d], scores[d], strict=True):
-            total = float(lp.sum())
-            z = total - kappa
-            inclusion = 0.0 if np.isinf(kappa) else z if z < -30 else float(np.log(-np.expm1(-np.exp(min(z, 700.0)))))
-            if lattice.spelled and (ids < 0).any():
-                ids = np.array([y for x in ids.tolist() for y in ((x,) if x >= 0 else lattice.spelled[-2 - x])], dtype=np.int32)
-            rows.append((total, score, inclusion, ids))
-        out.append(rows)
+            mass = before[t:upto] + np.log(np.maximum(-np.expm1(lp[t:upto]), 0.0))
+            later = min(float(lp[upto:].sum()), 0.0)
+            mass = np.append(mass, before[upto] + np.log(max(-np.expm1(later), 0.0)) if upto < len(path) else -np.inf)
+            nth = np.arange(t + 1, upto + 2).astype(np.uint64)
+            salt = keys[d] + np.uint64(r) * _STEP + nth * _ROUND
+            salt[-1] = keys[d] + np.uint64(r) * _STEP + nth[-1] * _PLACE + _ROUND
+            g = mass + gumbel(salt)
+            # Gumbel-max picks the part that has the set's value; the others' are truncated by it.
+            pick = int(np.argmax(mass + gumbel(salt ^ _PLACE)))
+            values = np.where(np.isneginf(mass), np.inf, np.logaddexp(value, -g))
+        values[pick] = value
+        for i in np.argsort(values, kind="stable")[: k + 1].tolist():
+            if values[i] < np.inf:
+                heapq.heappush(text.heap, (float(values[i]), r, t + i, t + i == upto, ()))
+    return None
+
+
+def inclusion(log_prob: np.ndarray, kappa: np.ndarray) -> np.ndarray:
+    """Log probability that a segmentation's perturbed value is above kappa."""
+    z = log_prob - kappa
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        return np.where(np.isneginf(kappa), 0.0, np.where(z < -30, z, np.log(-np.expm1(-np.exp(np.minimum(z, 700.0))))))
+
+
+def sample(model: Model, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
+    """For each text up to k (log_prob, score, log_inclusion, ids), best score first."""
+    found, kappa = rounds(model, texts, keys, k)
+    out: list[list] = [[] for _ in texts]
+    for docs, total, score, ids, n in found:
+        ends = np.cumsum(n)
+        for d, t, v, i, a, b in zip(docs.tolist(), total.tolist(), score.tolist(), inclusion(total, kappa[docs]).tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
+            out[d].append((t, v, i, ids[a:b]))
     return out
 
 
@@ -345,20 +453,19 @@ def sampled_pieces(docs: DataFrame, k: int = 3, model_file: str = MODEL, alpha:
         model = _models[model_file, alpha]
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
-            ids, keys = batch["doc_id"].to_pylist(), batch["key"].to_numpy().view(np.uint64)
+            ids, keys = batch["doc_id"], batch["key"].to_numpy().view(np.uint64)
             a = 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and (b == a or size + len(texts[b]) <= CHUNK):
                     size, b = size + len(texts[b]), b + 1
-                out = [(d, n, *s) for d, t, found in zip(ids[a:b], texts[a:b], sample(model, texts[a:b], keys[a:b], k), strict=True) for n, s in enumerate(((*x, model.decode(x[3].tolist()) == t) for x in found), 1)]
-                doc, n, total, score, inclusion, pieces, same = zip(*out, strict=True)
-                at = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
-                flat = np.concatenate(pieces) if at[-1] else np.zeros(0, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(np.diff(at).astype(np.int64)), pa.array(total, pa.float64()), pa.array(score, pa.float64()), pa.array(inclusion, pa.float64()), pa.array(same, pa.bool_()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32)))],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
-                )
+                found, kappa = rounds(model, texts[a:b], keys[a:b], k)
+                own = pa.array([("" if t == "" else " " + t).encode() for t in texts[a:b]], pa.binary())
+                for n, (at, total, score, pieces, many) in enumerate(found, 1):
+                    bounds = pa.array(np.append(0, np.cumsum(many)), pa.int32())
+                    said = pc.binary_join(pa.ListArray.from_arrays(bounds, model.bytes.take(pa.array(pieces))), b"")
+                    columns = [ids.take(pa.array(at + a)), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(many), pa.array(total), pa.array(score), pa.array(inclusion(total, kappa[at])), pc.equal(said, own.take(pa.array(at)))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(bounds, pa.array(pieces, pa.int32()))], names=[x.split()[0] for x in SCHEMA.split(", ")])
                 a = b
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.lit(seed), "doc_id").alias("key")).mapInArrow(rows, SCHEMA)

@@ -33,7 +33,10 @@ def segmentations(model, text):
     return {p: math.exp(w - top) / total for p, w in found.items()}
 
 
-def test_distribution_without_replacement(model):
+@pytest.mark.parametrize("near", [pieces.NEAR, 1, 2])
+def test_distribution_without_replacement(model, near, monkeypatch):
+    """near: places that are sets of their own; what differs later is split when popped."""
+    monkeypatch.setattr(pieces, "NEAR", near)
     text, n = "ab the", 6000
     p = segmentations(model, text)
     first, second = Counter(), Counter()
@@ -50,15 +53,19 @@ def test_distribution_without_replacement(model):
         assert abs(second[x] / n - sum(p[y] * p[x] / (1 - p[y]) for y in p if y != x)) < 0.02
 
 
-def test_all_segmentations_of_a_short_text(model):
+@pytest.mark.parametrize("near", [pieces.NEAR, 1, 2])
+def test_all_segmentations_of_a_short_text(model, near, monkeypatch):
+    monkeypatch.setattr(pieces, "NEAR", near)
     p = segmentations(model, "ant")
     (rows,) = pieces.sample(model, ["ant"], np.array([3], dtype=np.uint64), 500)
     assert sorted(tuple(model.text[i] for i in r[3]) for r in rows) == sorted(p)
     assert all(r[2] == 0.0 for r in rows)
 
 
-def test_inclusion(model):
+@pytest.mark.parametrize("near", [pieces.NEAR, 1])
+def test_inclusion(model, near, monkeypatch):
     """Inverse inclusion probabilities estimate the number of segmentations without bias."""
+    monkeypatch.setattr(pieces, "NEAR", near)
     p, n = segmentations(model, "ants"), 3000
     out = pieces.sample(model, ["ants"] * n, mix(np.arange(n, dtype=np.uint64)), 4)
     got = sum(math.exp(r[0] - r[2]) for rows in out for r in rows) / n
