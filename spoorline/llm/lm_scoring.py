@@ -7,8 +7,10 @@ lower means more like the target.
 Counts cover every token of every document, and every word and every bigram counts in the scores, whatever its share of the
 corpus. Documents are dealt into blocks by their content. A block sends each of its words and bigrams once, with its counts
 there, to where all blocks' counts of it are summed up, and gets the sums back in the order in which it asked; no model is
-held in one place or broadcast. Bigrams are smoothed by absolute discounting, with exactly the mass that is left going to
-the unigrams. ``models`` makes bounded models in memory instead, on request.
+held in one place or broadcast. Messages name their words once and bigrams by places in that list. All of it is one query, so
+that texts and bigrams are shuffled once and read again from there. Bigrams are smoothed by absolute discounting, with
+exactly the mass that is left going to the unigrams. Target documents are scored like all others, by models that they are
+part of. ``models`` makes bounded models in memory instead, on request.
 
 Defined results: null and empty texts have no tokens and null losses and score; without target documents the target model
 is uniform; repeated rows each count and score alike; null doc_ids are never targets; an empty table gives an empty table.
@@ -147,16 +149,38 @@ def models(docs: DataFrame, word_share: float, bigram_share: float) -> tuple[Voc
 
 #: Bytes of text that a block may hold, some 3 million words; blocks are what a task looks up at once.
 BLOCK = 16 << 20
-START = 0  # stands before the first word of a text
+#: Blocks for each place where bigrams are summed up.
+BLOCKS_A_PLACE = 2
 _MOVED = "kind string, dest long, source long, n long, blob binary"
 
 
-def _pack(*columns: np.ndarray) -> tuple[int, bytes]:
-    return len(columns[0]), pa.compress(np.stack([x.astype(np.int64) for x in columns]).tobytes(), codec="zstd", asbytes=True)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length in as few bytes a number as they need, byte by byte, compressed."""
+    parts = [np.array([len(columns[0]), len(columns)], dtype=np.int64).tobytes()]
+    for c in columns:
+        c = c.astype(np.uint64)
+        most = int(c.max(initial=0))
+        width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+        narrow = c.astype(f"<u{width}").view(np.uint8).reshape(len(c), width)
+        parts += [bytes([width]), np.ascontiguousarray(narrow.T).tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(n: int, blob: bytes, k: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n * k, codec="zstd", asbytes=True), dtype=np.int64).reshape(k, n)
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, k = np.frombuffer(raw, dtype=np.int64, count=2).tolist()
+    out, at = [], 16
+    for _ in range(k):
+        width = raw[at]
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at + 1).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n).astype(np.uint64))
+        at += 1 + n * width
+    return out
+
+
+def _counts(blob: bytes) -> list[np.ndarray]:
+    return [c.view(np.int64) for c in _unpack(blob)]
 
 
 def _moved(rows: list[tuple]) -> pa.Table:
@@ -165,7 +189,7 @@ def _moved(rows: list[tuple]) -> pa.Table:
 
 
 def _part(codes: np.ndarray, parts: int) -> np.ndarray:
-    return (codes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    return (codes % np.uint64(parts)).astype(np.int64)
 
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -186,7 +210,7 @@ def _in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
             said = []
             for b, run in _split(block[order]):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                     out.write_batch(rows.take(pa.array(order[run])))
                 said.append((b, sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in said], pa.int64()), pa.array([x[1] for x in said], pa.binary())], names=["block", "rows"])
@@ -194,123 +218,182 @@ def _in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(packed, "block long, rows binary")
 
 
+#: Stands before the first word of a text; as a word it has no counts.
+START = np.uint64(0)
+
+
 class _Block:
-    """The texts of a block as words and pairs of words, by hash, each once and in the order in which they are looked up."""
+    """The texts of a block as words and pairs of words, each once and in an order that depends on nothing but what they are."""
 
-    def __init__(self, table: pa.Table, parts: int):
+    def __init__(self, table: pa.Table, parts: int, places: int, pairs: bool = True):
+        self.number = table["block"][0].as_py()
         self.rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]]).combine_chunks()
-        before, word, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        word, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, raw, at in slices(self.rows["text"]):
             h, r = _words(raw, at)
-            b = np.empty_like(h)
-            b[1:] = h[:-1]
-            b[np.append(True, r[1:] != r[:-1])[: len(r)]] = START
-            before.append(b)
-            word.append(h)
+            word.append(h.view(np.uint64))
             row.append(r + a)
-        before, word, self.row = (np.concatenate(x) for x in (before, word, row))
-        with np.errstate(over="ignore"):
-            code = mix(mix(before.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + word.view(np.uint64)).view(np.int64)
-        code, at, pair = np.unique(code, return_index=True, return_inverse=True)
-        self.pair_part = _part(code, parts)
-        order = np.lexsort((code, before[at], self.pair_part))  # equal first words stand together, which packs well
-        self.pair_part, self.code, self.first, second = self.pair_part[order], code[order], before[at][order], word[at][order]
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.pair = place[pair]  # of each token
-        words = np.unique(np.concatenate([self.first, second]))
+        self.row = np.concatenate(row)
+        words, at = np.unique(np.concatenate([*word, np.array([START])]), return_inverse=True)
+        start, at = at[-1], at[:-1]
+        self.hash = words
         part = _part(words, parts)
-        order = np.argsort(part, kind="stable")
-        self.word_part, self.words = part[order], words[order]
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.a, self.b = (place[np.searchsorted(words, x)] for x in (self.first, second))  # words of each pair
-
-
-def _asked(table: pa.Table, parts: int) -> pa.Table:
-    """Counts of a block's words and pairs, sent to where each is summed up."""
-    me = table["block"][0].as_py()
-    x = _Block(table, parts)
-    target = x.rows["target"].to_numpy()[x.row].astype(np.float64)
-    n, t = np.bincount(x.pair, minlength=len(x.code)), np.bincount(x.pair, target, len(x.code))
-    w = [np.bincount(of, c, len(x.words)) for of in (x.b, x.a) for c in (n, t)]
-    out = [("pair", p, me, *_pack(x.code[s], x.first[s], n[s], t[s])) for p, s in _split(x.pair_part)]
-    return _moved(out + [("word", p, me, *_pack(x.words[s], *(c[s] for c in w))) for p, s in _split(x.word_part)])
-
-
-def _summed_pairs(table: pa.Table, parts: int) -> pa.Table:
-    """Whole counts of pairs, back to each block that asked, and how many words follow each first word. Words pass through."""
+        self.word_order = np.argsort(part, kind="stable")
+        self.word_part = part[self.word_order]
+        self.at = at
+        self.opens = np.append(True, self.row[1:] != self.row[:-1])[: len(self.row)]
+        self.closes = np.append(self.row[1:] != self.row[:-1], True)[: len(self.row)]
+        if not pairs:
+            return
+        before = np.empty_like(at)
+        before[1:] = at[:-1]
+        before[self.opens] = start
+        code, pair = np.unique(before * len(words) + at, return_inverse=True)
+        first, second = code // len(words), code % len(words)
+        place = _part(_code(words[first], words[second]), places)
+        order = np.argsort(place, kind="stable")
+        self.place, self.first, self.second = place[order], first[order], second[order]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        self.pair = back[pair]  # of each token
+
+    def target(self) -> np.ndarray:
+        return self.rows["target"].to_numpy()[self.row].astype(np.float64)
+
+
+def _code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(first + np.uint64(0x9E3779B97F4A7C15)) + second)
+
+
+def _ask_pairs(table: pa.Table, parts: int, places: int) -> pa.Table:
+    """Counts of a block's pairs of words, sent to where each is summed up: the words in them, then pairs by their places there."""
+    x = _Block(table, parts, places)
+    n, t = np.bincount(x.pair, minlength=len(x.first)), np.bincount(x.pair, x.target(), len(x.first))
+    out = []
+    for p, s in _split(x.place):
+        names, at = np.unique(np.concatenate([x.first[s], x.second[s]]), return_inverse=True)
+        m = s.stop - s.start
+        named = _pack(np.diff(x.hash[names], prepend=np.uint64(0)))
+        out.append(("pair", p, x.number, m, len(named).to_bytes(8, "little") + named + _pack(np.diff(at[:m], prepend=0), at[m:], n[s], t[s])))
+    return _moved(out)
+
+
+def _asked_pairs(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """first, second, n and t of all pairs asked for."""
+    out: list[tuple] = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2]
+    for r in rows:
+        cut = 8 + int.from_bytes(r["blob"][:8], "little")
+        (names,) = _unpack(r["blob"][8:cut])
+        names = np.cumsum(names, dtype=np.uint64)
+        first, second, n, t = _counts(r["blob"][cut:])
+        out.append((names[np.cumsum(first)], names[second], n, t))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _sum_pairs(table: pa.Table) -> pa.Table:
+    """Whole counts of pairs, back to each block that asked."""
     rows = table.to_pylist()
-    out = [tuple(r.values()) for r in rows if r["kind"] == "word"]
-    asked = [r for r in rows if r["kind"] == "pair"]
-    if asked:
-        code, first, n, t = np.concatenate([_unpack(r["n"], r["blob"], 4) for r in asked], axis=1)
-        _, at, of = np.unique(code, return_index=True, return_inverse=True)
-        n, t = np.bincount(of, n), np.bincount(of, t)
-        a = 0
-        for r in asked:
-            mine = of[a : a + r["n"]]
-            a += r["n"]
-            out.append(("counts", r["source"], r["dest"], *_pack(n[mine], t[mine])))
-        contexts, of = np.unique(first[at], return_inverse=True)
-        follow, follow_t = np.bincount(of), np.bincount(of, t > 0)
-        part = _part(contexts, parts)
-        order = np.argsort(part, kind="stable")
-        out += [("follow", p, -1, *_pack(contexts[order][s], follow[order][s], follow_t[order][s])) for p, s in _split(part[order])]
+    first, second, n, t = _asked_pairs(rows)
+    _, of = np.unique(_code(first, second), return_inverse=True)
+    n, t = (np.bincount(of, c).astype(np.int64) for c in (n, t))
+    out, a = [], 0
+    for r in rows:
+        mine = of[a : a + r["n"]]
+        a += r["n"]
+        out.append(("counts", r["source"], r["dest"], r["n"], _pack(n[mine], t[mine])))
     return _moved(out)
 
 
-def _summed_words(table: pa.Table) -> pa.Table:
-    """Whole counts of words, as contexts and of what follows them, back to each block, and the sums of all words (kind total)."""
+def _count_followers(table: pa.Table, parts: int) -> pa.Table:
+    """How many different words follow each word, of the pairs that are summed up here."""
+    first, second, _, t = _asked_pairs(table.to_pylist())
+    _, at, of = np.unique(_code(first, second), return_index=True, return_inverse=True)
+    words, who = np.unique(first[at], return_inverse=True)
+    follow, follow_t = np.bincount(who), np.bincount(who, np.bincount(of, t) > 0).astype(np.int64)
+    part = _part(words, parts)
+    order = np.argsort(part, kind="stable")
+    return _moved([("follow", p, -1, s.stop - s.start, _pack(np.diff(words[order][s], prepend=np.uint64(0)), follow[order][s], follow_t[order][s])) for p, s in _split(part[order])])
+
+
+def _ask_words(table: pa.Table, parts: int) -> pa.Table:
+    """Counts of a block's words, sent to where each is summed up: as words, and as last words, which nothing follows."""
+    x = _Block(table, parts, 1, False)
+    t = x.target()
+    size = len(x.hash)
+    counts = [np.bincount(x.at, minlength=size), np.bincount(x.at, t, size), np.bincount(x.at[x.closes], minlength=size), np.bincount(x.at[x.closes], t[x.closes], size)]
+    # The start is no word: here stands how many texts it begins.
+    at = int(np.searchsorted(x.hash, START))
+    counts[2][at], counts[3][at] = x.opens.sum(), t[x.opens].sum()
+    order = x.word_order
+    return _moved([("word", p, x.number, s.stop - s.start, _pack(np.diff(x.hash[order][s], prepend=np.uint64(0)), *(c[order][s] for c in counts))) for p, s in _split(x.word_part)])
+
+
+def _sum_words(table: pa.Table) -> pa.Table:
+    """Whole counts of words, back to each block that asked, and the sums over all words here (kinds all, target, known)."""
     rows = table.to_pylist()
     asked, follow = ([r for r in rows if r["kind"] == k] for k in ("word", "follow"))
-    w, f = (np.concatenate([np.zeros((k, 0), np.int64), *(_unpack(r["n"], r["blob"], k) for r in x)], axis=1) for x, k in ((asked, 5), (follow, 3)))
-    code, of = np.unique(np.append(w[0], f[0]), return_inverse=True)
-    m = w.shape[1]
-    sums = [np.bincount(of[:m], x, len(code)) for x in w[1:]] + [np.bincount(of[m:], x, len(code)) for x in f[1:]]
+    got = [[_unpack(r["blob"]) for r in x] for x in (asked, follow)]
+    word, other = (np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(c[0], dtype=np.uint64) for c in g)]) for g in got)
+    w, f = ([np.concatenate([np.zeros(0, np.int64), *(c[i].view(np.int64) for c in g)]) for i in range(1, k)] for g, k in zip(got, (5, 3), strict=True))
+    code, of = np.unique(np.append(word, other), return_inverse=True)
+    m = len(word)
+    sums = [np.bincount(of[:m], x, len(code)).astype(np.int64) for x in w] + [np.bincount(of[m:], x, len(code)).astype(np.int64) for x in f]
     out, a = [], 0
     for r in asked:
         mine = of[a : a + r["n"]]
         a += r["n"]
-        out.append(("words", r["source"], r["dest"], *_pack(*(x[mine] for x in sums))))
-    known = int((sums[0] > 0).sum())
-    return _moved([*out, ("total", -1, -1, *_pack(*(np.array([x]) for x in (sums[0].sum(), sums[1].sum(), known))))])
+        out.append(("words", r["source"], r["dest"], r["n"], _pack(*(x[mine] for x in sums))))
+    return _moved([*out, *((k, -1, -1, int(v), None) for k, v in (("all", sums[0].sum()), ("target", sums[1].sum()), ("known", (sums[0] > 0).sum())))])
 
 
-def _scored(table: pa.Table, replies: pa.Table, parts: int, totals: tuple[int, int, int]) -> pa.Table:
+def _scored(table: pa.Table, replies: pa.Table, parts: int, places: int) -> pa.Table:
     names, types = [x.split()[0] for x in SCORES.split(", ")], [pa.int64(), pa.int64(), *[pa.float64()] * 3]
     if not table.num_rows:
         return pa.table([pa.array([], t) for t in types], names=names)
-    x = _Block(table, parts)
+    x = _Block(table, parts, places)
     rows = sorted(replies.to_pylist(), key=lambda r: r["source"])
-    got = {kind: np.concatenate([np.zeros((k, 0), np.int64), *(_unpack(r["n"], r["blob"], k) for r in rows if r["kind"] == kind)], axis=1) for kind, k in (("counts", 2), ("words", 6))}
-    assert got["counts"].shape[1] == len(x.code) and got["words"].shape[1] == len(x.words)
+    got = {kind: [np.concatenate(c) for c in zip(*[[np.zeros(0, np.int64)] * k, *(_counts(r["blob"]) for r in rows if r["kind"] == kind)], strict=True)] for kind, k in (("counts", 2), ("words", 6))}
+    assert len(got["counts"][0]) == len(x.first) and len(got["words"][0]) == len(x.hash)
+    totals = next(({k: r[k] for k in ("target", "all", "known")} for r in rows if r["kind"] == "words"), None)
+    back = np.empty_like(x.word_order)
+    back[x.word_order] = np.arange(len(x.word_order))
+    first, second = back[x.first], back[x.second]
     size = x.rows.num_rows
     n = np.bincount(x.row, minlength=size)
+    start = int(back[np.searchsorted(x.hash, START)])
     means = []
-    for m in (1, 0):
-        count, context, follow, word = got["counts"][m], got["words"][2 + m][x.a], got["words"][4 + m][x.a], got["words"][m][x.b]
+    for m, name in ((1, "target"), (0, "all")):
+        word = got["words"][m]
+        context = word - got["words"][2 + m]
+        context[start] = got["words"][2 + m][start]
+        context, follow = context[first], got["words"][4 + m][first]
         left = np.where(context > 0, DISCOUNT * follow / np.maximum(context, 1), 1.0)
-        p = np.maximum(count - DISCOUNT, 0.0) / np.maximum(context, 1) + left * (word + 1.0) / (totals[m] + totals[2] + 1)
+        p = np.maximum(got["counts"][m] - DISCOUNT, 0.0) / np.maximum(context, 1) + left * (word[second] + 1.0) / (totals[name] + totals["known"] + 1) if len(first) else np.zeros(0)
         means.append(np.bincount(x.row, -np.log(p)[x.pair], size) / np.maximum(n, 1))
     t, b = means
     return pa.table([x.rows["doc_id"], pa.array(n), *(pa.array(y, mask=n == 0) for y in (t, b, t - b))], names=names).cast(pa.schema(list(zip(names, types, strict=True))))
 
 
-def whole_score(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """SCORES of rows (doc_id, text) by models that keep every word and every bigram. marked: the same rows and target."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_partitions(rows.sparkSession), -(-size // BLOCK))
-    asked = _in_blocks(marked, parts).groupBy("block").applyInArrow(lambda t: _asked(t, parts), _MOVED)
-    pairs = checkpoint(asked.groupBy("dest").applyInArrow(lambda t: _summed_pairs(t, parts), _MOVED))
-    words = checkpoint(pairs.where("kind in ('word', 'follow')").groupBy("dest").applyInArrow(_summed_words, _MOVED))
-    totals = np.zeros(3, dtype=np.int64)
-    for r in words.where("kind = 'total'").toLocalIterator():
-        totals += _unpack(1, bytes(r["blob"]), 3)[:, 0]
-    # By the model that uses them: background, target; then the distinct words.
-    totals = tuple(totals.tolist())
-    replies = pairs.where("kind = 'counts'").unionByName(words.where("kind = 'words'"))
-    return _in_blocks(rows, parts).groupBy("block").cogroup(replies.groupBy("dest")).applyInArrow(lambda t, r: _scored(t, r, parts, totals), SCORES)
+def whole_score(marked: DataFrame) -> DataFrame:
+    """SCORES of rows (doc_id, text, target) by models that keep every word and every bigram.
+
+    The exchange of texts serves three readers and that of pairs two; nothing is collected. The three sums over all words
+    are one row, which is sent to all.
+    """
+    size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(marked.sparkSession), -(-size // BLOCK))
+    places = max(1, parts // BLOCKS_A_PLACE)
+    blocks = _in_blocks(marked, parts)
+    ask_pairs, ask_words = (lambda t: _ask_pairs(t, parts, places)), (lambda t: _ask_words(t, parts))
+    pairs = blocks.groupBy("block").applyInArrow(ask_pairs, _MOVED)
+    followers = pairs.groupBy("dest").applyInArrow(lambda t: _count_followers(t, parts), _MOVED)
+    counts = pairs.groupBy("dest").applyInArrow(_sum_pairs, _MOVED)
+    words = blocks.groupBy("block").applyInArrow(ask_words, _MOVED).unionByName(followers).groupBy("dest").applyInArrow(_sum_words, _MOVED)
+    totals = words.agg(*(F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in ("all", "target", "known")))
+    none = [F.lit(None).cast("long").alias(k) for k in ("all", "target", "known")]
+    replies = words.where("kind = 'words'").join(F.broadcast(totals)).unionByName(counts.select("*", *none))
+    return blocks.groupBy("block").cogroup(replies.groupBy("dest")).applyInArrow(lambda t, r: _scored(t, r, parts, places), SCORES)
 
 
 def score(docs: DataFrame, target_ids: DataFrame, word_share: float = 0.0, bigram_share: float = 0.0) -> DataFrame:
@@ -322,7 +405,7 @@ def score(docs: DataFrame, target_ids: DataFrame, word_share: float = 0.0, bigra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marked = join_small(rows, ids, ["doc_id"], "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     if word_share <= 0 and bigram_share <= 0:
-        return whole_score(rows, marked)
+        return whole_score(marked)
     shared = docs.sparkSession.sparkContext.broadcast(models(marked, word_share, bigram_share))
 
     def losses(batches):
