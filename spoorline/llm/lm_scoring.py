@@ -279,23 +279,26 @@ def _ask_pairs(table: pa.Table, parts: int, places: int) -> pa.Table:
     return _moved(out)
 
 
-def _asked_pairs(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """first, second, n and t of all pairs asked for."""
-    out: list[tuple] = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2]
+def _asked_pairs(rows: list[dict], which: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Of all pairs asked for: 0 code, 1 first word, 2 count, 3 count in targets."""
+    out: list[list[np.ndarray]] = [[] for _ in which]
     for r in rows:
         cut = 8 + int.from_bytes(r["blob"][:8], "little")
         (names,) = _unpack(r["blob"][8:cut])
         names = np.cumsum(names, dtype=np.uint64)
         first, second, n, t = _counts(r["blob"][cut:])
-        out.append((names[np.cumsum(first)], names[second], n, t))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        first = names[np.cumsum(first)]
+        own = (_code(first, names[second]), first, n, t)
+        for have, i in zip(out, which, strict=True):
+            have.append(own[i])
+    return tuple(np.concatenate(c) for c in out)
 
 
 def _sum_pairs(table: pa.Table) -> pa.Table:
     """Whole counts of pairs, back to each block that asked."""
     rows = table.to_pylist()
-    first, second, n, t = _asked_pairs(rows)
-    _, of = np.unique(_code(first, second), return_inverse=True)
+    code, n, t = _asked_pairs(rows, (0, 2, 3))
+    of = np.unique(code, return_inverse=True)[1]
     n, t = (np.bincount(of, c).astype(np.int64) for c in (n, t))
     out, a = [], 0
     for r in rows:
@@ -307,8 +310,8 @@ def _sum_pairs(table: pa.Table) -> pa.Table:
 
 def _count_followers(table: pa.Table, parts: int) -> pa.Table:
     """How many different words follow each word, of the pairs that are summed up here."""
-    first, second, _, t = _asked_pairs(table.to_pylist())
-    _, at, of = np.unique(_code(first, second), return_index=True, return_inverse=True)
+    code, first, t = _asked_pairs(table.to_pylist(), (0, 1, 3))
+    _, at, of = np.unique(code, return_index=True, return_inverse=True)
     words, who = np.unique(first[at], return_inverse=True)
     follow, follow_t = np.bincount(who), np.bincount(who, np.bincount(of, t) > 0).astype(np.int64)
     part = _part(words, parts)
