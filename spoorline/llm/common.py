@@ -18,10 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Cut lineage through the shared folder of spark.checkpoint.dir; a folder of our own only on one machine, where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spoorline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spoorline-"))
     return df.checkpoint()
 
 
@@ -109,8 +112,34 @@ def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, at)
 
 
+#: Places of a word that have random numbers of their own; places beyond are mixed with how often they were gone round.
+_PLACES = 64
+_table: list[np.ndarray] = []
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes and length."""
-    h = range_hashes(prefix_hashes(raw.astype(np.uint64) + np.uint64(1)), start, end)
+    """A 64-bit hash of each word's bytes and length: a sum of random numbers, one for each byte at each place."""
+    if not _table:
+        _table.append(np.random.default_rng(61).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64))
+    begun = np.zeros(len(raw), dtype=np.int64)
+    begun[start] = start
+    place = np.arange(len(raw)) - np.maximum.accumulate(begun)
+    value = _table[0][(place & (_PLACES - 1)) << 8 | raw]
     with np.errstate(over="ignore"):
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = mix(mix(value[far] + (place[far] // _PLACES).astype(np.uint64) * np.uint64(BASE)))
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(value, out=total[1:])
+        return mix(total[end] - total[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that df has already."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out

@@ -18,16 +18,16 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of links (u, v); any orderable type.
 
     Each round points every node at its least neighbour, first for greater neighbours, then for smaller ones. Minima are
-    summed up before the shuffle and joined back, so a node with very many links is never gathered. Rounds grow with the
-    logarithm of the longest path.
+    summed up before the shuffle and written, so that both sides of the join back are shuffled and Spark can split a node
+    with very many links. Rounds grow with the logarithm of the longest path.
     """
     e = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = checkpoint(large)
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpoint(e.groupBy("u").agg(F.min("v").alias("m")))
         small = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = checkpoint(small.where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

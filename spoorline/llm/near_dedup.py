@@ -4,7 +4,7 @@ Each document's set of shingles gives 128 minima. A few of them make a band key,
 The threshold decides how many: the most with which one pair in 20,000 at most shares none at the threshold itself. That is
 21 bands of six at 0.85 (one pair in 20,800) and 25 of five at 0.8 (one in 22,000). Of every minimum the two lowest bits are kept, packed
 into four numbers; the share of equal ones, corrected for chance agreement, estimates a pair's similarity by counting bits.
-Pairs within four standard errors of the threshold, at that threshold, or above are confirmed on the full sets.
+Pairs within four standard errors of the threshold, at that threshold, or above are confirmed on the full sets of words.
 
 Documents with equal sets are one class, so copies cost nothing. In each bucket of a band, every class is first held
 against two of its members only; links join into components, and then candidates of one bucket that are still in
@@ -12,6 +12,10 @@ different components are held against each other. Their rarest shingles bound wh
 and pairs that cannot reach the threshold drop out before full sets are read. No pair that could change a component goes
 untested, and a large group of near copies is never paired out.
 
+Texts are shuffled once, to set those apart that share a bucket with others; all later steps read that smaller table. A
+class that very many are held against (a hub) is sent once to each of SPREAD parts of them. What is summed up per bucket is
+written before it is joined back: then both sides are shuffled, and Spark can split a bucket of very many classes.
+
 Defined results: texts without words (null, empty) have no shingles, are linked with nothing and stay; a text of one or
 two words has one shingle; components are named by their smallest doc_id, null doc_ids last; repeated rows are equal sets;
 an empty table gives an empty table; further columns are ignored.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, flat, mix, prefix_hashes, range_hashes, word_bounds, word_hashes
+from .common import checkpoint, flat, fresh, mix, prefix_hashes, range_hashes, word_bounds, word_hashes
 from .graph import components
 
 MINIMA, BITS, SEED = 128, 2, 7
@@ -40,8 +44,8 @@ CHANCE = 1 / (1 << BITS)
 #: Standard errors of the estimate at the threshold that a candidate may lie below it.
 ERRORS = 4
 CHUNK = 1 << 20
-#: Keys of 8 bytes that may be broadcast.
-SENT = 200_000
+#: Parts into which the partners of a class are dealt.
+SPREAD = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -151,12 +155,27 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and one text of each wanted class (distinct). Up to SENT keys are sent to the texts; beyond that, both are shuffled."""
-    keys = checkpoint(wanted.select(F.col("cls").alias("row_key")))
-    return _rows(docs).join(F.broadcast(keys) if keys.count() <= SENT else keys, "row_key").select(F.col("row_key").alias("cls"), "text").dropDuplicates(["cls"])
-
-
-def rarest_shingles(docs: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
+    """cls and one text of each wanted class (cls, distinct). Keys are never broadcast, so that the plan is the same at every size."""
+    keys = wanted.select(F.col("cls").alias("row_key")).hint("shuffle_hash")
+    return _rows(docs).join(keys, "row_key").select(F.col("row_key").alias("cls"), "text").dropDuplicates(["cls"])
+
+
+def enough_in_common(a: bytes, b: bytes, percent: int, size: int) -> bool:
+    """Whether two texts' sets of shingles are similar enough, by their words."""
+    first, second = a.lower().split(), b.lower().split()  # bytes: A-Z, and the contract's white space
+    if min(len(first), len(second)) < size:
+        return first == second
+    ids: dict[bytes, int] = {}
+    word = np.fromiter((ids.setdefault(w, len(ids)) for w in (*first, *second)), dtype=np.int64, count=len(first) + len(second))
+    code = word
+    for k in range(1, size):
+        code = np.unique(code[: len(word) - k] * len(ids) + word[k:], return_inverse=True)[1]
+    p, q = np.unique(code[: len(first) - size + 1]), np.unique(code[len(first) :])
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def rarest_shingles(texts: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
     """cls, n, shared and the class's rarest shingles (rare) with the last of them in order (last), for among: cls, comp.
 
     Shingles are in one order for all: first those of one component only, then by how many of the classes have them.
@@ -171,8 +190,7 @@ def rarest_shingles(docs: DataFrame, among: DataFrame, percent: int, size: int)
                 of = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]) + a)
                 yield pa.RecordBatch.from_arrays([batch["cls"].take(of), batch["comp"].take(of), pa.array(np.concatenate(found).view(np.int64))], names=["cls", "comp", "shingle"])
 
-    texts = _texts_of(docs, among).join(among, "cls").select("cls", "comp", "text")
-    each = texts.mapInArrow(rows, "cls long, comp long, shingle long")
+    each = texts.join(among, "cls").select("cls", "comp", "text").mapInArrow(rows, "cls long, comp long, shingle long")
     common = each.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
     rarity = F.when(F.col("c0") == F.col("c1"), 0).otherwise(F.col("c")).alias("r")
     ranked = each.select("cls", "shingle").join(common.select("shingle", rarity), "shingle")
@@ -182,28 +200,19 @@ def rarest_shingles(docs: DataFrame, among: DataFrame, percent: int, size: int)
     return sets.select("cls", "n", "shared", rare.alias("rare")).select("cls", "n", "shared", F.col("rare.shingle").alias("rare"), F.element_at("rare", -1).alias("last"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (u, v of classes) whose full sets are similar enough. Only texts of classes in pairs are turned into sets."""
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (leaf, hub of classes) whose full sets are similar enough, as u and v. texts: cls, text.
 
-    def sets(batches):
-        for batch in batches:
-            for a, raw, at in slices(batch["text"]):
-                found = shingle_sets(raw, at, size)
-                # fixed-width numbers in a binary column
-                yield pa.RecordBatch.from_arrays([batch["cls"].slice(a, len(found)), pa.array([s.tobytes() for s in found], pa.binary())], names=["cls", "members"])
-
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
-    texts = _texts_of(docs, wanted).mapInArrow(sets, "cls long, members binary")
-    both = pairs.join(texts.select(F.col("cls").alias("u"), F.col("members").alias("a")), "u").join(texts.select(F.col("cls").alias("v"), F.col("members").alias("b")), "v")
+    A hub's text goes once to each part of its leaves that has any, and each leaf's text to that part.
+    """
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("leaf"), F.lit(SPREAD)))
+    hubs = pairs.select("hub", "part").distinct().join(texts.select(F.col("cls").alias("hub"), F.col("text").alias("b")), "hub")
+    leaves = pairs.join(texts.select(F.col("cls").alias("leaf"), F.col("text").alias("a")), "leaf")
+    both = leaves.join(hubs, ["hub", "part"]).select(F.col("leaf").alias("u"), F.col("hub").alias("v"), "a", "b")
 
     def similar(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["a"], batch["b"], strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(ok, pa.bool_())
+            mask = pa.array([enough_in_common(x.as_py(), y.as_py(), percent, size) for x, y in zip(batch["a"], batch["b"], strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
 
     return both.mapInArrow(similar, "u long, v long")
@@ -221,19 +230,26 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     banded = classes.select("cls", F.explode("bands").alias("band"))
 
     def likely(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sigs.select(F.col("cls").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("cls").alias("v"), F.col("sig").alias("sv")), "v")
-        return p.where(estimate("su", "sv") >= least).select("u", "v")
+        p = pairs.join(sigs.select(F.col("cls").alias("leaf"), F.col("sig").alias("su")), "leaf").join(sigs.select(F.col("cls").alias("hub"), F.col("sig").alias("sv")), "hub")
+        return p.where(estimate("su", "sv") >= least).select("leaf", "hub")
+
+    def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs that were not held against each other before, either way round."""
+        ends = lambda df: df.withColumn("x", F.least("leaf", "hub")).withColumn("y", F.greatest("leaf", "hub"))
+        return ends(pairs).join(ends(tested).select("x", "y").distinct(), ["x", "y"], "left_anti").groupBy("x", "y").agg(F.max("leaf").alias("leaf"), F.max("hub").alias("hub")).select("leaf", "hub")
 
-    buckets = banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
+    buckets = checkpoint(banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high"))
     shared = checkpoint(banded.join(buckets, "band"))
-    stars = shared.select("cls", F.explode(F.array("low", "high")).alias("mid")).where("cls <> mid").select(F.least("cls", "mid").alias("u"), F.greatest("cls", "mid").alias("v")).distinct()
+    stars = shared.select(F.col("cls").alias("leaf"), F.explode(F.array("low", "high")).alias("hub")).where("leaf <> hub").distinct()
     tested = checkpoint(likely(stars))
-    comps = checkpoint(components(confirmed(docs, tested, percent, size)))
+    texts = checkpoint(_texts_of(docs, shared.select("cls").distinct()))
+    comps = checkpoint(components(confirmed(texts, tested, percent, size)))
 
     def still_apart(members: DataFrame) -> DataFrame:
         """Members (band, cls, ...) of the buckets whose classes are not yet one component, with comp."""
         named = members.join(comps, F.col("cls") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
+        named = checkpoint(named)
+        open_ = checkpoint(named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band"))
         return named.join(open_, "band")
 
     fields = ("cls", "comp", "n", "shared", "rare", "last", "sig")
@@ -251,22 +267,22 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     # Once more against one class a bucket, the one with most open buckets, which in a group of copies is near its source.
     rows = checkpoint(still_apart(shared.select("band", "cls")))
     wide = rows.join(rows.groupBy("cls").agg(F.count("*").alias("reach")), "cls")
-    middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
-    central = rows.join(middle, "band").where("comp <> m.comp").select(F.least("cls", "m.cls").alias("u"), F.greatest("cls", "m.cls").alias("v")).distinct()
-    central = checkpoint(likely(central.join(tested, ["u", "v"], "left_anti")))
+    middle = checkpoint(wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m")))
+    central = rows.join(middle, "band").where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct()
+    central = checkpoint(likely(untested(central, tested)))
     # What is known of the components stands for the links they came from.
     known = lambda: comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    comps = checkpoint(components(known().unionByName(confirmed(docs, central, percent, size))))
+    comps = checkpoint(components(known().unionByName(confirmed(texts, central, percent, size))))
     tested = tested.unionByName(central)
     rows = checkpoint(still_apart(rows.select("band", "cls")))
     # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
-    able = rarest_shingles(docs, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
+    able = rarest_shingles(texts, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
     rows = rows.join(checkpoint(able.join(sigs, "cls")), "cls")
     more = sided(rows, "x").join(sided(rows, "y"), "band").where((F.col("clsx") < F.col("clsy")) & possible("x", "y"))
-    more = more.select(F.col("clsx").alias("u"), F.col("clsy").alias("v")).distinct()
-    more = checkpoint(more.join(tested, ["u", "v"], "left_anti"))
+    more = more.select(F.col("clsx").alias("leaf"), F.col("clsy").alias("hub")).distinct()
+    more = checkpoint(untested(more, tested))
     if not more.isEmpty():
-        comps = checkpoint(components(known().unionByName(confirmed(docs, more, percent, size))))
+        comps = checkpoint(components(known().unionByName(confirmed(texts, more, percent, size))))
     heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select(F.col("digest"), F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
     of_class = heads.select("digest", "comp").join(least_of, "comp").select(F.col("digest").alias("cls"), "first")
@@ -280,7 +296,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
 
 def near_filter(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of docs that stay: one document of each group, with all its columns; rows without words stay."""
-    stay = near_groups(docs, percent, size).where(F.col("place") == F.col("first")).select(F.col("row_key").alias("__row_key")).distinct()
-    rows = docs.withColumn("__row_key", F.xxhash64("doc_id", "text")).join(stay, "__row_key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))
-    return rows.withColumn("__n", nth).where("__n = 1").drop("__n", "__row_key")
+    key, nth = fresh(docs, "row_key", "nth")
+    stay = near_groups(docs, percent, size).where(F.col("place") == F.col("first")).select(F.col("row_key").alias(key)).distinct()
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(stay, key, "left_semi")
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth, key)

@@ -102,3 +102,37 @@ def test_few_pairs_at_the_threshold_share_no_band():
         b.append(np.concatenate([both, two]))
     width = nd.band_rows(80)
     assert (nd.band_keys(nd.signatures(a), width) != nd.band_keys(nd.signatures(b), width)).all(axis=1).sum() <= 3
+
+
+def thue_morse(n, a, b):
+    s = a
+    for _ in range(n):
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """Words of 1,024 letters with equal polynomial hashes modulo 2**64, whatever the base."""
+    one, two = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    got = nd.near_dedup(spark.createDataFrame([(1, f"{one} x y"), (2, f"{two} x y"), (3, f"{one} x  y")], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
+def test_confirmed_on_words():
+    r = random.Random(8)
+    for _ in range(300):
+        a = [r.choice("abcdefgh") for _ in range(r.randint(1, 30))]
+        b = list(a)
+        for _ in range(r.randint(0, 2)):
+            b[r.randrange(len(b))] = r.choice("ABCXYZ")
+        for percent, size in ((85, 3), (50, 5)):
+            x, y = sets_of(" ".join(a), size), sets_of("\n".join(b), size)
+            assert nd.enough_in_common(" ".join(a).encode(), "\n".join(b).encode(), percent, size) == (100 * len(x & y) >= percent * len(x | y))
+
+
+def test_filter_keeps_clashing_columns(spark):
+    docs = [(1, "a b c d e f g", 5, 6, 7), (2, "a b c d e f g", 5, 6, 8), (3, None, 1, 1, 1), (3, None, 1, 1, 1), (4, "w " * 30_000, 0, 0, 0), (5, "w " * 30_000 + "v", 0, 0, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row_key long, nth long, cls long")
+    got = nd.near_filter(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [docs[0], docs[2], docs[4], docs[5]]
