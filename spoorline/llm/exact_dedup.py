@@ -15,20 +15,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix, whole_text
+from .common import checkpoint, fresh, mix, whole_text
 
 #: Digests a shard is meant to hold; with slots of 56 bytes, a shard takes a few MB.
 SHARD_DIGESTS = 50_000
 CELLS_PER_KEY = 1.5
 
 
+def digest_of() -> Column:
+    """SHA-256 of the text without white space."""
+    return F.unhex(F.sha2(F.regexp_replace(whole_text(), r"[\x20\x09-\x0D]+", "").cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text without white space), length in code points, and a hash of the row."""
-    text = F.regexp_replace(whole_text(), r"[\x20\x09-\x0D]+", "")
-    return docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.char_length(whole_text()).cast("long").alias("length"), F.xxhash64("doc_id", "text").alias("row_key"))
+    """doc_id, digest and length in code points."""
+    return docs.select("doc_id", digest_of().alias("digest"), F.char_length(whole_text()).cast("long").alias("length"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
@@ -130,12 +134,15 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     best = index.groupBy("shard").cogroup(batch.groupBy("shard")).applyInPandas(_merge, "digest binary, best long, winner long, copies long")
     out = rows.join(best, "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("winner")) & (F.col("length") == F.col("best"))
-    return out.select("doc_id", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_key")
+    return out.select("doc_id", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "length")
 
 
 def exact_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows repeated in full, one stays."""
-    stay = exact_dedup(docs).where("kept").select(F.col("row_key").alias("__row_key")).distinct()
-    rows = docs.withColumn("__row_key", F.xxhash64("doc_id", "text")).join(stay, "__row_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__row_key").orderBy("__row_key"))
-    return rows.withColumn("__n", first).where("__n = 1").drop("__n", "__row_key")
+    digest, doc, length, nth = fresh(docs, "digest", "doc", "length", "nth")
+    stay = exact_dedup(docs).where("kept").select(F.unhex("text_sha256").alias(digest), F.col("doc_id").alias(doc), F.col("length").alias(length)).distinct()
+    rows = docs.withColumns({digest: digest_of(), doc: F.col("doc_id"), length: F.char_length(whole_text()).cast("long")})
+    # Null doc_ids are alike; ties between rows of one doc_id and length go to the least text.
+    same = (F.col(f"r.{digest}") == F.col(f"s.{digest}")) & F.col(f"r.{doc}").eqNullSafe(F.col(f"s.{doc}")) & (F.col(f"r.{length}") == F.col(f"s.{length}"))
+    rows = rows.alias("r").join(stay.alias("s"), same, "left_semi")
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(digest).orderBy(F.xxhash64("text")))).where(F.col(nth) == 1).drop(digest, doc, length, nth)

@@ -4,19 +4,20 @@ Each document gets a row of measures. Per language and source, every measure is
 cells whose bounds grow by a fixed factor, so that a quantile is right to within that factor, and sketches merge by adding
 counts (Spark sums them before the shuffle; one source with a third of all rows is no larger than any other). The thresholds read off the
 sketches replace fixed cutoffs: a document fails when a measure lies outside the middle half of its own group by more than
-``SLACK`` times that half's spread, so that up to a quarter of bad rows on one side cannot move the cutoff. Joined back, the
-thresholds filter the documents.
+``SLACK`` times that half's spread, so that up to a quarter of bad rows on one side cannot move the cutoff. A group's
+quantiles are means of its own, weighed by its rows, and of its language's, weighed as ``LEAN`` rows, which lean on the whole
+table likewise; so small groups lean on more without any switch. Joined back, the thresholds filter the documents.
 
 Defined results: null text has no words and fails the base rule; null lang or source is a group of its own; repeated rows
-are judged alike; a group with fewer than ``MIN_ROWS`` documents that pass the base rule uses its language's sketch, then
-that of the whole table; an empty table gives an empty table.
+are judged alike; a group without documents that pass the base rule has its language's thresholds; an empty table gives an
+empty table; columns of docs that are named like a measure are left alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ _SYMBOLS, _WS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A cell spans values of v to v * GROWTH: the sketch's relative error.
 GROWTH = 1.02
-SLACK, MIN_ROWS = 6.0, 100
+SLACK, LEAN = 6.0, 50
 #: Measures, and the least spread of each: where most documents have none of something, a little of it is no fault.
 MEASURES = {"symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.05, "word_length": 0.5}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -58,19 +59,15 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def measures(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """One row per document: the carried columns in a struct named row, lang, source and the counts."""
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), "lang", "source", "text")
-    schema = T.StructType([*base.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    """One row per document: the carried columns in a struct named row, lang, source, the counts, base_failed and MEASURES. Only texts go to Python."""
+    kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
-    def rows(batches):
-        for batch in batches:
-            found = np.array([measure(x) for x in batch["text"].to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, i]) for i in range(len(COUNTS)))], names=schema.names)
+    @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+    def counted(text: pa.Array) -> pa.Array:
+        found = np.array([measure(x) for x in text.to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(COUNTS))], fields=list(kind))
 
-    return base.mapInArrow(rows, schema)
-
-
-def _with_shares(m: DataFrame) -> DataFrame:
+    m = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), "lang", "source", counted("text").alias("counts")).select("row", "lang", "source", "counts.*")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return m.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
@@ -96,40 +93,42 @@ def quantiles(cells: DataFrame, keys: list[str], at: dict[str, float]) -> DataFr
 
 
 def thresholds(m: DataFrame) -> DataFrame:
-    """lang, source, then for each measure the least and the greatest value that passes."""
+    """group (lang and source), then for each measure the least and the greatest value that passes. Groups are those of m."""
+    named = F.to_json(F.struct("lang", "source"))
     good = m.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in MEASURES))).alias("x")).select("lang", "source", "x.*")
     fine = checkpoint(sketch(good, ["lang", "source", "measure"]))  # bounded by groups times cells
-    at = {"q1": 0.25, "q3": 0.75}
-    levels = []
-    for depth, keys in enumerate((["lang", "source"], ["lang"], [])):
-        merged = fine.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
-        q = quantiles(merged, [*keys, "measure"], at)
-        floor = F.element_at(F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv)), F.col("measure"))
-        spread = F.greatest(F.col("q3") - F.col("q1"), floor)
-        levels.append(q.select(*keys, "measure", F.when(F.col("n_rows") >= MIN_ROWS, F.struct((F.col("q1") - SLACK * spread).alias("least"), (F.col("q3") + SLACK * spread).alias("most"))).alias(f"t{depth}")))
+    read = lambda keys: quantiles(fine.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n")), [*keys, "measure"], {"q1": 0.25, "q3": 0.75})
     groups = m.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, MEASURES))).alias("measure"))
-    a, b, c = levels
+    t = groups.alias("g")
     # Nulls are groups too: joins compare null-safely.
-    t = groups.alias("g").join(a.alias("a"), F.col("g.lang").eqNullSafe(F.col("a.lang")) & F.col("g.source").eqNullSafe(F.col("a.source")) & (F.col("g.measure") == F.col("a.measure")), "left")
-    t = t.join(b.alias("b"), F.col("g.lang").eqNullSafe(F.col("b.lang")) & (F.col("g.measure") == F.col("b.measure")), "left").join(c.alias("c"), F.col("g.measure") == F.col("c.measure"), "left")
-    t = t.select("g.lang", "g.source", "g.measure", F.coalesce("t0", "t1", "t2").alias("t"))
-    return t.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col("t"))).alias(f"t_{k}") for k in MEASURES))
+    for name, keys in (("a", ["lang", "source"]), ("b", ["lang"]), ("c", [])):
+        same = F.col("g.measure") == F.col(f"{name}.measure")
+        for k in keys:
+            same = same & F.col(f"g.{k}").eqNullSafe(F.col(f"{name}.{k}"))
+        t = t.join(read(keys).alias(name), same, "left")
+
+    def leaning(q: str, levels: str) -> Column:
+        """A level's quantile and those of wider levels, by rows; null where no level has rows."""
+        n, own = F.coalesce(F.col(f"{levels[0]}.n_rows"), F.lit(0)), F.coalesce(F.col(f"{levels[0]}.{q}"), F.lit(0.0))
+        return F.col(f"{levels[0]}.{q}") if len(levels) == 1 else (n * own + LEAN * leaning(q, levels[1:])) / (n + LEAN)
+
+    t = t.select("g.lang", "g.source", "g.measure", leaning("q1", "abc").alias("q1"), leaning("q3", "abc").alias("q3"))
+    floor = F.element_at(F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv)), F.col("measure"))
+    spread = SLACK * F.greatest(F.col("q3") - F.col("q1"), floor)
+    t = t.withColumn("t", F.struct((F.col("q1") - spread).alias("least"), (F.col("q3") + spread).alias("most")))
+    return t.groupBy(named.alias("group")).agg(*(F.max(F.when(F.col("measure") == k, F.col("t"))).alias(f"t_{k}") for k in MEASURES))
 
 
 def judged(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """measures() with base_failed and kept."""
-    m = _with_shares(measures(docs, carried))
+    """measures() with kept. What is carried besides doc_id stays in its rows: documents are then measured twice instead of shuffled."""
+    m = measures(docs, carried)
     if carried == ["doc_id"]:
         m = checkpoint(m)
-        t = thresholds(m)
-    else:  # whole texts are carried: reading them twice is cheaper than keeping them
-        t = thresholds(_with_shares(measures(docs, ["doc_id"])))
-    group = F.to_json(F.struct("lang", "source"))
+    t = thresholds(m if carried == ["doc_id"] else checkpoint(measures(docs, ["doc_id"])))
     beyond = F.lit(False)
     for k in MEASURES:
         beyond = beyond | F.coalesce((F.col(k) > F.col(f"t_{k}.most")) | (F.col(k) < F.col(f"t_{k}.least")), F.lit(False))
-    t = t.select(group.alias("group"), *(f"t_{k}" for k in MEASURES))
-    return join_small(m.withColumn("group", group), t, ["group"], "left").withColumn("kept", ~F.col("base_failed") & ~beyond)
+    return join_small(m.withColumn("group", F.to_json(F.struct("lang", "source"))), t, ["group"], "left").withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

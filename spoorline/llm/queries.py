@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import documents
 
 QUERIES = {
-    "op1_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(documents(spark, sf)).drop("row_key"),
+    "op1_exact_dedup": lambda spark, sf: exact_dedup.exact_dedup(documents(spark, sf)).drop("length"),
     "op2_pii": lambda spark, sf: pii.pii_spans(documents(spark, sf)),
     "op3_lm_scoring": lambda spark, sf: lm_scoring.quality_score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     "op4_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_dedup(documents(spark, sf)),

@@ -62,3 +62,12 @@ def test_history_apart(spark):
 
 def test_empty(spark):
     assert ed.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_filter_tells_rows_apart(spark):
+    """Rows of one doc_id with equal words and unlike lengths, repeated rows, nulls, and columns named like the operator's own."""
+    docs = [(1, "a  b", "p", "q"), (1, "a b", "p", "q"), (1, "a  b", "p", "q"), (None, "c", "p", "q"), (None, "c", "p", "q"), (2, None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, digest string, doc string")
+    got = ed.exact_filter(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([docs[0], docs[3], docs[5]], key=str)

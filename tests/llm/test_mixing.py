@@ -64,3 +64,56 @@ def test_all_capped_and_empty(spark):
     assert mixing.mix_sources(one.where("false")).count() == 0
     none = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
     assert [(r.size, r.taken) for r in mixing.mix_sources(none).collect()] == [(0, 0), (0, 0)]
+
+
+def plain_sample(rows, left):
+    """Documents by rank until their words come nearest to what is left, each weighed by its middle."""
+    out, words = [], 0
+    for r in sorted(rows, key=lambda r: (r.rank, r.doc_id is None, r.doc_id or 0, r.size)):
+        out.append(r.size if words + r.size / 2 < left and r.size else 0)
+        words += r.size
+    return sorted(out)
+
+
+def test_taken_is_a_plain_order_sample(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_CELL", 40)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, source string")
+    sizes = mixing.with_sizes(docs)
+    groups = defaultdict(list)
+    for r in mixing.pareto_take(sizes, mixing.targets(sizes)).collect():
+        groups[r.source].append(r)
+    for rows in groups.values():
+        assert sorted(r.taken - r.copies * r.size for r in rows) == plain_sample(rows, rows[0].left)
+
+
+@pytest.mark.parametrize("share", [0.001, 0.3, 0.999])
+def test_inclusion_odds_are_calibrated(spark, share, monkeypatch):
+    """Inclusion probabilities sum to the words wanted, documents are taken about as often as theirs say, and cells are even."""
+    r = random.Random(2)
+    n = 20_000 if share != 0.3 else 400
+    docs = [(i, int(r.lognormvariate(4, 1.2)) + 1, "s") for i in range(n)]
+    sizes = spark.createDataFrame(docs, "doc_id long, size long, source string").coalesce(2).cache()
+    total = sum(d[1] for d in docs)
+    t = mixing.targets(sizes, share=share)
+    rows = mixing.pareto_take(sizes, t, 1).collect()
+    p = {x.doc_id: x.odds / (1 + x.odds) for x in rows}
+    assert abs(sum(p[i] * s for i, s, _ in docs) / (share * total) - 1) < 1e-6
+    cells = Counter(x.cell for x in rows)
+    assert max(cells.values()) <= 2 * mixing.ROWS_PER_CELL
+    if share == 0.3:
+        seen, runs = Counter(), 10
+        for seed in range(runs):
+            seen.update(x.doc_id for x in mixing.pareto_take(sizes, t, seed).where("taken > 0").select("doc_id").collect())
+        size = dict(d[:2] for d in docs)
+        for low, high in ((0, 40), (40, 120), (120, 10**9)):
+            ids = [i for i in p if low <= size[i] < high]
+            assert abs(sum(seen[i] for i in ids) / runs - sum(p[i] for i in ids)) < 0.1 * sum(p[i] for i in ids) + 1
+    sizes.unpersist()
+
+
+def test_repeat_keeps_clashing_columns(spark):
+    docs = [(1, "a b c", "s", 5, 6, 7), (1, "a b c", "s", 5, 6, 7), (2, None, None, 1, 1, 1), (3, "x " * 50_000, "t", 0, 0, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, times long, n long, copy long")
+    got = mixing.mix_repeat(df)
+    assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(docs)
+    assert got.count() == mixing.mix_sources(df).agg({"times": "sum"}).first()[0]

@@ -81,3 +81,38 @@ def test_junk_does_not_move_its_cutoff(spark):
         got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
         assert {g.doc_id for g in got if not g.kept} == set(range(3 * percent))
         assert not any(g.base_failed for g in got)
+
+
+def test_kept_by_exact_quantiles(spark):
+    """Verdicts against thresholds from sorted values; the sketch may only decide otherwise near a threshold."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    rows = []
+    for i in range(700):
+        lang, source = ("en", f"s{i % 2}") if i < 600 else ("de", f"s{i % 5}") if i < 690 else ("xx", "s9")
+        w = [r.choice(words) for _ in range(r.randint(55, 120))]
+        if i % 23 == 0:
+            w = [x + "#$%" for x in w]
+        rows.append((i, ("\n" if i % 7 == 0 else " ").join(w), lang, source))
+    got = {g.doc_id: g for g in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    measured = {i: dict(zip(quality.MEASURES, (c[2] / c[0], c[3] / max(c[5], 1), c[4] / c[0], c[1] / c[0]), strict=True)) for i, c in ((i, by_hand(t)) for i, t, *_ in rows)}
+    good = [(i, lang, source) for i, _, lang, source in rows if not got[i].base_failed]
+    near = 0
+    for i, lang, source in good:
+        beyond = False
+        for m, floor in quality.MEASURES.items():
+            q1 = q3 = 0.0
+            for own in (good, [x for x in good if x[1] == lang], [x for x in good if x[1:] == (lang, source)]):
+                v = sorted(measured[x[0]][m] for x in own)
+                a, b = (v[int(np.ceil(q * len(v))) - 1] for q in (0.25, 0.75))
+                lean = 0 if own is good else quality.LEAN
+                q1, q3 = (len(v) * a + lean * q1) / (len(v) + lean), (len(v) * b + lean * q3) / (len(v) + lean)
+            s = quality.SLACK * max(q3 - q1, floor)
+            x = measured[i][m]
+            if min(abs(x - (q1 - s)), abs(x - (q3 + s))) < 0.03 * (abs(q1) + abs(q3) + s):
+                near += 1
+                break
+            beyond |= not q1 - s <= x <= q3 + s
+        else:
+            assert got[i].kept == (not beyond)
+    assert near < 40 and sum(not got[i].kept for i, *_ in good) >= 25
