@@ -35,9 +35,9 @@ from .common import mix, powers, prefix_hashes, range_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, log_inclusion double, round_trip boolean, ids array<int>"
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Characters of distinct chunks whose lattices are kept.
-KEPT = 1_500_000
+KEPT = 1_000_000
 #: Places after a changed piece that are sets of their own.
 NEAR = 64
 #: Steps of a walk that one uniform number drives, by its rest after each choice.
@@ -124,10 +124,10 @@ class Lattice:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.seen = np.zeros(0, dtype=np.int64)
-        none = np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int32)
         self.start = self.stop = self.end = self.place = self.next = none
         self.ids, self.log_prob, self.opens = none.astype(np.int32), none.astype(np.float64), none.astype(bool)
-        self.first, self.upto = np.zeros(1, dtype=np.int64), np.zeros(0)
+        self.first, self.upto = np.zeros(1, dtype=np.int32), np.zeros(0)
         self.spelled: list[list[int]] = []
 
     def numbers(self, parts: list[list[str]]) -> list[list[int]]:
@@ -144,18 +144,17 @@ class Lattice:
         return out
 
     def add(self, chunks: list[str]) -> None:
-        old, model = self.__dict__.copy(), self.model
+        n, e, spelled = len(self.end), len(self.place), self.spelled
+        old = {k: self.__dict__.pop(k) for k in ("start", "stop", "end", "place", "next", "first", "log_prob", "opens", "ids", "upto")}
         self.spelled = []
-        self.build(model, chunks)
-        n, e = len(old["end"]), len(old["place"])
-        for name, by in (("start", n), ("stop", n), ("end", n), ("place", n), ("next", n)):
-            setattr(self, name, np.append(old[name], getattr(self, name) + by))
-        self.first = np.append(old["first"][:-1], self.first + e)
-        self.log_prob = np.append(old["log_prob"], self.log_prob)
-        self.opens = np.append(old["opens"], self.opens)
-        self.ids = np.append(old["ids"], np.where(self.ids < -1, self.ids - len(old["spelled"]), self.ids).astype(np.int32))
-        self.spelled = old["spelled"] + self.spelled
-        self.upto = np.append(old["upto"], self.upto)
+        self.build(self.model, chunks)
+        self.ids = np.where(self.ids < -1, self.ids - len(spelled), self.ids).astype(np.int32)
+        self.spelled = spelled + self.spelled
+        old["first"] = old["first"][:-1]
+        for name, by in (("start", n), ("stop", n), ("end", n), ("place", n), ("next", n), ("first", e)):
+            setattr(self, name, np.append(old.pop(name), (getattr(self, name) + by).astype(np.int32)))
+        for name in list(old):
+            setattr(self, name, np.append(old.pop(name), getattr(self, name)))
 
     def build(self, model: Model, chunks: list[str]) -> None:
         size = np.array([len(c) for c in chunks], dtype=np.int64)
@@ -255,7 +254,7 @@ class Lattice:
             u = np.clip((u[on] - low[on]) / np.exp(self.log_prob[e]), 0.0, 1.0)
             live, now, step = live[on], after[on], step + 1
         begin = np.cumsum(count) - count
-        edges = np.empty(int(count.sum()), dtype=np.int64)
+        edges = np.empty(int(count.sum()), dtype=np.int32)
         for n, (live, e) in enumerate(out):
             edges[begin[live] + n] = e
         return count, edges
@@ -337,7 +336,7 @@ def rounds(model: Model, texts: list[str], keys: np.ndarray, k: int) -> tuple[li
         total = head + tail
         ends = np.cumsum(total)
         begins = ends - total
-        edges = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        edges = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
         is_head = np.zeros(len(edges), dtype=bool)
         if head.any():
             at = np.repeat(begins, head) + np.arange(int(head.sum())) - np.repeat(np.cumsum(head) - head, head)
@@ -452,15 +451,14 @@ def sampled_pieces(docs: DataFrame, k: int = 3, model_file: str = MODEL, alpha:
             _models[model_file, alpha] = Model(model_file, alpha)
         model = _models[model_file, alpha]
         for batch in batches:
-            texts = [x or "" for x in batch["text"].to_pylist()]
             ids, keys = batch["doc_id"], batch["key"].to_numpy().view(np.uint64)
+            ends = np.cumsum(pc.utf8_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False))
             a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= CHUNK):
-                    size, b = size + len(texts[b]), b + 1
-                found, kappa = rounds(model, texts[a:b], keys[a:b], k)
-                own = pa.array([("" if t == "" else " " + t).encode() for t in texts[a:b]], pa.binary())
+            while a < len(ends):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+                texts = [x or "" for x in batch["text"].slice(a, b - a).to_pylist()]
+                found, kappa = rounds(model, texts, keys[a:b], k)
+                own = pa.array([("" if t == "" else " " + t).encode() for t in texts], pa.binary())
                 for n, (at, total, score, pieces, many) in enumerate(found, 1):
                     bounds = pa.array(np.append(0, np.cumsum(many)), pa.int32())
                     said = pc.binary_join(pa.ListArray.from_arrays(bounds, model.bytes.take(pa.array(pieces))), b"")
