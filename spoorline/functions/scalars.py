@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,11 +45,17 @@ def matching_memory(pixels: Column) -> Column:
 
 
 def colour_wheel(dx: Column, dy: Column, most: Column) -> list[Column]:
-    """Hue (0..180) from direction, saturation full, brightness by length over the greatest."""
-    hue = (F.degrees(F.atan2(dy, dx)) + 360) % 360 / 2
+    """Hue (0..180) from direction, half a turn ahead, saturation full, brightness by length over the greatest."""
+    hue = (F.atan2(dy, dx) + math.pi) * 90 / math.pi
     return [F.floor(hue).cast("int").alias("hue"), F.lit(255).alias("saturation"), F.floor(F.when(most > 0, F.hypot(dx, dy) / most * 255).otherwise(0)).cast("int").alias("brightness")]
 
 
+def coloured(flow: DataFrame) -> DataFrame:
+    """Flow (dx, dy) with the colours of colour_wheel, over the greatest length of all frames (one row, sent to all)."""
+    most = flow.agg(F.max(F.hypot("dx", "dy")).alias("most"))
+    return flow.join(F.broadcast(most)).select("*", *colour_wheel(F.col("dx"), F.col("dy"), F.col("most"))).drop("most")
+
+
 def parameter(name: Column, key: str) -> Column:
     """A number after a key in a file name, as in ..._r2.5_...; null if absent."""
     return F.regexp_extract(name, rf"_{key}(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")

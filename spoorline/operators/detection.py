@@ -123,26 +123,55 @@ def motion(pixels: DataFrame) -> DataFrame:
     return pixels.join(before, ["frame", "px", "py"], "left").groupBy("frame").agg(F.coalesce(F.avg(F.abs(F.col("value") - F.col("was"))), F.lit(0.0)).alias("motion"))
 
 
-def complexity(pixels: DataFrame, cell: int = 8) -> DataFrame:
-    """Mean gradient length plus the mean deviation of cells."""
+def _steps(pixels: DataFrame) -> DataFrame:
+    """Pixels with the differences to the next pixel to the right (gx) and below (gy); null at the border."""
     wx, wy = (Window.partitionBy("frame", a).orderBy(b) for a, b in (("py", "px"), ("px", "py")))
+    ahead = lambda w, c: F.when(F.lead(c).over(w) == F.col(c) + 1, F.lead("value").over(w) - F.col("value"))
+    return pixels.withColumn("gx", ahead(wx, "px")).withColumn("gy", ahead(wy, "py"))
 
-    def slope(w):
-        before, after = F.lag("value").over(w), F.lead("value").over(w)
-        return F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - F.col("value")).when(before.isNotNull(), F.col("value") - before).otherwise(0.0)
-
-    g = pixels.withColumn("gx", slope(wx)).withColumn("gy", slope(wy)).groupBy("frame").agg(F.avg(F.hypot("gx", "gy")).alias("g"))
-    c = pixels.groupBy("frame", F.floor(F.col("px") / cell).alias("a"), F.floor(F.col("py") / cell).alias("b")).agg(F.stddev_pop("value").alias("s")).groupBy("frame").agg(F.avg("s").alias("s"))
-    return g.join(c, "frame").select("frame", F.round(F.col("g") + F.col("s"), 4).alias("complexity"))
-
-
-def features(pixels: DataFrame, bins: int = 32, cells: int = 4) -> DataFrame:
-    """Per frame: histogram shares, then means and deviations of a grid of cells."""
-    span = pixels.groupBy("frame").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), F.max("px").alias("wx"), F.max("py").alias("wy"))
-    p = pixels.join(span, "frame")
-    b = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) * bins))
-    hist = p.groupBy("frame", F.concat(F.lit("h"), b.cast("string")).alias("feature")).agg(F.round(F.count("*") / F.first("n"), 6).alias("value"))
-    cell = F.floor(F.col("py") * cells / (F.col("wy") + 1)) * cells + F.floor(F.col("px") * cells / (F.col("wx") + 1))
-    grid = p.groupBy("frame", cell.cast("string").alias("c")).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    rows = grid.select("frame", F.explode(F.array(F.struct(F.concat(F.lit("m"), "c").alias("feature"), F.round("m", 4).alias("value")), F.struct(F.concat(F.lit("s"), "c").alias("feature"), F.round("s", 4).alias("value")))).alias("x")).select("frame", "x.*")
-    return hist.unionByName(rows)
+
+def _cells(pixels: DataFrame, grid: int) -> DataFrame:
+    """Pixels in a grid of equal cells: a and b (column and row). Images smaller than the grid have a cell a pixel; what is left over at the far border is dropped."""
+    size = pixels.groupBy("frame").agg((F.max("px") + 1).alias("w"), (F.max("py") + 1).alias("h"))
+    p = pixels.join(size, "frame")
+    across, down = F.least(F.lit(grid), F.col("w")), F.least(F.lit(grid), F.col("h"))
+    p = p.withColumn("a", F.floor(F.col("px") / F.floor(F.col("w") / across))).withColumn("b", F.floor(F.col("py") / F.floor(F.col("h") / down)))
+    return p.where((F.col("a") < across) & (F.col("b") < down))
+
+
+def complexity(pixels: DataFrame, grid: int = 8) -> DataFrame:
+    """Mean length of forward differences, where there are both, plus the mean deviation of the cells of a grid."""
+    g = _steps(pixels).groupBy("frame").agg(F.coalesce(F.avg(F.hypot("gx", "gy")), F.lit(0.0)).alias("g"))
+    c = _cells(pixels, grid).groupBy("frame", "a", "b").agg(F.stddev_pop("value").alias("s")).groupBy("frame").agg(F.avg("s").alias("s"))
+    return g.join(c, "frame").select("frame", F.round(F.col("g") + F.col("s") + 1e-9, 4).alias("complexity"))
+
+
+def features(pixels: DataFrame, bins: int = 32, grid: int = 4) -> DataFrame:
+    """Per frame, as rows frame, feature, value: histogram densities (h0..), means and deviations of a grid of cells (m and s by row and column), and mean steps (gx, gy, g). Bins without pixels are left out."""
+    span = pixels.groupBy("frame").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins)
+    b = F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width)).cast("int")
+    hist = pixels.join(span, "frame").groupBy("frame", b.alias("b")).agg(F.round(F.count("*") / F.first("n") / F.first(width) * 1e6 + 1e-9, 4).alias("value")).select("frame", F.concat(F.lit("h"), "b").alias("feature"), "value")
+    cells = _cells(pixels, grid).groupBy("frame", "a", "b").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    name = lambda k: F.concat(F.lit(k), F.col("b").cast("int"), F.lit("_"), F.col("a").cast("int"))
+    edge = _steps(pixels).groupBy("frame").agg(F.coalesce(F.avg(F.abs("gx")), F.lit(0.0)).alias("gx"), F.coalesce(F.avg(F.abs("gy")), F.lit(0.0)).alias("gy"))
+    pick = lambda df, *of: df.select("frame", F.explode(F.array(*(F.struct(n.alias("feature"), F.round(c + 1e-9, 2).alias("value")) for n, c in of))).alias("x")).select("frame", "x.*")
+    return hist.unionByName(pick(cells, (name("m"), F.col("m")), (name("s"), F.col("s")))).unionByName(pick(edge, *((F.lit(n), c) for n, c in (("gx", F.col("gx")), ("gy", F.col("gy")), ("g", F.hypot("gx", "gy"))))))
+
+
+def advice(pixels: DataFrame, target: float = 0.95) -> DataFrame:
+    """How much of each video to annotate. pixels: video, frame, px, py, value (0..255); frames are distinct across videos.
+
+    Overall complexity is the mean of mean motion / 50 and mean complexity / 100, at most 1 each; it decides frames, points a
+    frame and the category. A target above 0.98 asks for more; at most a fifth of the frames, at least three.
+    """
+    before = pixels.select("video", (F.col("frame") + 1).alias("frame"), "px", "py", F.col("value").alias("was"))
+    m = pixels.join(before, ["video", "frame", "px", "py"], "left").groupBy("video", "frame").agg(F.coalesce(F.avg(F.abs(F.col("value") - F.col("was"))), F.lit(0.0)).alias("motion"))
+    v = m.join(complexity(pixels.select("frame", "px", "py", "value")), "frame").groupBy("video").agg(F.count("*").alias("total"), F.avg("motion").alias("motion"), F.max("motion").alias("most_motion"), F.avg("complexity").alias("complexity"))
+    v = v.withColumn("overall", (F.least(F.lit(1.0), F.col("motion") / 50) + F.least(F.lit(1.0), F.col("complexity") / 100)) / 2)
+    step = lambda *of: F.when(F.col("overall") < 0.2, of[0]).when(F.col("overall") < 0.4, of[1]).when(F.col("overall") < 0.6, of[2]).otherwise(of[3])
+    more = (1.5, 1.2) if target > 0.98 else (1.0, 1.0)
+    frames = F.greatest(F.lit(3), F.least(F.floor(step(5, 8, 12, 20) * more[0]), F.floor(F.col("total") / 5))).cast("long")
+    points = F.floor(step(5, 8, 10, 15) * more[1]).cast("long")
+    v = v.withColumn("frames", frames).withColumn("points", points).withColumn("category", step("simple", "moderate", "complex", "challenging"))
+    return v.select("video", "frames", "points", (F.col("frames") * F.col("points")).alias("annotations"), F.round(F.col("frames") * F.col("points") / 120 + 1e-9, 1).alias("minutes"), F.round(F.col("overall") + 1e-9, 3).alias("overall"), "category", F.round(F.col("motion") + 1e-9, 2).alias("motion"), F.round(F.col("most_motion") + 1e-9, 2).alias("most_motion"))

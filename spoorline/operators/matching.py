@@ -72,7 +72,7 @@ def flow_residuals(vectors: DataFrame, flow: DataFrame, sx: float, sy: float) ->
     """Motion minus flow: track_id, frame, rx, ry."""
     v = vectors.withColumnRenamed("dx", "mx").withColumnRenamed("dy", "my")
     f = flow_at(v, flow, sx, sy)
-    return f.select("track_id", "frame", F.round(F.col("mx") - F.col("dx"), 4).alias("rx"), F.round(F.col("my") - F.col("dy"), 4).alias("ry"))
+    return f.select("track_id", "frame", F.round(F.col("mx") - F.col("dx") + 1e-9, 4).alias("rx"), F.round(F.col("my") - F.col("dy") + 1e-9, 4).alias("ry"))
 
 
 def sample_pixels(points: DataFrame, pixels: DataFrame, width: int, height: int) -> DataFrame:

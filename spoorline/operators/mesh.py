@@ -15,22 +15,31 @@ def delaunay(p: np.ndarray) -> np.ndarray:
     mid, span = p.mean(0), max(np.ptp(p, axis=0).max(), 1.0)
     q = np.vstack([p, mid + span * np.array([[-30, -30], [30, -30], [0, 50]])])
     n = len(p)
-    tri = [(n, n + 1, n + 2)]
-    circle = {tri[0]: _circle(q, tri[0])}
+    # Triangles in rows, with centre and squared radius of their circles; those that gave way are marked by a negative radius.
+    tri, circle, used = np.zeros((8 * n + 16, 3), dtype=int), np.full((8 * n + 16, 3), -1.0), 1
+    tri[0] = (n, n + 1, n + 2)
+    circle[0] = (*_circle(q, tri[0])[0], _circle(q, tri[0])[1])
     for i in range(n):
-        bad = [t for t in tri if ((q[i] - circle[t][0]) ** 2).sum() < circle[t][1] * (1 + 1e-12)]
+        bad = np.flatnonzero((circle[:used, 0] - q[i, 0]) ** 2 + (circle[:used, 1] - q[i, 1]) ** 2 < circle[:used, 2] * (1 + 1e-12))
         edge: dict = {}
-        for a, b, c in bad:
+        for a, b, c in tri[bad].tolist():
             for e in ((a, b), (b, c), (c, a)):
                 k = (min(e), max(e))
                 edge[k] = edge.get(k, 0) + 1
-        tri = [t for t in tri if t not in set(bad)]
+        circle[bad, 2] = -1.0
+        free = bad.tolist()
         for (a, b), k in edge.items():
-            if k == 1 and abs(np.linalg.det(np.array([q[b] - q[a], q[i] - q[a]]))) > 1e-12:
-                t = (a, b, i)
-                tri.append(t)
-                circle[t] = _circle(q, t)
-    return np.array(sorted(tuple(sorted(t)) for t in tri if max(t) < n), dtype=int).reshape(-1, 3)
+            ab, ai = q[b] - q[a], q[i] - q[a]
+            if k == 1 and abs(ab[0] * ai[1] - ab[1] * ai[0]) > 1e-12:
+                if free:
+                    at = free.pop()
+                else:
+                    at, used = used, used + 1
+                tri[at] = (a, b, i)
+                m, r2 = _circle(q, (a, b, i))
+                circle[at] = (*m, r2)
+    alive = tri[:used][(circle[:used, 2] >= 0) & (tri[:used].max(1) < n)]
+    return np.array(sorted(map(tuple, np.sort(alive, axis=1).tolist())), dtype=int).reshape(-1, 3)
 
 
 def _circle(q: np.ndarray, t) -> tuple[np.ndarray, float]:

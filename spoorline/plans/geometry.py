@@ -18,13 +18,13 @@ SEG = "seg AS (SELECT * FROM (SELECT track_id, frame AS t0, x AS x0, y AS y0, le
 LINEAR = """stretched AS (SELECT seg.*, CAST(unnest(range(t0, t1 + 1)) AS INTEGER) AS frame FROM seg), ends AS (SELECT track_id, max(t1) AS last FROM seg GROUP BY track_id),
 lin AS (SELECT s.track_id, frame, x0 + (frame - t0) / CAST(t1 - t0 AS DOUBLE) * (x1 - x0) AS x, y0 + (frame - t0) / CAST(t1 - t0 AS DOUBLE) * (y1 - y0) AS y FROM stretched s JOIN ends e ON s.track_id = e.track_id WHERE frame < t1 OR frame = last)"""
 HIT = "f.frame = {t} AND f.gx = CAST(round_even({x} / 100, 0) AS INTEGER) AND f.gy = CAST(round_even({y} / 25, 0) AS INTEGER)"
-#: Grid points of the dense fields: 8 by 5 over 0..490 and 0..100, in the first frames.
-GRID = "grid AS (SELECT frame, gx, gy, CAST(gx * 70 AS DOUBLE) AS x, CAST(gy * 25 AS DOUBLE) AS y FROM (SELECT DISTINCT frame FROM tracks WHERE frame < 12), (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS gx), (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS gy))"
+#: Grid points of the dense fields: 8 by 5 over 0..490 and 0..100, in all frames.
+GRID = "grid AS (SELECT frame, gx, gy, CAST(gx * 70 AS DOUBLE) AS x, CAST(gy * 25 AS DOUBLE) AS y FROM (SELECT DISTINCT frame FROM tracks), (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS gx), (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS gy))"
 SOURCES = "src AS (SELECT track_id AS s_id, frame, x AS px, y AS py, mx AS dx, my AS dy FROM moves WHERE mx IS NOT NULL)"
 
 
 def grid(sp, sf):
-    g = v.tracks(sp, sf).where("frame < 12").select("frame").distinct()
+    g = v.tracks(sp, sf).select("frame").distinct()
     g = g.withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return g.withColumn("x", F.col("gx") * F.lit(70.0)).withColumn("y", F.col("gy") * F.lit(25.0))
 
@@ -51,8 +51,12 @@ def _field_sql(weight: str, reach: float | None) -> str:
 def _pull_points(sp, sf):
     t = v.tracks(sp, sf)
     done, open_ = t.where("track_id % 4 = 0"), t.where("track_id % 4 <> 0")
-    c = v.predictions(sp, sf).join(done.select("track_id", "frame", F.col("x").alias("tx"), F.col("y").alias("ty")), ["track_id", "frame"])
-    return open_.select("track_id", "frame", "x", "y"), c.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("tx") - F.col("x")).alias("cx"), (F.col("ty") - F.col("y")).alias("cy"))
+    return open_.select("track_id", "frame", "x", "y"), done.select("frame", F.col("x").alias("px"), F.col("y").alias("py"))
+
+
+def _late_anchors(sp, sf):
+    """Anchors that leave frames before the first and after the last."""
+    return v.tracks(sp, sf).where("frame % 10 = 5").select("track_id", "frame", "x", "y")
 
 
 def _motion_points(sp, sf):
@@ -64,11 +68,11 @@ def _motion_points(sp, sf):
 def _propagated_sql(back: bool) -> str:
     if not back:
         step = f"SELECT p.track_id, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < 15"
-        return with_(TRACKS, FLOW, f"p(track_id, frame, x, y) AS (SELECT track_id, frame, x, y FROM tracks WHERE frame = 0 UNION ALL {step})") + "SELECT track_id, frame, round(x, 3) AS x, round(y, 3) AS y FROM p"
+        return with_(TRACKS, FLOW, f"p(track_id, frame, x, y) AS (SELECT track_id, frame, x, y FROM tracks WHERE frame = 0 UNION ALL {step})") + "SELECT track_id, frame, round(x + 1e-9, 3) AS x, round(y + 1e-9, 3) AS y FROM p"
     inner = "(SELECT *, x AS qx, y AS qy FROM p WHERE frame > 10)"
     for n in range(3):
         inner = f"(SELECT q{n}.track_id, q{n}.frame, q{n}.x, q{n}.y, q{n}.x - coalesce(f.dx, 0) AS qx, q{n}.y - coalesce(f.dy, 0) AS qy FROM {inner} q{n} LEFT JOIN flow f ON {HIT.format(t=f'q{n}.frame - 1', x=f'q{n}.qx', y=f'q{n}.qy')})"
-    return with_(TRACKS, FLOW, f"p(track_id, frame, x, y) AS (SELECT track_id, frame, x, y FROM tracks WHERE frame = 20 UNION ALL SELECT b.track_id, b.frame - 1, b.qx, b.qy FROM {inner} b)") + "SELECT track_id, frame, round(x, 3) AS x, round(y, 3) AS y FROM p"
+    return with_(TRACKS, FLOW, f"p(track_id, frame, x, y) AS (SELECT track_id, frame, x, y FROM tracks WHERE frame = 20 UNION ALL SELECT b.track_id, b.frame - 1, b.qx, b.qy FROM {inner} b)") + "SELECT track_id, frame, round(x + 1e-9, 3) AS x, round(y + 1e-9, 3) AS y FROM p"
 
 
 _AHEAD = f"ahead(track_id, t0, t1, frame, x, y) AS (SELECT track_id, t0, t1, t0, x0, y0 FROM seg UNION ALL SELECT p.track_id, t0, t1, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM ahead p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < t1)"
@@ -76,7 +80,7 @@ _BACK = f"back(track_id, t0, t1, frame, x, y) AS (SELECT track_id, t0, t1, t1, x
 
 QUERIES = {
     # Filters
-    "persistent_all": (lambda sp, sf: f.persistent(v.detections(sp, sf).where("frame < 3")).select("track_id", "frame", "x"), with_(TRACKS, "d AS (SELECT * FROM tracks WHERE NOT occluded AND frame < 3)") + "SELECT track_id, frame, x FROM d WHERE track_id IN (SELECT track_id FROM d GROUP BY track_id HAVING count(DISTINCT frame) = (SELECT count(DISTINCT frame) FROM d))"),
+    "persistent_all": (lambda sp, sf: f.persistent(v.detections(sp, sf)).select("track_id", "frame", "x"), with_(TRACKS, "d AS (SELECT * FROM tracks WHERE NOT occluded)") + "SELECT track_id, frame, x FROM d WHERE track_id IN (SELECT track_id FROM d GROUP BY track_id HAVING count(DISTINCT frame) = (SELECT count(DISTINCT frame) FROM d))"),
     "persistent_min": (lambda sp, sf: f.persistent(v.detections(sp, sf), 45).select("track_id", "frame", "x"), with_(TRACKS, DETECTIONS) + "SELECT track_id, frame, x FROM det WHERE track_id IN (SELECT track_id FROM det GROUP BY track_id HAVING count(DISTINCT frame) >= 45)"),
     "occlusion_filter": (lambda sp, sf: f.rarely_occluded(v.occluded(sp, sf), 0.2).select("track_id", "frame", "x"), with_(TRACKS) + "SELECT track_id, frame, x FROM tracks WHERE track_id IN (SELECT track_id FROM tracks GROUP BY track_id HAVING avg(CAST(occluded AS DOUBLE)) <= 0.2)"),
     "mad_outliers": (
@@ -106,7 +110,7 @@ QUERIES = {
         with_(TRACKS, PRED) + "SELECT p.track_id * 1000 + p.frame AS query_id, min(t.track_id) AS track_id FROM pred p JOIN tracks t ON p.frame = t.frame AND abs(p.x - t.x) < 2 AND abs(p.y - t.y) < 2 GROUP BY ALL",
     ),
     "flow_lookup": (lambda sp, sf: j.flow_at(v.predictions(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y).select("track_id", "frame", "dx", "dy"), with_(TRACKS, PRED, FLOW) + f"SELECT p.track_id, p.frame, coalesce(dx, 0) AS dx, coalesce(dy, 0) AS dy FROM pred p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')}"),
-    "flow_residuals": (lambda sp, sf: j.flow_residuals(s.motion_vectors(v.tracks(sp, sf)), v.flow(sp, sf), CELL_X, CELL_Y), with_(TRACKS, FLOW) + f"SELECT p.track_id, p.frame, round(mx - coalesce(dx, 0), 4) AS rx, round(my - coalesce(dy, 0), 4) AS ry FROM moves p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE mx IS NOT NULL"),
+    "flow_residuals": (lambda sp, sf: j.flow_residuals(s.motion_vectors(v.tracks(sp, sf)), v.flow(sp, sf), CELL_X, CELL_Y), with_(TRACKS, FLOW) + f"SELECT p.track_id, p.frame, round(mx - coalesce(dx, 0) + 1e-9, 4) AS rx, round(my - coalesce(dy, 0) + 1e-9, 4) AS ry FROM moves p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE mx IS NOT NULL"),
     "sample_at_track": (
         lambda sp, sf: j.sample_pixels(v.tracks(sp, sf).select("track_id", (F.col("frame") % 80 + 23941).cast("int").alias("frame"), (F.col("x") / 10).alias("x"), (F.col("y") / 15).alias("y")), v.pixels(sp, sf), 50, 7).select("track_id", "frame", "px", "py", "value"),
         with_(TRACKS, PIXELS) + "SELECT t.track_id, t.frame, t.px, t.py, value FROM (SELECT track_id, CAST(frame % 80 + 23941 AS INTEGER) AS frame, CAST(greatest(0, least(49, round_even(x / 10, 0))) AS INTEGER) AS px, CAST(greatest(0, least(6, round_even(y / 15, 0))) AS INTEGER) AS py FROM tracks) t JOIN pixels p ON t.frame = p.frame AND t.px = p.px AND t.py = p.py",
@@ -152,8 +156,18 @@ QUERIES = {
     "segment_linear_threshold": (lambda sp, sf: rounded(p.blend_segments(v.anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 10, 10), 3), with_(TRACKS, ANCHORS, SEG, LINEAR) + "SELECT track_id, frame, round(x, 3) AS x, round(y, 3) AS y FROM lin UNION SELECT track_id, frame, round(x, 3), round(y, 3) FROM anchors"),
     "anchor_correction": (lambda sp, sf: p.anchor_corrections(v.anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 10), with_(TRACKS, FLOW, ANCHORS, SEG, _AHEAD) + "SELECT s.track_id, s.t1 AS frame, round(s.x1 - a.x, 3) AS cx, round(s.y1 - a.y, 3) AS cy FROM seg s JOIN ahead a ON s.track_id = a.track_id AND s.t0 = a.t0 AND a.frame = s.t1"),
     "mesh_pull": (
-        lambda sp, sf: p.mesh_pull(*_pull_points(sp, sf), 10.0),
-        with_(TRACKS, PRED, "co AS (SELECT p.frame, p.x AS px, p.y AS py, t.x - p.x AS cx, t.y - p.y AS cy FROM pred p JOIN tracks t ON p.track_id = t.track_id AND p.frame = t.frame WHERE p.track_id % 4 = 0)", "pt AS (SELECT * FROM tracks WHERE track_id % 4 <> 0)", "pr AS (SELECT track_id, pt.frame, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d, cx, cy FROM pt JOIN co ON pt.frame = co.frame)", "mm AS (SELECT track_id, frame, sum(exp(-d * d / 200)) AS w, sum(exp(-d * d / 200) * cx) AS sx, sum(exp(-d * d / 200) * cy) AS sy FROM pr WHERE d <= 86 GROUP BY ALL)")
-        + "SELECT pt.track_id, pt.frame, round(x + coalesce(CASE WHEN w > 1e-12 THEN 0.1 * sx / w END, 0), 4) AS x, round(y + coalesce(CASE WHEN w > 1e-12 THEN 0.1 * sy / w END, 0), 4) AS y FROM pt LEFT JOIN mm ON pt.track_id = mm.track_id AND pt.frame = mm.frame",
+        lambda sp, sf: p.mesh_pull(*_pull_points(sp, sf), 30.0),
+        with_(TRACKS, "co AS (SELECT frame, x AS px, y AS py FROM tracks WHERE track_id % 4 = 0)", "pt AS (SELECT * FROM tracks WHERE track_id % 4 <> 0)", "pr AS (SELECT track_id, pt.frame, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d, px - x AS cx, py - y AS cy FROM pt JOIN co ON pt.frame = co.frame)", "mm AS (SELECT track_id, frame, sum(exp(-d * d / 200)) AS w, sum(exp(-d * d / 200) * cx) AS sx, sum(exp(-d * d / 200) * cy) AS sy FROM pr WHERE d < 30 GROUP BY ALL)")
+        + "SELECT pt.track_id, pt.frame, round(x + coalesce(0.1 * sx / w, 0) + 1e-9, 4) AS x, round(y + coalesce(0.1 * sy / w, 0) + 1e-9, 4) AS y FROM pt LEFT JOIN mm ON pt.track_id = mm.track_id AND pt.frame = mm.frame",
+    ),
+    "beyond_anchors": (
+        lambda sp, sf: rounded(p.beyond_anchors(_late_anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, v.tracks(sp, sf).groupBy("track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")), 10), 3),
+        with_(
+            TRACKS, FLOW, "an AS (SELECT track_id, frame, x, y FROM tracks WHERE frame % 10 = 5)", "hi AS (SELECT track_id, max(frame) AS hi FROM tracks GROUP BY track_id)",
+            "fi AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY frame) = 1)", "la AS (SELECT an.*, hi FROM an JOIN hi ON an.track_id = hi.track_id QUALIFY row_number() OVER (PARTITION BY an.track_id ORDER BY frame DESC) = 1)",
+            f"bk(track_id, frame, x, y) AS (SELECT track_id, frame, x, y FROM fi UNION ALL SELECT p.track_id, p.frame - 1, p.x - coalesce(f.dx, 0), p.y - coalesce(f.dy, 0) FROM bk p LEFT JOIN flow f ON {HIT.format(t='p.frame - 1', x='p.x', y='p.y')} WHERE p.frame > 0)",
+            f"fw(track_id, hi, frame, x, y) AS (SELECT track_id, hi, frame, x, y FROM la UNION ALL SELECT p.track_id, p.hi, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM fw p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < p.hi)",
+        )
+        + "SELECT track_id, frame, round(x + 1e-9, 3) AS x, round(y + 1e-9, 3) AS y FROM (SELECT track_id, frame, x, y FROM bk WHERE frame < 5 UNION ALL SELECT fw.track_id, fw.frame, fw.x, fw.y FROM fw JOIN la ON fw.track_id = la.track_id AND fw.frame > la.frame)",
     ),
 }

@@ -17,9 +17,18 @@ from .geometry import SEG, rounded
 from .views import ANCHORS, FLOW, PIXELS, PRED, TRACKS, with_
 
 NB = "nb AS (SELECT p.frame, p.px, p.py, p.value, max(q.value) AS top FROM pixels p JOIN pixels q ON p.frame = q.frame AND abs(p.px - q.px) <= 1 AND abs(p.py - q.py) <= 1 GROUP BY ALL), sz AS (SELECT frame, max(px) AS wx, max(py) AS wy FROM pixels GROUP BY frame), mx AS (SELECT nb.frame, px, py, value FROM nb JOIN sz ON nb.frame = sz.frame WHERE value >= top AND value >= 60000 AND px >= 1 AND py >= 1 AND px < wx AND py < wy)"
-SLOPES = """gr AS (SELECT frame, px, py, value, CASE WHEN lag(value) OVER a IS NOT NULL AND lead(value) OVER a IS NOT NULL THEN (lead(value) OVER a - lag(value) OVER a) / 2 WHEN lead(value) OVER a IS NOT NULL THEN lead(value) OVER a - value WHEN lag(value) OVER a IS NOT NULL THEN value - lag(value) OVER a ELSE 0 END AS gx,
-CASE WHEN lag(value) OVER b IS NOT NULL AND lead(value) OVER b IS NOT NULL THEN (lead(value) OVER b - lag(value) OVER b) / 2 WHEN lead(value) OVER b IS NOT NULL THEN lead(value) OVER b - value WHEN lag(value) OVER b IS NOT NULL THEN value - lag(value) OVER b ELSE 0 END AS gy FROM pixels WINDOW a AS (PARTITION BY frame, py ORDER BY px), b AS (PARTITION BY frame, px ORDER BY py)),
-cx AS (SELECT frame, avg(s) AS s FROM (SELECT frame, stddev_pop(value) AS s FROM pixels GROUP BY frame, px // 8, py // 8) GROUP BY frame)"""
+#: Forward differences, and deviations of the cells of an 8 by 8 grid.
+STEPS = "gr AS (SELECT frame, px, py, value, CASE WHEN lead(px) OVER a = px + 1 THEN lead(value) OVER a - value END AS gx, CASE WHEN lead(py) OVER b = py + 1 THEN lead(value) OVER b - value END AS gy FROM pixels WINDOW a AS (PARTITION BY frame, py ORDER BY px), b AS (PARTITION BY frame, px ORDER BY py))"
+
+
+def _cells_sql(name: str, grid: int) -> str:
+    """Pixels by cell of a grid: frame, a, b, value."""
+    size = "SELECT frame, max(px) + 1 AS w, max(py) + 1 AS h FROM pixels GROUP BY frame"
+    return f"{name} AS (SELECT frame, a, b, value FROM (SELECT p.frame, value, w, h, px // (w // least({grid}, w)) AS a, py // (h // least({grid}, h)) AS b FROM pixels p JOIN ({size}) s ON p.frame = s.frame) WHERE a < least({grid}, w) AND b < least({grid}, h))"
+
+
+SLOPES = STEPS + ", " + _cells_sql("ce", 8) + ", cx AS (SELECT frame, avg(s) AS s FROM (SELECT frame, stddev_pop(value) AS s FROM ce GROUP BY frame, a, b) GROUP BY frame)"
+COMPLEXITY = "round(coalesce(avg(sqrt(gx * gx + gy * gy)), 0) + any_value(s) + 1e-9, 4)"
 
 
 def _shift(a: str, c: str) -> str:
@@ -74,8 +83,15 @@ QUERIES = {
     ),
     "top_by_quality": (lambda sp, sf: d.top_by_quality(d.local_maxima(v.pixels(sp, sf), 60000.0).select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("value").alias("quality")), 3), with_(TRACKS, PIXELS, NB) + "SELECT frame, px AS x, py AS y, value AS quality FROM mx QUALIFY row_number() OVER (PARTITION BY frame ORDER BY value DESC, py, px) <= 3"),
     "frame_motion": (lambda sp, sf: rounded(d.motion(v.pixels(sp, sf)), 3, "motion"), with_(TRACKS, PIXELS) + "SELECT p.frame, round(coalesce(avg(abs(p.value - q.value)), 0) + 1e-9, 3) AS motion FROM pixels p LEFT JOIN pixels q ON q.frame = p.frame - 1 AND q.px = p.px AND q.py = p.py GROUP BY p.frame"),
-    "frame_complexity": (lambda sp, sf: d.complexity(v.pixels(sp, sf)), with_(TRACKS, PIXELS, SLOPES) + "SELECT g.frame, round(avg(sqrt(gx * gx + gy * gy)) + any_value(s), 4) AS complexity FROM gr g JOIN cx ON g.frame = cx.frame GROUP BY g.frame"),
-    "frame_features": (lambda sp, sf: d.features(v.pixels(sp, sf), 8, 2), None),
+    "frame_complexity": (lambda sp, sf: d.complexity(v.pixels(sp, sf)), with_(TRACKS, PIXELS, SLOPES) + "SELECT g.frame, " + COMPLEXITY + " AS complexity FROM gr g JOIN cx ON g.frame = cx.frame GROUP BY g.frame"),
+    "frame_features": (
+        lambda sp, sf: d.features(v.pixels(sp, sf)),
+        with_(
+            TRACKS, PIXELS, STEPS, _cells_sql("ce", 4), "sp AS (SELECT frame, min(value) AS lo, CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) / 32 ELSE CAST(1 AS DOUBLE) / 32 END AS width, count(*) AS n FROM pixels GROUP BY frame)",
+            "hi AS (SELECT p.frame, least(31, CAST(floor((value - lo) / width) AS INTEGER)) AS b, width, n FROM pixels p JOIN sp ON p.frame = sp.frame)", "st AS (SELECT frame, a, b, avg(value) AS m, stddev_pop(value) AS s FROM ce GROUP BY ALL)", "ed AS (SELECT frame, coalesce(avg(abs(gx)), 0) AS gx, coalesce(avg(abs(gy)), 0) AS gy FROM gr GROUP BY frame)",
+        )
+        + "SELECT frame, 'h' || b AS feature, round(count(*) / CAST(any_value(n) AS DOUBLE) / any_value(width) * 1e6 + 1e-9, 4) AS value FROM hi GROUP BY frame, b UNION ALL SELECT frame, 'm' || b || '_' || a, round(m + 1e-9, 2) FROM st UNION ALL SELECT frame, 's' || b || '_' || a, round(s + 1e-9, 2) FROM st UNION ALL SELECT frame, 'gx', round(gx + 1e-9, 2) FROM ed UNION ALL SELECT frame, 'gy', round(gy + 1e-9, 2) FROM ed UNION ALL SELECT frame, 'g', round(sqrt(gx * gx + gy * gy) + 1e-9, 2) FROM ed",
+    ),
     "detect_dog": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.5, 0.02), None),
     "detect_nms": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.5, 0.02, distance=4.0, most=10), None),
     "detect_multiscale": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.2, 0.02, distance=3.0, scales=(1.0, 1.6, 2.56)), None),
@@ -96,11 +112,15 @@ QUERIES = {
     "complexity_topk": (lambda sp, sf: sa.spaced_top(d.complexity(v.pixels(sp, sf)).select(F.lit(0).cast("long").alias("video"), "frame", F.col("complexity").alias("score")), 8, False), None),
     "weighted_votes": (
         lambda sp, sf: sa.votes({"motion": (d.motion(v.pixels(sp, sf)).where("motion > 25000"), 1.0), "complex": (d.complexity(v.pixels(sp, sf)).where("complexity > 35000"), 1.5)}),
-        with_(TRACKS, PIXELS, SLOPES, "a AS (SELECT p.frame, round(coalesce(avg(abs(p.value - q.value)), 0) + 1e-9, 3) AS m FROM pixels p LEFT JOIN pixels q ON q.frame = p.frame - 1 AND q.px = p.px AND q.py = p.py GROUP BY p.frame)", "b AS (SELECT g.frame, round(avg(sqrt(gx * gx + gy * gy)) + any_value(s), 4) AS c FROM gr g JOIN cx ON g.frame = cx.frame GROUP BY g.frame)")
+        with_(TRACKS, PIXELS, SLOPES, "a AS (SELECT p.frame, round(coalesce(avg(abs(p.value - q.value)), 0) + 1e-9, 3) AS m FROM pixels p LEFT JOIN pixels q ON q.frame = p.frame - 1 AND q.px = p.px AND q.py = p.py GROUP BY p.frame)", "b AS (SELECT g.frame, " + COMPLEXITY + " AS c FROM gr g JOIN cx ON g.frame = cx.frame GROUP BY g.frame)")
         + "SELECT frame, sum(w) AS score FROM (SELECT frame, CAST(1 AS DOUBLE) AS w FROM a WHERE m > 25000 UNION ALL SELECT frame, CAST(1.5 AS DOUBLE) FROM b WHERE c > 35000) GROUP BY frame",
     ),
     "uniform_sample": (lambda sp, sf: sa.uniform_frames(v.tracks(sp, sf), 9), with_(TRACKS) + "SELECT DISTINCT CAST(lo + floor(i * (hi - lo) / CAST(8 AS DOUBLE)) AS INTEGER) AS frame FROM (SELECT min(frame) AS lo, max(frame) AS hi FROM tracks), (SELECT unnest(range(0, 9)) AS i)"),
-    "difficulty_tiers": (lambda sp, sf: sa.tiers(rounded(d.motion(v.pixels(sp, sf)), 3, "motion").withColumnRenamed("motion", "score"), 20000.0, 26000.0), with_(TRACKS, PIXELS, "a AS (SELECT p.frame, round(coalesce(avg(abs(p.value - q.value)), 0) + 1e-9, 3) AS score FROM pixels p LEFT JOIN pixels q ON q.frame = p.frame - 1 AND q.px = p.px AND q.py = p.py GROUP BY p.frame)") + "SELECT frame, score, CASE WHEN score < 20000 THEN 'easy' WHEN score < 26000 THEN 'medium' ELSE 'hard' END AS tier, CAST(CASE WHEN score < 20000 THEN 5 WHEN score < 26000 THEN 10 ELSE 20 END AS INTEGER) AS budget FROM a"),
+    "annotation_advice": (
+        lambda sp, sf: d.advice(v.pixels(sp, sf).select(F.floor(F.col("frame") / 12).alias("video"), "frame", "px", "py", (F.col("value") / 400).alias("value"))),
+        with_(TRACKS, PIXELS.replace("pixels AS", "raw AS", 1), "pixels AS (SELECT frame // 12 AS video, frame, px, py, value / 400 AS value FROM raw)", SLOPES, "mo AS (SELECT p.video, p.frame, coalesce(avg(abs(p.value - q.value)), 0) AS m FROM pixels p LEFT JOIN pixels q ON q.video = p.video AND q.frame = p.frame - 1 AND q.px = p.px AND q.py = p.py GROUP BY ALL)", "co AS (SELECT g.frame, " + COMPLEXITY + " AS c FROM gr g JOIN cx ON g.frame = cx.frame GROUP BY g.frame)", "vi AS (SELECT video, count(*) AS total, avg(m) AS motion, max(m) AS most_motion, (least(1, avg(m) / 50) + least(1, avg(c) / 100)) / 2 AS overall FROM mo JOIN co ON mo.frame = co.frame GROUP BY video)", "ad AS (SELECT *, CAST(greatest(3, least(CASE WHEN overall < 0.2 THEN 5 WHEN overall < 0.4 THEN 8 WHEN overall < 0.6 THEN 12 ELSE 20 END, total // 5)) AS BIGINT) AS frames, CAST(CASE WHEN overall < 0.2 THEN 5 WHEN overall < 0.4 THEN 8 WHEN overall < 0.6 THEN 10 ELSE 15 END AS BIGINT) AS points FROM vi)")
+        + "SELECT CAST(video AS BIGINT) AS video, frames, points, frames * points AS annotations, round(frames * points / CAST(120 AS DOUBLE) + 1e-9, 1) AS minutes, round(overall + 1e-9, 3) AS overall, CASE WHEN overall < 0.2 THEN 'simple' WHEN overall < 0.4 THEN 'moderate' WHEN overall < 0.6 THEN 'complex' ELSE 'challenging' END AS category, round(motion + 1e-9, 2) AS motion, round(most_motion + 1e-9, 2) AS most_motion FROM ad",
+    ),
     "correction_counts": (lambda sp, sf: sa.correction_counts(v.tracks(sp, sf).groupBy("track_id").agg((F.count("*") * 2).cast("int").alias("most"))), with_(TRACKS, "mo AS (SELECT track_id, CAST(count(*) * 2 AS INTEGER) AS most FROM tracks GROUP BY track_id)", "ks AS (SELECT unnest(list_concat(list_concat(range(1, 11), range(10, 51, 5)), list_concat(range(50, 101, 10), range(100, 1001, 25)))) AS k)") + "SELECT track_id, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT track_id, k FROM mo, ks WHERE k <= most UNION SELECT track_id, most FROM mo)"),
     "rank_nulls_last": (lambda sp, sf: sa.ranked(v.tracks(sp, sf).groupBy("track_id").agg(F.when(F.count("*") > 60, F.count("*")).alias("score")), "score").withColumn("rank", F.col("rank").cast("long")), with_(TRACKS) + "SELECT track_id, score, rank() OVER (ORDER BY score NULLS LAST) AS rank FROM (SELECT track_id, CASE WHEN count(*) > 60 THEN count(*) END AS score FROM tracks GROUP BY track_id)"),
     "train_test_split": (lambda sp, sf: sa.split(v.tracks(sp, sf).select("track_id").distinct(), "track_id"), None),
@@ -111,7 +131,10 @@ QUERIES = {
         lambda sp, sf: sp.read.parquet(f"{sf}/customer.parquet").select("c_custkey", sc.digits_only(F.col("c_name")).alias("digits"), sc.snapped(F.col("c_acctbal") / 7).alias("snapped"), sc.clamp_pixel(F.col("c_acctbal") / 10, 500).alias("pixel"), F.round(sc.matching_memory(F.abs("c_acctbal") * 100), 5).alias("gb")),
         "SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, round(round_even(c_acctbal / 7 / 0.25, 0) * 0.25, 4) AS snapped, CAST(greatest(0, least(499, round_even(c_acctbal / 10, 0))) AS INTEGER) AS pixel, round(0.046 + 1.94e-7 * (abs(c_acctbal) * 100) + 1.52e-12 * (abs(c_acctbal) * 100) * (abs(c_acctbal) * 100), 5) AS gb FROM customer",
     ),
-    "flow_colours": (lambda sp, sf: v.flow(sp, sf).select("frame", "gx", "gy", "dx", "dy", F.max(F.hypot("dx", "dy")).over(Window.partitionBy("frame")).alias("most")).select("frame", "gx", "gy", *sc.colour_wheel(F.col("dx"), F.col("dy"), F.col("most"))), with_(TRACKS, FLOW) + "SELECT frame, gx, gy, CAST(floor(((degrees(atan2(dy, dx)) + 360) % 360) / 2) AS INTEGER) AS hue, 255 AS saturation, CAST(floor(CASE WHEN most > 0 THEN sqrt(dx * dx + dy * dy) / most * 255 ELSE 0 END) AS INTEGER) AS brightness FROM (SELECT *, max(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY frame) AS most FROM flow)"),
+    "flow_colours": (
+        lambda sp, sf: sc.coloured(v.flow(sp, sf)).select("frame", "gx", "gy", "hue", "saturation", "brightness"),
+        with_(TRACKS, FLOW) + "SELECT frame, gx, gy, CAST(floor((atan2(dy, dx) + pi()) * 90 / pi()) AS INTEGER) AS hue, 255 AS saturation, CAST(floor(CASE WHEN most > 0 THEN sqrt(dx * dx + dy * dy) / most * 255 ELSE 0 END) AS INTEGER) AS brightness FROM flow, (SELECT max(sqrt(dx * dx + dy * dy)) AS most FROM flow)",
+    ),
     "particle_flow": (lambda sp, sf: _particle_flow(sp, sf), None),
     "event_windows": (lambda sp, sf: sp.read.parquet(f"{sf}/events.parquet").groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 3).alias("value")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 3) AS value FROM events GROUP BY ALL"),
 }
@@ -121,7 +144,7 @@ def _particle_flow(sp, sf):
     """Detections, linked, filtered, filled, differentiated, and spread over a grid."""
     from ..operators import filters, interpolation, sequences
 
-    linked = fo.link(_detections(sp, sf), 60.0, 1).withColumn("track_id", F.col("video") * 1_000_000 + F.col("particle"))
+    linked = fo.link(_detections(sp, sf), 60.0, 1).withColumn("track_id", F.concat_ws("/", "video", "particle"))
     long = filters.persistent(linked, 3)
     span = long.groupBy("track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).select("track_id", F.explode(F.sequence("lo", "hi")).alias("frame"))
     dense = span.join(long.select("track_id", "frame", "x", "y"), ["track_id", "frame"], "left").withColumn("known", F.col("x").isNotNull())

@@ -108,8 +108,8 @@ QUERIES = {
     "strided_queries": (lambda sp, sf: s.strided_queries(v.occluded(sp, sf)), with_(TRACKS) + "SELECT track_id, frame, y, x FROM tracks WHERE NOT occluded AND frame % 5 = 0"),
     "empirical_cdf": (lambda sp, sf: s.empirical_cdf(v.tracks(sp, sf), "x", "track_id").withColumn("cdf", F.round("cdf", 6)), with_(TRACKS) + "SELECT track_id, frame, x, round(row_number() OVER (PARTITION BY track_id ORDER BY x, frame) / CAST(count(*) OVER (PARTITION BY track_id) AS DOUBLE), 6) AS cdf FROM tracks"),
     "baseline_zscore": (
-        lambda sp, sf: s.baseline_scores(v.tracks(sp, sf), "x").select("track_id", "frame", F.round("f0", 4).alias("f0"), F.round("dff", 4).alias("dff"), F.round("z", 4).alias("z")),
-        with_(TRACKS, "b AS (SELECT track_id, frame, x, avg(CASE WHEN frame < 11 THEN x END) OVER (PARTITION BY track_id) AS f0 FROM tracks)", "d AS (SELECT *, (x - f0) / f0 AS dff FROM b)") + "SELECT track_id, frame, round(f0, 4) AS f0, round(dff, 4) AS dff, round(CASE WHEN stddev_pop(dff) OVER w > 0 THEN (dff - avg(dff) OVER w) / stddev_pop(dff) OVER w END, 4) AS z FROM d WINDOW w AS (PARTITION BY track_id)",
+        lambda sp, sf: s.baseline_scores(v.tracks(sp, sf), "x").select("track_id", "frame", *(F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("f0", "dff", "z"))),
+        with_(TRACKS, "b AS (SELECT track_id, frame, x, avg(CASE WHEN frame < 11 THEN x END) OVER (PARTITION BY track_id) AS f0 FROM tracks)", "d AS (SELECT *, (x - f0) / f0 AS dff FROM b)") + "SELECT track_id, frame, round(f0 + 1e-9, 4) AS f0, round(dff + 1e-9, 4) AS dff, round(CASE WHEN stddev_pop(dff) OVER w > 0 THEN (dff - avg(dff) OVER w) / stddev_pop(dff) OVER w END + 1e-9, 4) AS z FROM d WINDOW w AS (PARTITION BY track_id)",
     ),
     "peak_candidates": (lambda sp, sf: s.peak_candidates(v.tracks(sp, sf), "x", 40.0).select("track_id", "frame", "x"), with_(TRACKS) + "SELECT track_id, frame, x FROM (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY frame)) WHERE x > a AND x > b AND x >= 40"),
     "find_peaks": (lambda sp, sf: s.find_peaks(v.tracks(sp, sf), "x", 40.0, 6, 10.0), None),

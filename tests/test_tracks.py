@@ -254,3 +254,66 @@ def test_mesh_and_corridor_queries_see_the_whole_table(spark):
     ids = lambda df: {r.track_id for r in df.select("track_id").distinct().collect()}
     got = ids(images._cell_anchors(spark, small))
     assert got == ids(matching.anchor_segments(views.anchors(spark, small))) and max(got) >= 40
+
+
+def test_flow_beyond_anchors(spark):
+    """One anchor at frame 2, flow one pixel a frame: the whole track follows."""
+    anchor = spark.createDataFrame([(1, 2, 5.0, 0.0)], POINT)
+    flow = spark.createDataFrame([(t, x, 0, 1.0, 0.0) for t in range(6) for x in range(-2, 12)], "frame int, gx int, gy int, dx double, dy double")
+    span = spark.createDataFrame([(1, 0, 4)], "track_id long, lo int, hi int")
+    got = rows(propagation.blend_tracks(anchor, flow, 1.0, 1.0, span, 4), "frame")
+    assert [r[2] for r in got] == [3, 4, 5, 6, 7]
+
+
+def test_mesh_pull_moves_a_tenth(spark):
+    p = spark.createDataFrame([(9, 0, 0.0, 0.0), (8, 0, 500.0, 0.0)], POINT)
+    done = spark.createDataFrame([(0, 10.0, 0.0), (0, 0.0, 20.0)], "frame int, px double, py double")
+    a, b = (math.exp(-d * d / 200) for d in (10, 20))
+    got = {r.track_id: (r.x, r.y) for r in propagation.mesh_pull(p, done, 30.0).collect()}
+    assert got[8] == (500.0, 0.0)
+    assert got[9] == (round(0.1 * 10 * a / (a + b), 4), round(0.1 * 20 * b / (a + b), 4))
+
+
+def test_series_by_hand():
+    """Damping of single frequencies: above the cutoff by exp(-((f - cutoff) / 0.1)**2), in cosines by exp(-3 r**2)."""
+    n = 40
+    t = np.arange(n)
+    everything = np.ones(n, dtype=bool)
+    for k in (4, 14):
+        wave = np.cos(2 * np.pi * k * t / n)
+        fit = np.polyval(np.polyfit(t, wave, 1), t)
+        gain = math.exp(-((max(0.0, k / n - 0.25) / 0.1) ** 2))
+        assert np.abs(folds.spectral(wave, everything) - fit - (wave - fit) * gain).max() < 0.1
+    for k, gain in ((5, 1.0), (10, 1.0), (25, math.exp(-3 * 0.5**2)), (39, math.exp(-3 * (29 / 30) ** 2))):
+        wave = np.cos(np.pi * (t + 0.5) * k / n)
+        assert np.allclose(folds.cosine(wave), wave * gain)
+
+
+def test_images_by_hand(spark):
+    values = [[0, 1, 3, 3], [0, 2, 3, 7], [5, 5, 5, 5]]
+    px = spark.createDataFrame([(0, x, y, float(values[y][x])) for x in range(4) for y in range(3)], "frame int, px int, py int, value double")
+    v = np.array(values, dtype=float)
+    gx, gy = v[:-1, 1:] - v[:-1, :-1], v[1:, :-1] - v[:-1, :-1]
+    assert math.isclose(detection.complexity(px).first().complexity, np.hypot(gx, gy).mean(), abs_tol=1e-4)  # cells of one pixel have no deviation
+    two = np.mean([v[i : i + 1, j : j + 2].std() for i in (0, 1) for j in (0, 2)])
+    assert math.isclose(detection.complexity(px, 2).first().complexity, np.hypot(gx, gy).mean() + two, abs_tol=1e-4)
+    f = {r.feature: r.value for r in detection.features(px, 7, 2).collect()}
+    density, _ = np.histogram(v, bins=7, density=True)
+    assert all(math.isclose(f.get(f"h{i}", 0.0), d * 1e6, abs_tol=1e-3) for i, d in enumerate(density))
+    assert (f["m0_0"], f["s0_1"]) == (0.5, 0.0) and f["gx"] == round(np.abs(np.diff(v, axis=1)).mean(), 2)
+    flow = spark.createDataFrame([(0, 0, 0, 1.0, 0.0), (1, 0, 0, 0.0, 2.0)], "frame int, gx int, gy int, dx double, dy double")
+    assert [r[-3:] for r in map(tuple, sc.coloured(flow).orderBy("frame").collect())] == [(90, 255, 127), (135, 255, 255)]
+
+
+def test_path_is_cheapest(spark):
+    """Against all paths of a small corridor."""
+    r = np.random.default_rng(5)
+    flow = {(t, x, y): r.integers(-1, 2, 2).tolist() for t in range(3) for x in range(-3, 6) for y in range(-3, 4)}
+    tile = pd.DataFrame([(t, x, y, *d) for (t, x, y), d in flow.items()], columns=["frame", "x", "y", "dx", "dy"])
+    got = folds.path(1, 0, 3, (0, 0), (2, 1), tile, 2, 2, 0.3)
+    cost = lambda p: sum(abs(b[0] - a[0] - flow.get((t, *a), (0, 0))[0]) + abs(b[1] - a[1] - flow.get((t, *a), (0, 0))[1]) for t, (a, b) in enumerate(zip(p, p[1:])))
+    found = [tuple(map(int, x)) for x in got[["x", "y"]].to_numpy().tolist()]
+    assert found[0] == (0, 0) and found[-1] == (2, 1)
+    cells = list(itertools.product(range(-2, 5), range(-2, 4)))
+    least = min(cost([(0, 0), a, b, (2, 1)]) for a in cells for b in cells if all(max(abs(q[0] - p[0]), abs(q[1] - p[1])) <= 2 for p, q in (((0, 0), a), (a, b), (b, (2, 1)))))
+    assert cost(found) >= least and cost(found) <= least + 1
