@@ -14,7 +14,7 @@ untested, and a large group of near copies is never paired out.
 
 Texts are shuffled once, to set those apart that share a bucket with others; all later steps read that smaller table. A
 class that very many are held against (a hub) is sent once to each of SPREAD parts of them. What is summed up per bucket is
-written before it is joined back: then both sides are shuffled, and Spark can split a bucket of very many classes.
+joined back to its members, small rows without texts; those of one bucket meet in one task.
 
 Defined results: texts without words (null, empty) have no shingles, are linked with nothing and stay; a text of one or
 two words has one shingle; components are named by their smallest doc_id, null doc_ids last; repeated rows are equal sets;
@@ -238,7 +238,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
         ends = lambda df: df.withColumn("x", F.least("leaf", "hub")).withColumn("y", F.greatest("leaf", "hub"))
         return ends(pairs).join(ends(tested).select("x", "y").distinct(), ["x", "y"], "left_anti").groupBy("x", "y").agg(F.max("leaf").alias("leaf"), F.max("hub").alias("hub")).select("leaf", "hub")
 
-    buckets = checkpoint(banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high"))
+    buckets = banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
     shared = checkpoint(banded.join(buckets, "band"))
     stars = shared.select(F.col("cls").alias("leaf"), F.explode(F.array("low", "high")).alias("hub")).where("leaf <> hub").distinct()
     tested = checkpoint(likely(stars))
@@ -248,8 +248,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     def still_apart(members: DataFrame) -> DataFrame:
         """Members (band, cls, ...) of the buckets whose classes are not yet one component, with comp."""
         named = members.join(comps, F.col("cls") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        named = checkpoint(named)
-        open_ = checkpoint(named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band"))
+        open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
         return named.join(open_, "band")
 
     fields = ("cls", "comp", "n", "shared", "rare", "last", "sig")
@@ -267,7 +266,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     # Once more against one class a bucket, the one with most open buckets, which in a group of copies is near its source.
     rows = checkpoint(still_apart(shared.select("band", "cls")))
     wide = rows.join(rows.groupBy("cls").agg(F.count("*").alias("reach")), "cls")
-    middle = checkpoint(wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m")))
+    middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
     central = rows.join(middle, "band").where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct()
     central = checkpoint(likely(untested(central, tested)))
     # What is known of the components stands for the links they came from.
