@@ -32,11 +32,12 @@ CLASSES = (
     ("alphanumeric", re.compile(r"[A-Za-z0-9]+\Z"), 20, 3.8),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 24, 4.0),
 )
-#: Digits alone, words of one case, words joined by marks, and UUIDs are not secrets.
+#: A word of a name: of one case, capitalised, or several in a row, each begun by a capital.
+_NAME = r"(?:[A-Z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)+|[0-9]{1,4})"
+#: Digits alone, such words, also joined by marks, and UUIDs are not secrets. Letters in mixed case are no word.
 ALLOWED = (
     re.compile(r"[0-9_=-]+\Z"),
-    re.compile(r"[A-Z]?[a-z]+\Z|[A-Z]+\Z"),
-    re.compile(r"(?:[A-Za-z]+|[0-9]{1,4})(?:[/_=+-]+(?:[A-Za-z]+|[0-9]{1,4}))*[/_=+-]*\Z"),
+    re.compile(rf"{_NAME}(?:[/_=+-]+{_NAME})*[/_=+-]*\Z"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),
 )
 

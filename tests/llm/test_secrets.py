@@ -39,9 +39,9 @@ def test_window_entropy(s, width):
 
 
 def test_secrets_and_allow_list():
-    for good in ("kX9vQ2mZ7pL4wT8rB3nY6cF1", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "A1B2C3D4E5F60718293A4B5C"):
+    for good in ("kX9vQ2mZ7pL4wT8rB3nY6cF1", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "A1B2C3D4E5F60718293A4B5C", "kXvQmZpLwTrBnYcFhJdGsAtE", "kXvQ-mZpL_wTrB/nYcF+hJdG", "ghp_kXvQmZpLwTrBnYcFhJdGsAtEuWiO"):
         assert secrets.is_secret(good)
-    for fine in ("Donaudampfschifffahrtsgesellschaft", "a" * 40, "12345678901234567890", "some-long-name_with-many-parts-2024", "123E4567-E89B-12D3-A456-426614174000", "INTERNATIONALIZATIONS"):
+    for fine in ("Donaudampfschifffahrtsgesellschaft", "a" * 40, "12345678901234567890", "some-long-name_with-many-parts-2024", "123E4567-E89B-12D3-A456-426614174000", "INTERNATIONALIZATIONS", "someLongVariableNameInSource", "path/to/SomeFile/withNames-2024"):
         assert not secrets.is_secret(fine)
     text = "see kX9vQ2mZ7pL4wT8rB3nY6cF1 and token = kX9vQ2mZ7pL4wT8rB3nY6cF1"
     assert [s[1] for s in secrets.scan(text)] == [3, 0]
