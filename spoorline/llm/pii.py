@@ -1,8 +1,8 @@
 """Operator 2: personal data, also where it is disguised, with offsets into the source text.
 
 Fixed patterns find emails, IP addresses, card and phone numbers. A transducer then rewrites disguises (look-alike
-letters, full-width forms, zero-width characters, spelled digits, "[at]" and "[dot]" and their like) and keeps for every
-character it emits the source span it came from. The same detectors read its output; what they find across a rewritten
+letters, digits of other scripts, full-width forms, zero-width characters, spelled digits, letters among digits, "[at]" and
+"[dot]" and their like, character references, blanks around an @) and keeps for every character it emits the source span it came from. The same detectors read its output; what they find across a rewritten
 character is mapped back and added, unless a fixed pattern has found that place already.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; null doc_ids are carried; an empty
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,18 +34,40 @@ _LIKE |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναι", "ABEZHIKMNOPTYXovai",
 _LIKE |= {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}  # full-width forms
 _LIKE |= {c: "" for c in "​‌‍⁠﻿­"}
 _LIKE |= {c: "-" for c in "‐‑‒–−"}
-# Spelled digits.
+# Decimal digits of all scripts, and letters and digits in mathematical or circled form.
+_LIKE |= {c: str(unicodedata.decimal(c)) for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd"}
+_LIKE |= {c: plain for c in map(chr, (*range(0x1D400, 0x1D800), *range(0x24B6, 0x24EA))) if (plain := unicodedata.normalize("NFKC", c)).isascii()}
+# Spelled digits, how often one is meant, and letters that stand for digits.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_TIMES = {"double": 2, "triple": 3}
+_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 _DIGIT = "(?:" + "|".join(_DIGITS) + ")"
-_SPELLED = re.compile(rf"(?:(?<![A-Za-z])(plus)[\x20-]+)?(?<![A-Za-z]){_DIGIT}(?:(?:[\x20,-]+|\x20*+(?:dot|point)\x20*+){_DIGIT})+(?![A-Za-z])", re.I | re.A)
-_SPELLED_PART = re.compile(rf"{_DIGIT}|dot|point", re.I | re.A)
-_OPEN, _CLOSE = r"\x20{0,3}[\[({<]\x20{0,3}", r"\x20{0,3}[\])}>]\x20{0,3}"
+_SAID = rf"(?:(?:{'|'.join(_TIMES)})[\x20-]++)?{_DIGIT}"
+_PLUS = r"(?:((?<![A-Za-z])plus[\x20-]++|\+[\x20-]*+))?(?<![A-Za-z])"
+_GAP = r"[\x20\t\r\n,-]++"
+_SPELLED = re.compile(rf"{_PLUS}{_SAID}(?:(?:{_GAP}|\x20*+(?:dot|point)\x20*+){_SAID})+(?![A-Za-z])", re.I | re.A)
+# Words and figures by turns; figures are joined by blanks and hyphens only.
+_TURNS = re.compile(rf"{_PLUS}(?:{_SAID}|(?<![0-9])[0-9]++)(?:(?:{_GAP}|\x20*+(?:dot|point)\x20*+){_SAID}|(?:[\x20-]++|\x20*+(?:dot|point)\x20*+)[0-9]++)+(?![A-Za-z])", re.I | re.A)
+_SPELLED_PART = re.compile(rf"(?:({'|'.join(_TIMES)})[\x20-]++)?({_DIGIT})|dot|point|[0-9]++", re.I | re.A)
+# Cheap tests for texts in lower case, without which the two patterns above cannot match.
+_PAIR = re.compile(rf"{_DIGIT}(?:{_GAP}|\x20*+(?:dot|point)\x20*+)(?:{'|'.join(_TIMES)}|{_DIGIT})")
+_FIGURE_WORD = re.compile(rf"[0-9](?:{_GAP}|\x20*+)(?:{'|'.join(_TIMES)}|{_DIGIT}|dot|point)")
+_WORD_FIGURE = re.compile(r"(?<=[a-z])[\x20-]*+[0-9]")
+_ENDS = (*_DIGITS, "dot", "point")
+_ANY_SAID = re.compile(_DIGIT, re.I | re.A)
+_FIGURE = re.compile(r"[0-9]")
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OolI](?:[\x20.-]?[0-9OolI]){3,}+(?![A-Za-z0-9])")
+# A disguise starts where no blank precedes its blanks, so that long runs of blanks are read once.
+_OPEN, _CLOSE = r"(?<!\x20)\x20*+[\[({<]\x20*+", r"\x20*+[\])}>]\x20*+"
+_LABELS = r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
 _RULES = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])\x20{{1,3}}at\x20{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\x20{{1,3}}dot\x20{{1,3}}|{_OPEN}dot{_CLOSE})[A-Za-z]))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|(?<=[A-Za-z0-9])\x20{{1,3}}dot\x20{{1,3}}(?=[A-Za-z0-9]))",
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|&(?:#64|#x40|commat);|(?<=[A-Za-z0-9])\x20++at\x20++(?={_LABELS}(?:\x20++dot\x20++|\x20*+[\[({{<]\x20*+dot{_CLOSE})[A-Za-z]))"
+    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|&(?:#46|#x2e|period);|(?<=[A-Za-z0-9])\x20++dot\x20++(?=[A-Za-z0-9]))"
+    r"|(?P<wide>(?<=[A-Za-z0-9])\x20*+@\x20*+[A-Za-z0-9-]++(?:(?:\.|\x20++\.\x20++)[A-Za-z0-9-]++)++)",
     re.I | re.A,
 )
-_ODD = re.compile("[" + "".join(map(re.escape, _LIKE)) + "]")
+_BLANKS = re.compile(r"\x20++")
+_ODD = re.compile(r"[^\x00-\x7f]")
 
 
 def luhn(digits: str) -> bool:
@@ -87,29 +111,56 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def rewrite(text: str) -> tuple[str, list[int], list[int], list[bool]] | None:
-    """The rewritten text, and for each of its characters the source span and whether it was rewritten; None if nothing was."""
+def _spelled(plain: str, pattern: re.Pattern) -> list[tuple[int, int, str]]:
+    """Edits that turn spelled digits into figures and join them; of words and figures by turns, only where both stand."""
     edits = []
-    if not text.isascii():
-        edits += [(m.start(), m.end(), _LIKE[m[0]]) for m in _ODD.finditer(text)]
+    for m in pattern.finditer(plain):
+        first = m.end(1) if m[1] else m.start()
+        if pattern is _TURNS and not (_ANY_SAID.search(plain, first, m.end()) and _FIGURE.search(plain, first, m.end())):
+            continue
+        if m[1]:
+            edits.append((m.start(), first, "+"))
+        last = first
+        for part in _SPELLED_PART.finditer(plain, first, m.end()):
+            if part.start() > last:
+                edits.append((last, part.start(), ""))
+            if part[2]:
+                edits.append((*part.span(), _DIGITS[part[2].lower()] * _TIMES.get((part[1] or "").lower(), 1)))
+            elif not part[0][0].isdigit():
+                edits.append((*part.span(), "."))
+            last = part.end()
+    return edits
+
+
+def rewrite(text: str, turns: bool = False) -> tuple[str, list[int], list[int], list[bool]] | None:
+    """The rewritten text, and for each of its characters the source span and whether it was rewritten; None if nothing was.
+
+    turns: read spelled digits together with the figures beside them; None where there are no such places.
+    """
     low = text.lower() if text.isascii() else text.translate(_TABLE).lower()
     if len(low) == len(text):  # some letters change length in lower case; those texts are searched as they are
         plain = low
     else:
         plain = text
-    if "dot" in plain or "[" in plain or "(" in plain or "{" in plain or "<" in plain:
-        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _RULES.finditer(plain)]
-    for m in _SPELLED.finditer(plain):
-        if m[1]:
-            edits.append((m.start(1), m.start(1) + len(m[1]) + 1, "+"))
-        last = None
-        for part in _SPELLED_PART.finditer(plain, m.start() + len(m[1] or "")):
-            if part.start() >= m.end():
-                break
-            if last is not None and part.start() > last:
-                edits.append((last, part.start(), ""))
-            edits.append((part.start(), part.end(), _DIGITS.get(part[0].lower(), ".")))
-            last = part.end()
+    if turns:
+        beside = _FIGURE_WORD.search(low) or any(low.endswith(_ENDS, 0, m.start()) for m in _WORD_FIGURE.finditer(low))
+        edits = _spelled(plain, _TURNS) if beside else []
+        if not edits:
+            return None
+    else:
+        edits = _spelled(plain, _SPELLED) if _PAIR.search(low) else []
+    if not text.isascii():
+        edits += [(m.start(), m.end(), _LIKE[m[0]]) for m in _ODD.finditer(text) if m[0] in _LIKE]
+    if "dot" in plain or any(c in plain for c in "[({<&@"):
+        for m in _RULES.finditer(plain):
+            if m["wide"] is None:
+                edits.append((m.start(), m.end(), "@" if m["at"] else "."))
+            else:
+                edits += [(*blank.span(), "") for blank in _BLANKS.finditer(plain, m.start(), m.end())]
+    for m in _LETTERED.finditer(text):
+        places = [i for i in range(m.start(), m.end()) if text[i] in _LETTERS]
+        if places and 3 * len(places) <= sum(c.isdigit() for c in m[0]) + len(places):
+            edits += [(i, i + 1, _LETTERS[text[i]]) for i in places]
     if not edits:
         return None
     out, begin, end, new, done = [], [], [], [], 0
@@ -140,13 +191,16 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     """Spans of the fixed patterns, and the spans that the method adds."""
     base = detect(text)
     more: list[tuple[int, int, int]] = []
-    if changed := rewrite(text):
-        plain, begin, end, new = changed
-        for kind, a, b in detect(plain):
-            x, y = begin[a], end[b - 1]
-            # Characters dropped inside count as rewritten too: then source and output differ in length.
-            if (y - x != b - a or any(new[a:b])) and not any(k == kind and s < y and x < e for k, s, e in base):
-                more.append((kind, x, y))
+    for turns in (False, True):
+        if changed := rewrite(text, turns):
+            plain, begin, end, new = changed
+            taken = [sorted((s, e) for k, s, e in (*base, *more) if k == kind) for kind in range(len(KINDS))]
+            for kind, a, b in detect(plain):
+                x, y = begin[a], end[b - 1]
+                before = bisect_left(taken[kind], (y,))  # spans of one kind do not overlap: the last that starts earlier ends last
+                # Characters dropped inside count as rewritten too: then source and output differ in length.
+                if (y - x != b - a or any(new[a:b])) and not (before and taken[kind][before - 1][1] > x):
+                    more.append((kind, x, y))
     return base, more
 
 
