@@ -39,6 +39,22 @@ def snapped(c: Column, step: float = 0.25) -> Column:
     return F.round(F.rint(c / step) * step, 4)
 
 
+def rescaled(x: Column, y: Column, size_in: tuple[int, int], size_out: tuple[int, int]) -> list[Column]:
+    """Places on one grid (width, height) as places on another."""
+    return [(x * size_out[0] / size_in[0]).alias("x"), (y * size_out[1] / size_in[1]).alias("y")]
+
+
+def in_clip(frame: Column, x: Column, start: int, width: int, flip: bool = False) -> list[Column]:
+    """Frame and x of a point in a clip that begins at a frame, mirrored left to right if asked."""
+    return [(frame - start).alias("frame"), (F.lit(width) - x if flip else x).alias("x")]
+
+
+def coordinate_scale(points: DataFrame, width: int, height: int) -> DataFrame:
+    """One row: the scale that brings the greatest coordinate to the image's longer side; coordinates count as 1 where there are none."""
+    most = lambda c: F.coalesce(F.max(c), F.lit(1.0))
+    return points.agg((max(width, height) / F.greatest(most("x"), most("y"))).alias("scale"))
+
+
 def matching_memory(pixels: Column) -> Column:
     """GB that dense matching of a frame of so many pixels takes; fixed values from measurements."""
     return 0.046 + 1.94e-7 * pixels + 1.52e-12 * pixels * pixels

@@ -144,6 +144,13 @@ def event_statistics(values: DataFrame, at: str, value: str) -> DataFrame:
     return values.groupBy(at).agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value) / F.sqrt(F.count(value)), 4).alias("sem"))
 
 
+def nearest_step(curves: DataFrame, target: int, tolerance: int, value: str = "score") -> DataFrame:
+    """A curve's value at the step nearest to target, the smaller of two; no row for tracks without one within tolerance."""
+    away = F.abs(F.col("k") - target)
+    near = curves.where(away <= tolerance).groupBy("track_id").agg(F.min_by(F.struct("k", value), F.struct(away, "k")).alias("b"))
+    return near.select("track_id", "b.k", f"b.{value}")
+
+
 def trajectory_statistics(tracks: DataFrame) -> DataFrame:
     """Start, end and length per track."""
     return tracks.groupBy("track_id").agg(F.min("frame").alias("start"), F.max("frame").alias("stop"), F.count("*").alias("length"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
 from ..operators import metrics as m
 from ..operators import sequences as s
 from . import views as v
@@ -94,6 +95,14 @@ QUERIES = {
         + "SELECT event_type, count(*) AS groups, CAST(sum(CAST(best AS INTEGER)) AS BIGINT) AS best_in, CASE WHEN count(*) = 4 THEN CAST(floor(avg(median) + 0.5) AS BIGINT) END AS overall, coalesce(CASE WHEN count(*) = 4 THEN CAST(floor(avg(median) + 0.5) AS BIGINT) END, 9999) AS rank_key FROM b GROUP BY event_type",
     ),
     "population_mean": (lambda sp, sf: m.event_statistics(v.tracks(sp, sf), "frame", "x"), with_(TRACKS) + "SELECT frame, count(x) AS n, round(avg(x), 4) AS mean, round(stddev_pop(x) / sqrt(count(x)), 4) AS sem FROM tracks GROUP BY frame"),
+    "nearest_step": (lambda sp, sf: m.nearest_step(curves(sp, sf), 27, 5), with_(TRACKS, PRED, LEFT, CURVES) + "SELECT track_id, k, score FROM curves WHERE abs(k - 27) <= 5 QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY abs(k - 27), k) = 1"),
+    "event_mean": (
+        lambda sp, sf: m.event_statistics(s.event_snippets(v.tracks(sp, sf), v.tracks(sp, sf).where("event_type = 'purchase'"), "x", 5, 10), "offset", "x"),
+        with_(TRACKS, "span AS (SELECT track_id, min(frame) AS lo, max(frame) AS hi FROM tracks GROUP BY track_id)", "e AS (SELECT t.track_id, frame AS event FROM tracks t JOIN span s ON t.track_id = s.track_id WHERE event_type = 'purchase' AND frame - 5 >= lo AND frame + 10 <= hi)") + "SELECT t.frame - event AS \"offset\", count(x) AS n, round(avg(x), 4) AS mean, round(stddev_pop(x) / sqrt(count(x)), 4) AS sem FROM e JOIN tracks t ON t.track_id = e.track_id AND t.frame BETWEEN event - 5 AND event + 10 GROUP BY 1",
+    ),
+    "grid_rescale": (lambda sp, sf: v.tracks(sp, sf).select("track_id", "frame", *sc.rescaled(F.col("x"), F.col("y"), (512, 384), (256, 256))).withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in "xy"}), with_(TRACKS) + "SELECT track_id, frame, round(x * 256 / 512 + 1e-9, 4) AS x, round(y * 256 / 384 + 1e-9, 4) AS y FROM tracks"),
+    "clip_flip": (lambda sp, sf: v.tracks(sp, sf).select("track_id", *sc.in_clip(F.col("frame"), F.col("x"), 8, 512, True), "y").withColumn("x", F.round(F.col("x") + 1e-9, 4)), with_(TRACKS) + "SELECT track_id, frame - 8 AS frame, round(512 - x + 1e-9, 4) AS x, y FROM tracks"),
+    "coordinate_scale": (lambda sp, sf: sc.coordinate_scale(v.tracks(sp, sf), 512, 384).select(F.round("scale", 9).alias("scale")), with_(TRACKS) + "SELECT round(512 / greatest(coalesce(max(x), 1), coalesce(max(y), 1)), 9) AS scale FROM tracks"),
     "trajectory_statistics": (lambda sp, sf: m.trajectory_statistics(v.detections(sp, sf)), with_(TRACKS) + "SELECT track_id, min(frame) AS start, max(frame) AS stop, count(*) AS length FROM tracks WHERE NOT occluded GROUP BY track_id"),
     "linking_summary": (lambda sp, sf: m.linking_summary(v.detections(sp, sf)), with_(TRACKS, v.DETECTIONS, "a AS (SELECT count(*) AS tracks, min(c) AS shortest, max(c) AS longest, quantile_cont(CAST(c AS DOUBLE), 0.5) AS median_length FROM (SELECT count(*) AS c FROM det GROUP BY track_id))", "b AS (SELECT count(*) AS frames, round(avg(c), 4) AS per_frame, CAST(sum(c) AS BIGINT) AS detections FROM (SELECT count(*) AS c FROM det GROUP BY frame))") + "SELECT * FROM a, b"),
     "losses": (

@@ -317,3 +317,13 @@ def test_path_is_cheapest(spark):
     cells = list(itertools.product(range(-2, 5), range(-2, 4)))
     least = min(cost([(0, 0), a, b, (2, 1)]) for a in cells for b in cells if all(max(abs(q[0] - p[0]), abs(q[1] - p[1])) <= 2 for p, q in (((0, 0), a), (a, b), (b, (2, 1)))))
     assert cost(found) >= least and cost(found) <= least + 1
+
+
+def test_steps_grids_and_clips(spark):
+    curve = spark.createDataFrame([(1, 20, 1.0), (1, 30, 2.0), (2, 40, 3.0), (3, 24, None), (3, 27, 5.0)], "track_id long, k int, score double")
+    assert rows(metrics.nearest_step(curve, 25, 5)) == [(1, 20, 1.0), (3, 24, None)]
+    points = spark.createDataFrame([(1, 10, 100.0, 30.0), (1, 11, None, 60.0)], POINT)
+    assert rows(points.select(*sc.rescaled(F.col("x"), F.col("y"), (200, 60), (100, 120)))) == [(50.0, 60.0), (None, 120.0)]
+    assert rows(points.select(*sc.in_clip(F.col("frame"), F.col("x"), 10, 120, True))) == [(0, 20.0), (1, None)]
+    assert sc.coordinate_scale(points, 50, 40).first().scale == 0.5
+    assert sc.coordinate_scale(points.limit(0), 50, 40).first().scale == 50.0
