@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup
 from pyspark.sql import functions as F
 
+from . import exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup
 from .common import documents
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_quality": lambda spark, sf: quality.quality_rules(documents(spark, sf)),
     "op9_secrets": lambda spark, sf: secrets.secret_spans(documents(spark, sf)),
     "op10_sentencepiece": lambda spark, sf: pieces.sampled_pieces(documents(spark, sf)).withColumn("ids_hash", F.xxhash64("ids")).drop("ids"),
+    "op11_filter_audit": lambda spark, sf: filter_audit.filter_audit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
 }
 
 SQL = {
@@ -25,6 +26,27 @@ SQL = {
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents),
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+                len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+                100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) AS c,
+                regexp_matches(text, '[#$%&*|]') AS d,
+                coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) AS e
+              FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+        x AS (SELECT part, good, toxic, [a, b, c, d, e] AS fails, list_sum([a::INT, b::INT, c::INT, d::INT, e::INT]) AS failed FROM f),
+        t AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        o AS (SELECT [p.i, q.i, r.i, s.i, u.i] AS ord, list_aggregate(list_transform([p.i, q.i, r.i, s.i, u.i], lambda i: substr('ABCDE', i, 1)), 'string_agg', '') AS filter_order
+              FROM t p, t q, t r, t s, t u WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+        w AS (SELECT part, filter_order, t.i AS step, ord[t.i] AS letter, good, toxic, failed, fails[ord[t.i]] AS fail, list_bool_or(list_transform(ord[1:t.i - 1], lambda i: fails[i])) AS gone
+              FROM (SELECT part, good, toxic, fails, failed FROM x), o, t),
+        g AS (SELECT part, filter_order, step, letter,
+                count(*) FILTER (NOT coalesce(gone, false) AND NOT fail) AS kept, count(*) FILTER (NOT coalesce(gone, false) AND fail) AS removed,
+                count(*) FILTER (coalesce(gone, false) AND fail) AS redundant, count(*) FILTER (fail AND failed = 1) AS unique_fails,
+                count(*) FILTER (NOT coalesce(gone, false) AND fail AND good) AS good_lost, count(*) FILTER (NOT coalesce(gone, false) AND fail AND toxic) AS toxic_lost
+              FROM w GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g""",
 }
 
 
