@@ -13,8 +13,8 @@ LONG = " ".join(f"w{i}" for i in range(120))
 
 
 def brute(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     least = {}
     for i, text, *_ in docs:
         if i is not None:
