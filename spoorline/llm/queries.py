@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup
+from . import exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup, vector_codes
 from .common import documents
 
 QUERIES = {
@@ -19,8 +19,33 @@ QUERIES = {
     "op9_secrets": lambda spark, sf: secrets.secret_spans(documents(spark, sf)),
     "op10_sentencepiece": lambda spark, sf: pieces.sampled_pieces(documents(spark, sf)).withColumn("ids_hash", F.xxhash64("ids")).drop("ids"),
     "op11_filter_audit": lambda spark, sf: filter_audit.filter_audit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
+    "op12_vector_codes": lambda spark, sf: vector_codes.vector_codes(spark.read.parquet(f"{sf}/embeddings.parquet")),
 }
 
+
+def _codes_sql() -> str:
+    """Rounds of assignment and floored means, spelled out one after another."""
+    vectors = """
+        v AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM embeddings
+              WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        w AS (SELECT CAST(len(e) / 8 AS BIGINT) AS w FROM v WHERE r = 1),
+        c AS MATERIALIZED (SELECT r, p, k, CAST(floor(4096 * CAST(e[p * w + k + 1] AS DOUBLE)) AS BIGINT) AS x FROM v, w, (SELECT unnest(range(8)) AS p), (SELECT unnest(range(w)) AS k FROM w) WHERE len(e) = 8 * w),
+        b0 AS MATERIALIZED (SELECT p, r - 1 AS j, k, x FROM c WHERE r <= 16)"""
+    nearest = """
+        a{n} AS MATERIALIZED (SELECT r, p, min({{'d': d, 'j': j}}) AS m FROM (SELECT c.r, c.p, b.j, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS d FROM c JOIN b{n} b ON c.p = b.p AND c.k = b.k GROUP BY ALL) GROUP BY r, p)"""
+    means = """
+        s{n} AS (SELECT c.p, m.j AS j, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{n} a ON c.r = a.r AND c.p = a.p GROUP BY ALL),
+        b{next} AS MATERIALIZED (SELECT b.p, b.j, b.k, coalesce((s - (s % n + n) % n) // n, b.x) AS x FROM b{n} b LEFT JOIN s{n} s ON b.p = s.p AND b.j = s.j AND b.k = s.k)"""
+    steps = [vectors]
+    for n in range(vector_codes.ROUNDS):
+        steps += [nearest.format(n=n), means.format(n=n, next=n + 1)]
+    last = vector_codes.ROUNDS
+    steps += [nearest.format(n=last), f"""
+        h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, j, k)) AS sha FROM b{last}),
+        e AS (SELECT r, string_agg(printf('%02x', CAST(m.j AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY r)"""]
+    return "WITH" + ",".join(steps) + "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM e JOIN v ON e.r = v.r, h"
+
+
 SQL = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents),
@@ -47,6 +72,7 @@ SQL = {
                 count(*) FILTER (NOT coalesce(gone, false) AND fail AND good) AS good_lost, count(*) FILTER (NOT coalesce(gone, false) AND fail AND toxic) AS toxic_lost
               FROM w GROUP BY ALL)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g""",
+    "op12_vector_codes": _codes_sql(),
 }
 
 
