@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup, vector_codes
+from . import exact_dedup, filter_audit, fingerprints, lm_scoring, mixing, near_dedup, pieces, pii, quality, secrets, substring_dedup, suffix_dedup, vector_codes
 from .common import documents
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_sentencepiece": lambda spark, sf: pieces.sampled_pieces(documents(spark, sf)).withColumn("ids_hash", F.xxhash64("ids")).drop("ids"),
     "op11_filter_audit": lambda spark, sf: filter_audit.filter_audit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")),
     "op12_vector_codes": lambda spark, sf: vector_codes.vector_codes(spark.read.parquet(f"{sf}/embeddings.parquet")),
+    "op13_fingerprints": lambda spark, sf: fingerprints.edited_fingerprints(documents(spark, sf)),
 }
 
 
