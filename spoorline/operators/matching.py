@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from .metrics import distance
 
 
@@ -22,6 +23,30 @@ def near(a: DataFrame, b: DataFrame, radius: float, strict: bool = False) -> Dat
     return j.where(F.col("d") < radius if strict else F.col("d") <= radius)
 
 
+def nearest_k(a: DataFrame, b: DataFrame, key: list[str], order: str, k: int, size: float) -> DataFrame:
+    """The k nearest rows of b in the frame for each row of a, or all if there are fewer: columns of both, d and rank. Ties go to the least ``order``.
+
+    a: frame, x, y and its key; b: frame, px, py, order. Circles of radius ``size`` first; rows of a with fewer than k rows of
+    b inside look again in circles twice as wide, until those hold all of the frame. What lies in a circle is counted down to
+    k before it is shuffled.
+    """
+    spans = b.groupBy("frame").agg(F.count("*").alias("__n"), *(f(c).alias(f"__{n}{c}") for c in ("px", "py") for n, f in (("lo", F.min), ("hi", F.max))))
+    far = lambda c, p: F.greatest(F.abs(F.col(c) - F.col(f"__lo{p}")), F.abs(F.col(c) - F.col(f"__hi{p}")))
+    left = written(a.join(spans, "frame").withColumn("__need", F.least(F.lit(k), F.col("__n"))).withColumn("__far", F.hypot(far("x", "px"), far("y", "py"))).drop(*(c for c in spans.columns if c != "frame")))
+    widest = left.agg(F.max("__far")).first()[0]
+    out, ranked = None, Window.partitionBy("frame", *key).orderBy("d", order)
+    while widest is not None:
+        best = written(near(left, b, size).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k))
+        full = best.groupBy("frame", *key).agg(F.count("*").alias("__have"), F.first("__need").alias("__want")).where("__have >= __want").select("frame", *key)
+        done = best.join(full, ["frame", *key], "left_semi").drop("__need", "__far")
+        out = done if out is None else out.unionByName(done)
+        if size >= widest:
+            break
+        left = written(left.join(full, ["frame", *key], "left_anti"))
+        widest, size = left.agg(F.max("__far")).first()[0], size * 2
+    return out if out is not None else near(left, b, size).withColumn("rank", F.lit(1)).drop("__need", "__far")
+
+
 def mutual_nearest(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs that are each other's nearest within a radius: frame, a_id, b_id, d. Ties go to the least id."""
     pairs = near(a, b, radius, strict=True)
@@ -62,9 +87,12 @@ def cell_of(x: str | Column, y: str | Column, sx: float, sy: float) -> tuple[Col
     return F.rint((F.col(x) if isinstance(x, str) else x) / sx).cast("int").alias("gx"), F.rint((F.col(y) if isinstance(y, str) else y) / sy).cast("int").alias("gy")
 
 
-def flow_at(points: DataFrame, flow: DataFrame, sx: float, sy: float) -> DataFrame:
-    """Points with the flow of their cell; none is no motion."""
-    j = points.select("*", *cell_of("x", "y", sx, sy)).join(flow, ["frame", "gx", "gy"], "left")
+def flow_at(points: DataFrame, flow: DataFrame, sx: float, sy: float, cells: tuple[int, int] | None = None) -> DataFrame:
+    """Points with the flow of their cell; none is no motion. cells: columns and rows of the grid; points outside then have the flow of its border."""
+    p = points.select("*", *cell_of("x", "y", sx, sy))
+    if cells:
+        p = p.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(c))) for c, n in zip(("gx", "gy"), cells, strict=True)})
+    j = p.join(flow, ["frame", "gx", "gy"], "left")
     return j.withColumn("dx", F.coalesce("dx", F.lit(0.0))).withColumn("dy", F.coalesce("dy", F.lit(0.0)))
 
 

@@ -9,9 +9,11 @@ from ..operators import interpolation as i
 from ..operators import matching as j
 from ..operators import metrics as m
 from ..operators import propagation as p
+from ..operators import radial as r
 from ..operators import sequences as s
+from ..operators import stepwise as st
 from . import views as v
-from .views import ANCHORS, CELL_X, CELL_Y, DETECTIONS, FLOW, PIXELS, PRED, TRACKS, with_
+from .views import ANCHORS, CELL_X, CELL_Y, DETECTIONS, FLOW, PIXELS, PRED, STEADY, TRACKS, with_
 
 SPANS = "runs AS (SELECT track_id, frame, frame - row_number() OVER (PARTITION BY track_id ORDER BY frame) AS run FROM tracks WHERE occluded), spans AS (SELECT track_id, min(frame) AS start, max(frame) AS stop FROM runs GROUP BY track_id, run)"
 SEG = "seg AS (SELECT * FROM (SELECT track_id, frame AS t0, x AS x0, y AS y0, lead(frame) OVER w AS t1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM anchors WINDOW w AS (PARTITION BY track_id ORDER BY frame)) WHERE t1 IS NOT NULL)"
@@ -65,6 +67,37 @@ def _motion_points(sp, sf):
     return t.where("track_id % 4 <> 0").select("track_id", "frame", "x", "y"), vec.select(F.col("track_id").alias("s_id"), "frame", F.col("x").alias("px"), F.col("y").alias("py"), F.col("dx").alias("mx"), F.col("dy").alias("my"))
 
 
+def _open_tracks(sp, sf):
+    """Three quarters of the tracks, each begun some frames late, so that there are frames before its first place."""
+    return v.steady(sp, sf).where("track_id % 4 <> 0 AND frame >= track_id % 7").select("track_id", "frame", "x", "y")
+
+
+def _completed(sp, sf):
+    return v.steady(sp, sf).where("track_id % 4 = 0").select("track_id", "frame", "x", "y")
+
+
+def _optimised_sql() -> str:
+    """Forward and back, each step with the motion of completed tracks around the place just computed."""
+    d = "sqrt((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py))"
+    cell = "f.gx = greatest(0, least(5, CAST(round_even(p.x / 100, 0) AS INTEGER))) AND f.gy = greatest(0, least(4, CAST(round_even(p.y / 25, 0) AS INTEGER)))"
+
+    def wave(name: str, at: str, sign: str, first: str, stop: str) -> str:
+        near = f"SELECT p.track_id, p.frame, p.x, p.y, p.until, s_id, mx, my, {d} AS d FROM {name} p LEFT JOIN sr s ON s.frame = {at} AND {d} <= 100 WHERE {stop}"
+        sums = f"SELECT track_id, frame, x, y, until, arg_min({{'x': mx, 'y': my}}, s_id) FILTER (d < 1e-6) AS e, sum(1 / (d * d)) FILTER (d >= 1e-6) AS w, sum(mx / (d * d)) FILTER (d >= 1e-6) AS wx, sum(my / (d * d)) FILTER (d >= 1e-6) AS wy FROM ({near}) GROUP BY ALL"
+        move = lambda c: f"p.{c} {sign} CASE WHEN e IS NOT NULL THEN e.{c} WHEN w > 0 THEN 0.9 * w{c} / w + 0.1 * coalesce(f.d{c}, 0) ELSE coalesce(f.d{c}, 0) END"
+        return f"{name}(track_id, frame, x, y, until) AS ({first} UNION ALL SELECT p.track_id, p.frame {sign} 1, {move('x')}, {move('y')}, p.until FROM ({sums}) p LEFT JOIN flow f ON f.frame = {at} AND {cell})"
+
+    return (
+        with_(
+            STEADY, FLOW, "op AS (SELECT track_id, frame, x, y FROM tracks WHERE track_id % 4 <> 0 AND frame >= track_id % 7)", "sr AS (SELECT track_id AS s_id, frame, x AS px, y AS py, mx, my FROM moves WHERE mx IS NOT NULL AND track_id % 4 = 0)",
+            "sp AS (SELECT track_id, min(frame) AS a, max(frame) AS b FROM op GROUP BY track_id)", "st AS (SELECT op.*, b FROM op JOIN sp ON op.track_id = sp.track_id AND op.frame = a)",
+            wave("fw", "p.frame", "+", "SELECT track_id, frame, x, y, b FROM st", "p.frame < p.until"),
+            wave("bk", "p.frame - 1", "-", "SELECT track_id, frame, x, y, 0 FROM st WHERE b > frame", "p.frame > 0"),
+        )
+        + "SELECT track_id, frame, round(x + 1e-9, 2) AS x, round(y + 1e-9, 2) AS y FROM fw UNION ALL SELECT b.track_id, b.frame, round(b.x + 1e-9, 2), round(b.y + 1e-9, 2) FROM bk b JOIN sp ON b.track_id = sp.track_id AND b.frame < a"
+    )
+
+
 def _propagated_sql(back: bool) -> str:
     if not back:
         step = f"SELECT p.track_id, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < 15"
@@ -135,6 +168,19 @@ QUERIES = {
     "field_gaussian": (lambda sp, sf: i.dense_field(sources(sp, sf), grid(sp, sf), "gaussian", 20.0), _field_sql("exp(-d * d / 800)", 172.0)),
     "field_wendland": (lambda sp, sf: i.dense_field(sources(sp, sf), grid(sp, sf), "wendland", 20.0), _field_sql("CASE WHEN d < 60 THEN power(1 - d / 60, 4) * (4 * d / 60 + 1) ELSE 0 END", 60.0)),
     "field_idw": (lambda sp, sf: i.dense_field(sources(sp, sf), grid(sp, sf), "idw", 20.0), _field_sql("1 / (d * d + 400)", None)),
+    "field_radial": (lambda sp, sf: rounded(r.radial_field(sources(sp, sf), grid(sp, sf), 40.0), 3, "vx", "vy"), None),
+    "field_blurred": (
+        lambda sp, sf: rounded(r.blurred(i.dense_field(sources(sp, sf), grid(sp, sf), "gaussian", 20.0), 1.5, 8, 5), 3, "vx", "vy"),
+        _field_sql("exp(-d * d / 800)", 172.0).replace("SELECT g.frame, g.gx, g.gy,", ", fi AS (SELECT g.frame, g.gx, g.gy,", 1)
+        + "), ta AS (SELECT o, exp(-0.5 * (o / CAST(1.5 AS DOUBLE)) * (o / CAST(1.5 AS DOUBLE))) / sum(exp(-0.5 * (o / CAST(1.5 AS DOUBLE)) * (o / CAST(1.5 AS DOUBLE)))) OVER () AS w FROM (SELECT unnest(range(-6, 7)) AS o)),"
+        + " mi AS (SELECT n, x, o, w, CAST(least((x + o + 4 * n) % (2 * n), 2 * n - 1 - (x + o + 4 * n) % (2 * n)) AS INTEGER) AS f FROM ta, (SELECT 8 AS n, unnest(range(8)) AS x UNION ALL SELECT 5, unnest(range(5)))),"
+        + " ax AS (SELECT frame, CAST(mi.x AS INTEGER) AS gx, gy, sum(w * vx) AS vx, sum(w * vy) AS vy FROM fi JOIN mi ON n = 8 AND f = gx GROUP BY ALL)"
+        + " SELECT frame, gx, CAST(mi.x AS INTEGER) AS gy, round(sum(w * vx) + 1e-9, 3) AS vx, round(sum(w * vy) + 1e-9, 3) AS vy FROM ax JOIN mi ON n = 5 AND f = gy GROUP BY ALL",
+    ),
+    "nearest_sources": (
+        lambda sp, sf: rounded(j.nearest_k(grid(sp, sf), sources(sp, sf).where("dx IS NOT NULL"), ["gx", "gy"], "s_id", 32, 40.0).select("frame", "gx", "gy", "s_id", "rank", "d"), 5, "d"),
+        with_(TRACKS, FLOW, GRID, SOURCES) + "SELECT * FROM (SELECT g.frame, gx, gy, s_id, CAST(row_number() OVER (PARTITION BY g.frame, gx, gy ORDER BY d, s_id) AS INTEGER) AS rank, round(d + 1e-9, 5) AS d FROM (SELECT g.frame, gx, gy, s_id, sqrt((g.x - s.px) * (g.x - s.px) + (g.y - s.py) * (g.y - s.py)) AS d FROM grid g JOIN src s ON g.frame = s.frame) g) WHERE rank <= 32",
+    ),
     "idw_power": (lambda sp, sf: i.idw_power(sources(sp, sf), grid(sp, sf)), with_(TRACKS, FLOW, GRID, SOURCES, "pr AS (SELECT g.frame, gx, gy, 1 / power(sqrt((g.x - s.px) * (g.x - s.px) + (g.y - s.py) * (g.y - s.py)) + 1e-6, 2) AS w, dx, dy FROM grid g JOIN src s ON g.frame = s.frame)") + "SELECT frame, gx, gy, round(sum(w * dx) / sum(w), 5) AS vx, round(sum(w * dy) / sum(w), 5) AS vy FROM pr GROUP BY ALL"),
     "motion_idw_blend": (
         lambda sp, sf: rounded(i.blended_motion(*_motion_points(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, 60.0), 4, "mx", "my"),
@@ -160,6 +206,7 @@ QUERIES = {
         with_(TRACKS, "co AS (SELECT frame, x AS px, y AS py FROM tracks WHERE track_id % 4 = 0)", "pt AS (SELECT * FROM tracks WHERE track_id % 4 <> 0)", "pr AS (SELECT track_id, pt.frame, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d, px - x AS cx, py - y AS cy FROM pt JOIN co ON pt.frame = co.frame)", "mm AS (SELECT track_id, frame, sum(exp(-d * d / 200)) AS w, sum(exp(-d * d / 200) * cx) AS sx, sum(exp(-d * d / 200) * cy) AS sy FROM pr WHERE d < 30 GROUP BY ALL)")
         + "SELECT pt.track_id, pt.frame, round(x + coalesce(0.1 * sx / w, 0) + 1e-9, 4) AS x, round(y + coalesce(0.1 * sy / w, 0) + 1e-9, 4) AS y FROM pt LEFT JOIN mm ON pt.track_id = mm.track_id AND pt.frame = mm.frame",
     ),
+    "optimise_motion": (lambda sp, sf: rounded(st.optimise_motion(_open_tracks(sp, sf), _completed(sp, sf), v.flow(sp, sf, v.steady(sp, sf)), CELL_X, CELL_Y, cells=(6, 5)), 2), _optimised_sql()),
     "beyond_anchors": (
         lambda sp, sf: rounded(p.beyond_anchors(_late_anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, v.tracks(sp, sf).groupBy("track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")), 10), 3),
         with_(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import blobs as bl
 from ..operators import detection as d
 from ..operators import folds as fo
 from ..operators import matching as j
@@ -72,6 +73,26 @@ def _corridors(sp, sf):
     return fo.corridor_paths(_cell_anchors(sp, sf), _dense_flow(sp, sf), radius=3, least=4)
 
 
+def _image_places(sp, sf):
+    """Track places as places of the monthly images: a track's frame is a month."""
+    t = v.tracks(sp, sf)
+    return t.where("frame < 80").select("track_id", F.col("frame").cast("int").alias("frame"), (F.col("x") / 10).alias("x"), (F.col("y") / 15).alias("y"))
+
+
+def _image_pixels(sp, sf):
+    return v.pixels(sp, sf).withColumn("frame", F.col("frame") - 23941).where("frame BETWEEN 0 AND 79")
+
+
+def _image_flow(sp, sf):
+    """Flow of the tracks, slowed down, in cells of the images."""
+    return v.flow(sp, sf).where("frame < 80").select("frame", "gx", "gy", (F.col("dx") / 100).alias("dx"), (F.col("dy") / 150).alias("dy"))
+
+
+def _blobs(sp, sf, of, **more):
+    """The operator over the images, 50 by 7, with cells of 10 by 1.75 pixels."""
+    return rounded(of(flow=_image_flow(sp, sf), pixels=_image_pixels(sp, sf), sx=10.0, sy=1.75, width=50, height=7, last=79, search=5.0, radius=1.5, **more), 3)
+
+
 PEAKS = with_(TRACKS, PRED, "pr AS (SELECT t.frame, t.track_id, p.track_id AS near_id, sqrt((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y)) AS d FROM tracks t JOIN pred p ON t.frame = p.frame WHERE NOT t.occluded)", "be AS (SELECT frame, track_id, near_id FROM pr WHERE d < 12 QUALIFY row_number() OVER (PARTITION BY frame, track_id ORDER BY d, near_id) = 1)", "ne AS (SELECT t.track_id, t.frame, near_id FROM tracks t LEFT JOIN be ON be.track_id = t.track_id AND be.frame = t.frame WHERE NOT t.occluded)", "pv AS (SELECT *, lag(near_id) OVER (PARTITION BY track_id ORDER BY frame) AS was FROM ne WHERE near_id IS NOT NULL)")
 
 QUERIES = {
@@ -108,6 +129,8 @@ QUERIES = {
     "mesh_quality": (lambda sp, sf: me.quality(me.triangles(_mesh_points(sp, sf)), _mesh_points(sp, sf)), None),
     "mesh_barycentric": (lambda sp, sf: me.barycentric(v.predictions(sp, sf).select(F.col("track_id").alias("query_id"), "frame", F.col("x").alias("px"), F.col("y").alias("py")), me.triangles(_mesh_points(sp, sf)), _mesh_points(sp, sf), 60.0), None),
     "mesh_laplacian": (lambda sp, sf: me.laplacian(me.edges(me.triangles(_mesh_points(sp, sf))), _mesh_points(sp, sf)), None),
+    "propagate_blobs": (lambda sp, sf: _blobs(sp, sf, bl.propagate_blobs, seeds=_image_places(sp, sf).where("frame = track_id % 80")), None),
+    "blob_segments": (lambda sp, sf: _blobs(sp, sf, bl.blend_blobs, anchors=_image_places(sp, sf).where("frame % 10 = 5")), None),
     "gap_topk": (lambda sp, sf: sa.spaced_top(_motion_scores(sp, sf), 8, True), None),
     "complexity_topk": (lambda sp, sf: sa.spaced_top(d.complexity(v.pixels(sp, sf)).select(F.lit(0).cast("long").alias("video"), "frame", F.col("complexity").alias("score")), 8, False), None),
     "weighted_votes": (

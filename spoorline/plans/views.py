@@ -36,9 +36,15 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return tracks(spark, sf).where((f + t) % 13 != 0).select("track_id", "frame", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
 
 
-def flow(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean displacement to the next frame per frame and cell: frame, gx, gy, dx, dy."""
-    t = tracks(spark, sf)
+def steady(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks that move little: their first place, and a hundredth of what they move away from it. Neighbours then stay neighbours for some frames."""
+    first = lambda c: F.first(c).over(Window.partitionBy("track_id").orderBy("frame"))
+    return tracks(spark, sf).withColumns({c: first(c) + (F.col(c) - first(c)) / 100 for c in ("x", "y")})
+
+
+def flow(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Mean displacement to the next frame per frame and cell: frame, gx, gy, dx, dy. of: other tracks than tracks()."""
+    t = tracks(spark, sf) if of is None else of
     w = Window.partitionBy("track_id").orderBy("frame")
     t = t.withColumn("dx", F.lead("x").over(w) - F.col("x")).withColumn("dy", F.lead("y").over(w) - F.col("y")).where("dx is not null")
     return t.groupBy("frame", F.rint(F.col("x") / CELL_X).cast("int").alias("gx"), F.rint(F.col("y") / CELL_Y).cast("int").alias("gy")).agg(
@@ -55,6 +61,8 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TRACKS = "tracks AS (SELECT user_id AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, event_type, event_type = 'error' AS occluded FROM events)"
+#: In place of TRACKS.
+STEADY = TRACKS.replace("tracks AS", "raw AS", 1) + ", tracks AS (SELECT track_id, frame, fx + (x - fx) / 100 AS x, fy + (y - fy) / 100 AS y, event_type, occluded FROM (SELECT *, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM raw WINDOW w AS (PARTITION BY track_id ORDER BY frame)))"
 PRED = "pred AS (SELECT track_id, frame, x + ((frame * 7 + track_id) % 23 - 11) * CAST(0.5 AS DOUBLE) AS x, y + ((frame * 3 + track_id) % 7 - 3) * CAST(0.5 AS DOUBLE) AS y FROM tracks WHERE (frame + track_id) % 13 <> 0)"
 ANCHORS = f"anchors AS (SELECT track_id, frame, x, y FROM tracks WHERE frame % {ANCHOR_STEP} = 0)"
 DETECTIONS = "det AS (SELECT * FROM tracks WHERE NOT occluded)"
