@@ -3,10 +3,11 @@
 Fixed patterns find emails, IP addresses, card and phone numbers. A transducer then rewrites disguises (look-alike
 letters, digits of other scripts, full-width forms, zero-width characters, spelled digits, letters among digits, "[at]" and
 "[dot]" and their like, character references, blanks around an @) and keeps for every character it emits the source span it came from. The same detectors read its output; what they find across a rewritten
-character is mapped back and added, unless a fixed pattern has found that place already.
+character is mapped back and added, unless a fixed pattern has found that place already; where one has found only a piece of
+it, the whole is added besides.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned alike; null doc_ids are carried; an empty
-table gives an empty table.
+table gives an empty table; a very long text is scanned whole, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -187,6 +188,16 @@ def rewrite(text: str, turns: bool = False) -> tuple[str, list[int], list[int],
 _TABLE = {ord(k): v or " " for k, v in _LIKE.items()}
 
 
+def outermost(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends, in order, of the spans that lie in no other one."""
+    starts, ends = [], []
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not ends or b > ends[-1]:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans of the fixed patterns, and the spans that the method adds."""
     base = detect(text)
@@ -194,12 +205,15 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     for turns in (False, True):
         if changed := rewrite(text, turns):
             plain, begin, end, new = changed
-            taken = [sorted((s, e) for k, s, e in (*base, *more) if k == kind) for kind in range(len(KINDS))]
+            taken = [outermost((s, e) for k, s, e in (*base, *more) if k == kind) for kind in range(len(KINDS))]
             for kind, a, b in detect(plain):
                 x, y = begin[a], end[b - 1]
-                before = bisect_left(taken[kind], (y,))  # spans of one kind do not overlap: the last that starts earlier ends last
+                starts, ends = taken[kind]
+                first, beyond = bisect_right(ends, x), bisect_left(starts, y)
+                # Spans that overlap this one: none, or only pieces of it.
+                apart = first >= beyond or (x <= starts[first] and ends[beyond - 1] <= y and (x, y) != (starts[first], ends[beyond - 1]))
                 # Characters dropped inside count as rewritten too: then source and output differ in length.
-                if (y - x != b - a or any(new[a:b])) and not (before and taken[kind][before - 1][1] > x):
+                if apart and (y - x != b - a or any(new[a:b])):
                     more.append((kind, x, y))
     return base, more
 

@@ -116,3 +116,11 @@ def test_disguised_identifiers_come_back_with_their_places(kind):
         text = before + hidden + r.choice(["", "; thanks", "\n\nYours"])
         spans = [(k, a, b) for found in pii.scan(text) for k, a, b in found if pii.KINDS[k] == kind]
         assert spans == [(pii.KINDS.index(kind), len(before), len(before) + len(hidden))]
+
+
+def test_piece_of_an_identifier():
+    """A fixed pattern finds what follows the look-alike; the whole is a span besides."""
+    for text, piece, whole in (("write to j\u03bfhn@example.com now", "hn@example.com", "j\u03bfhn@example.com"), ("r\u0261b@example.com", "b@example.com", "r\u0261b@example.com")):
+        base, more = pii.scan(text)
+        assert [text[a:b] for _, a, b in base] == [piece] and [text[a:b] for _, a, b in more] == [whole]
+    assert pii.outermost([(5, 9), (0, 4), (1, 3), (6, 9), (5, 9)]) == ([0, 5], [4, 9])
