@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import by_frame, new_folder
@@ -149,8 +149,7 @@ def blob_waves(seeds: DataFrame, flow: DataFrame, pixels: DataFrame, sx: float,
         rounds = f"(SELECT id, ahead, at, p.frame, x, y, until, {moved('x', width, n)}, {moved('y', height, n)} FROM {rounds} p LEFT JOIN {{field}} f ON {here})"
     step = f"SELECT id, ahead, frame, qx AS x, qy AS y, until FROM {rounds}"
 
-    def advance(points: DataFrame, frames: list[int]) -> DataFrame:
-        there = F.col("frame").isin(frames)
+    def advance(points: DataFrame, there: Column) -> DataFrame:
         predicted = points.sparkSession.sql(step, points=points, field=field.where(there))
         return refined(predicted, tiles.where(there), width, height, search, radius)
 

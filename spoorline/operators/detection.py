@@ -29,7 +29,7 @@ def subpixel(maxima: DataFrame, pixels: DataFrame, as_coded: bool = True) -> Dat
     """
     p = lambda name, i, j: pixels.select("frame", (F.col("px") - i).alias("px"), (F.col("py") - j).alias("py"), F.col("value").alias(name))
     m = maxima
-    for name, i, j in (("l", -1, 0), ("r", 1, 0), ("u", -1 + 1, -1), ("d", 0, 1)):
+    for name, i, j in (("l", -1, 0), ("r", 1, 0), ("u", 0, -1), ("d", 0, 1)):
         m = m.join(p(name, i, j), ["frame", "px", "py"], "left")
 
     def shift(a: str, c: str):
@@ -84,8 +84,11 @@ def suppress(at: np.ndarray, quality: np.ndarray, distance: float, most: int | N
     return keep
 
 
-def detect(pixels: DataFrame, radius: float, threshold: float, distance: float = 0.0, most: int | None = None, scales: tuple[float, ...] = (1.0,), invert: bool = False, median: bool = False) -> DataFrame:
-    """Blobs of every frame: frame, x, y, quality. With several scales, the best response over them counts."""
+def detect(pixels: DataFrame, radius: float, threshold: float, distance: float = 0.0, most: int | None = None, scales: tuple[float, ...] = (1.0,), invert: bool = False, median: bool = False, subpixel: bool = False, border: int = 1) -> DataFrame:
+    """Blobs of every frame: frame, x, y, quality. With several scales, the best response over them counts.
+
+    subpixel: places are moved by a parabola on each axis, at most half a pixel. border: pixels at the edge that are left out.
+    """
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         a = image(p)
@@ -97,14 +100,86 @@ def detect(pixels: DataFrame, radius: float, threshold: float, distance: float =
             w = np.pad(a, 1)
             a = np.median([w[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)], axis=0)
         r = np.max([difference_of_gaussians(a, radius * s) for s in scales], axis=0)
-        at = peaks(r, threshold)
+        at = peaks(r, threshold, border)
         q = r[at[:, 0], at[:, 1]] if len(at) else np.zeros(0)
         k = suppress(at, q, distance, most)
-        return pd.DataFrame({"frame": p["frame"].iloc[0], "x": at[k, 1].astype(float), "y": at[k, 0].astype(float), "quality": q[k]}) if k else pd.DataFrame(columns=["frame", "x", "y", "quality"])
+        place = vertex(r, at[k], 0.5) if subpixel and k else at[k].astype(float)
+        return pd.DataFrame({"frame": p["frame"].iloc[0], "x": place[:, 1], "y": place[:, 0], "quality": q[k]}) if k else pd.DataFrame(columns=["frame", "x", "y", "quality"])
 
     return pixels.groupBy("frame").applyInPandas(one, FOUND)
 
 
+def vertex(r: np.ndarray, at: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Rows and columns of peaks moved by (a - c) / (2(2b - a - c)) on each axis, at most ``most``; peaks at the edge stay."""
+    out = at.astype(float)
+    inner = ((at >= 1) & (at < np.array(r.shape) - 1)).all(1)
+    i, j = at[inner].T
+    for axis, (di, dj) in enumerate(((1, 0), (0, 1))):
+        a, b, c = r[i - di, j - dj], r[i, j], r[i + di, j + dj]
+        bend = 2.0 * b - a - c
+        shift = np.where(np.abs(bend) > 1e-10, (a - c) / np.where(np.abs(bend) > 1e-10, 2.0 * bend, 1.0), 0.0)
+        out[inner, axis] += shift if most is None else np.clip(shift, -most, most)
+    return out
+
+
+#: Blur that an image has already, least scale in pixels as a multiple of it, and what thresholds above 0 are lowered by.
+IMAGE_SIGMA, LEAST_FACTOR, THRESHOLD_CORRECTION = 0.5, 2.0, 0.00012
+
+
+def half_kernel(sigma: float) -> np.ndarray:
+    """A Gaussian from its middle outwards, of max(2, int(3 sigma + 0.5) + 1) values, that meets zero in a parabola; the whole kernel sums to 1."""
+    size = max(2, int(3 * sigma + 0.5) + 1)
+    x = np.arange(size)
+    k = np.exp(-(x * x) / (2.0 * sigma * sigma))
+    if size > 2:
+        # The parabola slope * (size - x)**2 touches the kernel where its slope stops falling on the way in; not beyond the middle.
+        slope = (k / (size - x) ** 2)[size // 2 :][::-1]
+        falls = slope[1:] < slope[:-1]
+        run = len(falls) if falls.all() else int(np.argmin(falls))
+        touch = size - 1 - run
+        k[touch + 1 :] = slope[run] * (size - x[touch + 1 :]) ** 2
+    return k / (2.0 * (0.5 * k[0] + k[1:].sum()))
+
+
+def _convolved(a: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Both axes by a symmetric kernel, mirrored at the border pixels' middles."""
+    n = len(half) - 1
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (n, n)
+        wide = np.pad(a, pad, mode="reflect" if a.shape[axis] > 1 else "edge")
+        a = sum(half[abs(i)] * np.take(wide, range(n + i, n + i + a.shape[axis]), axis=axis) for i in range(-n, n + 1))
+    return a
+
+
+def exact_response(a: np.ndarray, radius: float, pixel_size: float) -> np.ndarray:
+    """Difference of Gaussians at radius / sqrt(2) times 0.9 and 1.1 in units of the pixel size, no scale below a pixel."""
+    least = LEAST_FACTOR * IMAGE_SIGMA
+    one = max(least, radius / np.sqrt(2) * 0.9 / pixel_size)
+    return np.subtract(*(_convolved(a, half_kernel(np.sqrt(s * s - IMAGE_SIGMA**2))) for s in (one, one * 1.1 / 0.9)))
+
+
+def detect_exact(pixels: DataFrame, radius: float, threshold: float = 0.0, pixel_size: tuple[float, float] = (1.0, 1.0), median: bool = False, subpixel: bool = True) -> DataFrame:
+    """Spots of every frame as a preview detector finds them: frame, x, y (in units of pixel_size: height, width), x_pixel, y_pixel, quality.
+
+    Raw values; radius in the same units as pixel_size, whose height sets the scale of both axes; no pixel is left out at the border; refined
+    places may leave their pixel, and quality is read at the pixel they come to lie in.
+    """
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        a = image(p)
+        if median:
+            w = np.pad(a, 1)
+            a = np.median([w[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        r = exact_response(a, radius, pixel_size[0])
+        at = peaks(r, threshold - THRESHOLD_CORRECTION if threshold > 0 else threshold, 0)
+        place = vertex(r, at) if subpixel else at.astype(float)
+        in_pixel = np.clip(np.rint(place).astype(int), 0, np.array(r.shape) - 1)
+        return pd.DataFrame({"frame": np.full(len(at), p["frame"].iloc[0]), "x": place[:, 1] * pixel_size[1], "y": place[:, 0] * pixel_size[0], "x_pixel": place[:, 1], "y_pixel": place[:, 0], "quality": r[in_pixel[:, 0], in_pixel[:, 1]]})
+
+    return pixels.groupBy("frame").applyInPandas(one, "frame int, x double, y double, x_pixel double, y_pixel double, quality double")
+
+
 def top_by_quality(found: DataFrame, most: int) -> DataFrame:
     w = Window.partitionBy("frame").orderBy(F.col("quality").desc(), "y", "x")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")

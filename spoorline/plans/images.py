@@ -114,6 +114,8 @@ QUERIES = {
         + "SELECT frame, 'h' || b AS feature, round(count(*) / CAST(any_value(n) AS DOUBLE) / any_value(width) * 1e6 + 1e-9, 4) AS value FROM hi GROUP BY frame, b UNION ALL SELECT frame, 'm' || b || '_' || a, round(m + 1e-9, 2) FROM st UNION ALL SELECT frame, 's' || b || '_' || a, round(s + 1e-9, 2) FROM st UNION ALL SELECT frame, 'gx', round(gx + 1e-9, 2) FROM ed UNION ALL SELECT frame, 'gy', round(gy + 1e-9, 2) FROM ed UNION ALL SELECT frame, 'g', round(sqrt(gx * gx + gy * gy) + 1e-9, 2) FROM ed",
     ),
     "detect_dog": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.5, 0.02), None),
+    "detect_exact": (lambda sp, sf: d.detect_exact(v.pixels(sp, sf), 1.5, 500.0), None),
+    "detect_subpixel": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.5, 0.02, subpixel=True, border=0), None),
     "detect_nms": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.5, 0.02, distance=4.0, most=10), None),
     "detect_multiscale": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.2, 0.02, distance=3.0, scales=(1.0, 1.6, 2.56)), None),
     "link": (lambda sp, sf: fo.link(_detections(sp, sf), 40.0, 1), None),
