@@ -8,6 +8,7 @@ from ..operators import filters as f
 from ..operators import interpolation as i
 from ..operators import matching as j
 from ..operators import metrics as m
+from ..operators import optimum as op
 from ..operators import propagation as p
 from ..operators import radial as r
 from ..operators import sequences as s
@@ -98,6 +99,33 @@ def _optimised_sql() -> str:
     )
 
 
+def _optimum_sql() -> str:
+    """Two trials: every pair of neighbouring anchors propagated once, then summed up by rebuild."""
+    hits = ", ".join(f"count(*) FILTER (d <= {t})" for t in m.THRESHOLDS)
+    total = hits.replace(", ", " + ")
+    return (
+        with_(
+            STEADY, FLOW, "sp AS (SELECT track_id, min(frame) AS a, max(frame) AS b, count(*) AS n FROM tracks GROUP BY track_id HAVING count(*) > 1)",
+            "od AS (SELECT t.track_id, trial, frame, row_number() OVER (PARTITION BY t.track_id, trial ORDER BY md5('42:' || t.track_id || ':' || trial || ':' || frame), frame) AS place FROM tracks t JOIN sp ON t.track_id = sp.track_id AND frame > a, (SELECT unnest(range(2)) AS trial))",
+            "ks AS (SELECT DISTINCT track_id, k FROM (SELECT track_id, n, CAST(unnest(list_concat(list_concat(list_concat(range(0, 11), range(10, 51, 5)), list_concat(range(50, 101, 10), range(100, 1001, 25))), [n - 1])) AS INTEGER) AS k FROM sp) WHERE k <= n - 1)",
+            "ch AS (SELECT od.track_id, trial, k, frame FROM od JOIN ks ON od.track_id = ks.track_id AND place <= k UNION ALL SELECT ks.track_id, trial, k, a FROM ks JOIN sp ON ks.track_id = sp.track_id, (SELECT unnest(range(2)) AS trial))",
+            "pa AS (SELECT track_id, trial, k, frame AS t0, lead(frame) OVER (PARTITION BY track_id, trial, k ORDER BY frame) AS t1 FROM ch)",
+            "seg AS (SELECT w.track_id, t0, t1, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM (SELECT DISTINCT track_id, t0, t1 FROM pa WHERE t1 > t0 + 1) w JOIN tracks a ON a.track_id = w.track_id AND a.frame = t0 JOIN tracks b ON b.track_id = w.track_id AND b.frame = t1)",
+            _AHEAD, _BACK,
+            "la AS (SELECT w.track_id, t0, b, x, y FROM (SELECT DISTINCT track_id, t0 FROM pa WHERE t1 IS NULL) w JOIN sp ON w.track_id = sp.track_id AND b > t0 JOIN tracks t ON t.track_id = w.track_id AND t.frame = t0)",
+            f"ta(track_id, t0, b, frame, x, y) AS (SELECT track_id, t0, b, t0, x, y FROM la UNION ALL SELECT p.track_id, t0, b, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM ta p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < b)",
+            "mo AS (SELECT a.track_id, a.t0, a.t1, a.frame, (1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.x + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.x AS x, (1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.y + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.y AS y FROM ahead a JOIN back b ON a.track_id = b.track_id AND a.t0 = b.t0 AND a.t1 = b.t1 AND a.frame = b.frame WHERE a.frame > a.t0 AND a.frame < a.t1 UNION ALL SELECT track_id, t0, -1, frame, x, y FROM ta WHERE frame > t0)",
+            f"sc AS (SELECT track_id, t0, t1, {total} AS h FROM (SELECT mo.track_id, t0, t1, sqrt((mo.x - t.x) * (mo.x - t.x) + (mo.y - t.y) * (mo.y - t.y)) AS d FROM mo JOIN tracks t ON mo.track_id = t.track_id AND mo.frame = t.frame) GROUP BY ALL)",
+            "rs AS (SELECT pa.track_id, trial, k, sum(coalesce(h, 0) + 5) / CAST(any_value(n) * 5 AS DOUBLE) AS app FROM pa JOIN sp ON pa.track_id = sp.track_id LEFT JOIN sc ON pa.track_id = sc.track_id AND pa.t0 = sc.t0 AND coalesce(pa.t1, -1) = sc.t1 GROUP BY ALL)",
+            "au AS (SELECT track_id, trial, round(sum(area), 9) AS auc, max({'app': app, 'less': -k}) FILTER (k > 0) AS best FROM (SELECT *, (lead(k) OVER w - k) * (lead(app) OVER w + app) / 2 AS area FROM rs WINDOW w AS (PARTITION BY track_id, trial ORDER BY k)) GROUP BY ALL)",
+            "wi AS (SELECT track_id, max({'auc': auc, 'less': -trial, 'best': best}) AS a FROM au GROUP BY track_id)", "tg AS (SELECT CAST(unnest([0.90, 0.95, 0.97, 1.0]) AS DOUBLE) AS target)",
+            "re AS (SELECT track_id, target, min({'k': k, 'less': -app, 'trial': trial}) AS c FROM rs JOIN tg ON app >= target WHERE k > 0 GROUP BY ALL)",
+        )
+        + "SELECT wi.track_id, tg.target, CAST(coalesce(c.k, -a.best.less) AS INTEGER) AS optimal_k, round(coalesce(-c.less, a.best.app), 6) AS optimal_app, CAST(coalesce(c.trial, -a.less) AS INTEGER) AS optimal_trial, round(s.app, 6) AS baseline_app, round(a.auc, 4) AS best_auc, CAST(-a.less AS INTEGER) AS best_auc_trial"
+        + " FROM wi CROSS JOIN tg LEFT JOIN re ON re.track_id = wi.track_id AND re.target = tg.target JOIN (SELECT track_id, min(app) AS app FROM rs WHERE k = 0 GROUP BY track_id) s ON s.track_id = wi.track_id"
+    )
+
+
 def _propagated_sql(back: bool) -> str:
     if not back:
         step = f"SELECT p.track_id, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < 15"
@@ -207,6 +235,7 @@ QUERIES = {
         + "SELECT pt.track_id, pt.frame, round(x + coalesce(0.1 * sx / w, 0) + 1e-9, 4) AS x, round(y + coalesce(0.1 * sy / w, 0) + 1e-9, 4) AS y FROM pt LEFT JOIN mm ON pt.track_id = mm.track_id AND pt.frame = mm.frame",
     ),
     "optimise_motion": (lambda sp, sf: rounded(st.optimise_motion(_open_tracks(sp, sf), _completed(sp, sf), v.flow(sp, sf, v.steady(sp, sf)), CELL_X, CELL_Y, cells=(6, 5)), 2), _optimised_sql()),
+    "optimum_per_track": (lambda sp, sf: op.optimum(op.rebuild_scores(v.steady(sp, sf), v.flow(sp, sf, v.steady(sp, sf)), CELL_X, CELL_Y, 2, 400)), _optimum_sql()),
     "beyond_anchors": (
         lambda sp, sf: rounded(p.beyond_anchors(_late_anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, v.tracks(sp, sf).groupBy("track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")), 10), 3),
         with_(
