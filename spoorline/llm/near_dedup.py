@@ -6,14 +6,16 @@ The threshold decides how many: the most with which one pair in 20,000 at most s
 into four numbers; the share of equal ones, corrected for chance agreement, estimates a pair's similarity by counting bits.
 Pairs within four standard errors of the threshold, at that threshold, or above are confirmed on the full sets of words.
 
-Documents with equal sets are one class, so copies cost nothing. In each bucket of a band, every class is first held
-against two of its members only; links join into components, and then candidates of one bucket that are still in
-different components are held against each other. Their rarest shingles bound what two sets can have in common, exactly,
-and pairs that cannot reach the threshold drop out before full sets are read. No pair that could change a component goes
-untested, and a large group of near copies is never paired out.
-
-Texts are shuffled once, to set those apart that share a bucket with others; all later steps read that smaller table. A
-class that very many are held against (a hub) is sent once to each of SPREAD parts of them. What is summed up per bucket is
+Documents with equal sets are one class, so copies cost nothing. Every class is first held against one other alone; links
+join into components. In buckets that then still have several, classes are held against the bucket's least and greatest,
+and against the one with most such buckets, and at last candidates that are still in different components against each
+other. Their rarest shingles bound what two sets can have in common, exactly, and pairs that cannot reach the threshold
+drop out before full sets are read. No pair that could change a component goes untested, and a large group of near copies
+is never paired out.
+
+Texts are shuffled once, to set those apart that share a bucket with others; all later steps read that smaller table. To be
+confirmed, each text goes to one block, and to each block that has others to be held against it; pairs move as pairs of
+names. Classes are named by 128-bit digests of their sets, rows told apart by doc_id and a 64-bit hash of the text together. What is summed up per bucket is
 joined back to its members, small rows without texts; those of one bucket meet in one task.
 
 Defined results: texts without words (null, empty) have no shingles, are linked with nothing and stay; a text of one or
@@ -30,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +47,8 @@ CHANCE = 1 / (1 << BITS)
 #: Standard errors of the estimate at the threshold that a candidate may lie below it.
 ERRORS = 4
 CHUNK = 1 << 20
-#: Parts into which the partners of a class are dealt.
-SPREAD = 64
+#: Bytes of text in a block of classes that are held against others.
+BLOCK_BYTES = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -141,7 +144,7 @@ def _signed(size: int, width: int, batches) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.col("text").cast("binary").alias("text"))
 
 
 def estimate(a: str, b: str) -> Column:
@@ -155,9 +158,9 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and one text of each wanted class (cls, distinct). Keys are never broadcast, so that the plan is the same at every size."""
-    keys = wanted.select(F.col("cls").alias("row_key")).hint("shuffle_hash")
-    return _rows(docs).join(keys, "row_key").select(F.col("row_key").alias("cls"), "text").dropDuplicates(["cls"])
+    """cls and one text of each wanted class (cls, first; distinct). Keys are never broadcast, so that the plan is the same at every size."""
+    keys = wanted.select("cls", F.col("first.i").alias("i"), F.col("first.k").alias("k")).hint("shuffle_hash")
+    return _rows(docs).join(keys, (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("cls", "text").dropDuplicates(["cls"])
 
 
 def enough_in_common(a: bytes, b: bytes, percent: int, size: int) -> bool:
@@ -190,7 +193,7 @@ def rarest_shingles(texts: DataFrame, among: DataFrame, percent: int, size: int)
                 of = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]) + a)
                 yield pa.RecordBatch.from_arrays([batch["cls"].take(of), batch["comp"].take(of), pa.array(np.concatenate(found).view(np.int64))], names=["cls", "comp", "shingle"])
 
-    each = texts.join(among, "cls").select("cls", "comp", "text").mapInArrow(rows, "cls long, comp long, shingle long")
+    each = texts.join(among, "cls").select("cls", "comp", "text").mapInArrow(rows, "cls binary, comp binary, shingle long")
     common = each.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
     rarity = F.when(F.col("c0") == F.col("c1"), 0).otherwise(F.col("c")).alias("r")
     ranked = each.select("cls", "shingle").join(common.select("shingle", rarity), "shingle")
@@ -203,19 +206,28 @@ def rarest_shingles(texts: DataFrame, among: DataFrame, percent: int, size: int)
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (leaf, hub of classes) whose full sets are similar enough, as u and v. texts: cls, text.
 
-    A hub's text goes once to each part of its leaves that has any, and each leaf's text to that part.
+    Leaves are dealt into blocks of some BLOCK_BYTES of text, each leaf's text to its own block alone, however many hubs it
+    is held against; a hub's text goes once to each block that has leaves of it.
     """
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("leaf"), F.lit(SPREAD)))
-    hubs = pairs.select("hub", "part").distinct().join(texts.select(F.col("cls").alias("hub"), F.col("text").alias("b")), "hub")
-    leaves = pairs.join(texts.select(F.col("cls").alias("leaf"), F.col("text").alias("a")), "leaf")
-    both = leaves.join(hubs, ["hub", "part"]).select(F.col("leaf").alias("u"), F.col("hub").alias("v"), "a", "b")
-
-    def similar(batches):
-        for batch in batches:
-            mask = pa.array([enough_in_common(x.as_py(), y.as_py(), percent, size) for x, y in zip(batch["a"], batch["b"], strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
-
-    return both.mapInArrow(similar, "u long, v long")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(8, -(-total // BLOCK_BYTES)))).alias("block")
+    asked = pairs.select(block("leaf"), "leaf", "hub")
+    hubs = asked.select("block", "hub").distinct().join(texts, F.col("hub") == F.col("cls")).select("block", F.lit(None).cast("binary").alias("leaf"), "hub", F.col("text").alias("words"))
+    asked = asked.select("block", "leaf", "hub", F.lit(None).cast("binary").alias("words"))
+    leaves = texts.select(block("cls"), "cls", "text")
+
+    def similar(own: pa.Table, said: pa.Table) -> pa.Table:
+        found = []
+        if len(said):
+            asks = pc.is_valid(said["leaf"])
+            hub = dict(zip(*(said.filter(pc.invert(asks))[c].to_pylist() for c in ("hub", "words")), strict=True))
+            wanted = said.filter(asks)
+            own = own.filter(pc.is_in(own["cls"], pc.unique(wanted["leaf"])))
+            leaf = dict(zip(own["cls"].to_pylist(), own["text"].to_pylist(), strict=True))
+            found = [(u, v) for u, v in zip(wanted["leaf"].to_pylist(), wanted["hub"].to_pylist(), strict=True) if enough_in_common(leaf[u], hub[v], percent, size)]
+        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    return leaves.groupBy("block").cogroup(hubs.unionByName(asked).groupBy("block")).applyInArrow(similar, "u binary, v binary")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
@@ -223,9 +235,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     least, width = percent / 100 - margin(percent), band_rows(percent)
     signed = checkpoint(_rows(docs).mapInArrow(lambda b: _signed(size, width, b), "doc_id long, row_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
-    # A class is named by the key of its first row.
-    classes = signed.where("cls is not null").groupBy(F.col("cls").alias("digest")).agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = checkpoint(classes.withColumn("cls", F.col("first.k")))
+    classes = checkpoint(signed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     sigs = classes.select("cls", "sig")
     banded = classes.select("cls", F.explode("bands").alias("band"))
 
@@ -240,10 +250,12 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
 
     buckets = banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
     shared = checkpoint(banded.join(buckets, "band"))
-    stars = shared.select(F.col("cls").alias("leaf"), F.explode(F.array("low", "high")).alias("hub")).where("leaf <> hub").distinct()
-    tested = checkpoint(likely(stars))
-    texts = checkpoint(_texts_of(docs, shared.select("cls").distinct()))
+    texts = checkpoint(_texts_of(docs, classes.join(shared.select("cls").distinct(), "cls", "left_semi")))
+    # First every class against one other alone, the least of all its buckets: most groups are one component then.
+    tested = checkpoint(likely(shared.groupBy(F.col("cls").alias("leaf")).agg(F.min("low").alias("hub")).where("leaf <> hub")))
     comps = checkpoint(components(confirmed(texts, tested, percent, size)))
+    # What is known of the components stands for the links they came from.
+    known = lambda: comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
     def still_apart(members: DataFrame) -> DataFrame:
         """Members (band, cls, ...) of the buckets whose classes are not yet one component, with comp."""
@@ -251,40 +263,46 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
         open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
         return named.join(open_, "band")
 
-    fields = ("cls", "comp", "n", "shared", "rare", "last", "sig")
+    def enough(common: Column, x: str, y: str) -> Column:
+        return (100 + percent) * common >= percent * (F.col(f"n{x}") + F.col(f"n{y}"))
 
-    def possible(x: str, y: str) -> Column:
-        """Exact bounds on what two sets have in common, then the estimate. Of the set whose rare shingles end first, those that are not rare may all be common."""
-        n = F.col(f"n{x}") + F.col(f"n{y}")
-        most = F.size(F.array_intersect(f"rare{x}", f"rare{y}")) + F.when(F.col(f"last{x}") <= F.col(f"last{y}"), F.col(f"n{x}") - F.size(f"rare{x}")).otherwise(F.col(f"n{y}") - F.size(f"rare{y}"))
-        enough = lambda c: (100 + percent) * c >= percent * n
-        return (F.col(f"comp{x}") != F.col(f"comp{y}")) & enough(F.least(f"shared{x}", f"shared{y}")) & (estimate(f"sig{x}", f"sig{y}") >= least) & enough(most)
+    def sided(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+        return rows.select(*(F.col(c).alias(c + side) for c in columns))
 
-    def sided(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select("band", *(F.col(c).alias(c + side) for c in fields))
+    def further(pairs: DataFrame) -> None:
+        """Hold candidates against each other that were not yet, and join what they link."""
+        nonlocal comps, tested
+        new = checkpoint(untested(pairs, tested))
+        tested = tested.unionByName(new)
+        new = checkpoint(likely(new))
+        if not new.isEmpty():
+            comps = checkpoint(components(known().unionByName(confirmed(texts, new, percent, size))))
 
-    # Once more against one class a bucket, the one with most open buckets, which in a group of copies is near its source.
+    # Then, in buckets of several components, against the bucket's least and greatest class.
     rows = checkpoint(still_apart(shared.select("band", "cls")))
+    ends = rows.groupBy("band").agg(F.min(F.struct("cls", "comp")).alias("a"), F.max(F.struct("cls", "comp")).alias("b"))
+    further(rows.join(ends, "band").select("cls", "comp", F.explode(F.array("a", "b")).alias("m")).where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct())
+    # Once more against one class a bucket, the one with most open buckets, which in a group of copies is near its source.
+    rows = checkpoint(still_apart(rows.select("band", "cls")))
     wide = rows.join(rows.groupBy("cls").agg(F.count("*").alias("reach")), "cls")
     middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
-    central = rows.join(middle, "band").where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct()
-    central = checkpoint(likely(untested(central, tested)))
-    # What is known of the components stands for the links they came from.
-    known = lambda: comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    comps = checkpoint(components(known().unionByName(confirmed(texts, central, percent, size))))
-    tested = tested.unionByName(central)
+    further(rows.join(middle, "band").where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct())
     rows = checkpoint(still_apart(rows.select("band", "cls")))
     # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
     able = rarest_shingles(texts, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
-    rows = rows.join(checkpoint(able.join(sigs, "cls")), "cls")
-    more = sided(rows, "x").join(sided(rows, "y"), "band").where((F.col("clsx") < F.col("clsy")) & possible("x", "y"))
-    more = more.select(F.col("clsx").alias("leaf"), F.col("clsy").alias("hub")).distinct()
-    more = checkpoint(untested(more, tested))
-    if not more.isEmpty():
-        comps = checkpoint(components(known().unionByName(confirmed(texts, more, percent, size))))
-    heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select(F.col("digest"), F.coalesce("component", "cls").alias("comp"), "first")
+    able = checkpoint(able)
+    rows = checkpoint(rows.join(able.select("cls", "n", "shared").join(sigs, "cls"), "cls"))
+    small = ("band", "cls", "comp", "n", "shared", "sig")
+    met = sided(rows, "x", *small).join(sided(rows, "y", *small), F.col("bandx") == F.col("bandy"))
+    met = met.where((F.col("clsx") < F.col("clsy")) & (F.col("compx") != F.col("compy")) & enough(F.least("sharedx", "sharedy"), "x", "y") & (estimate("sigx", "sigy") >= least)).select("clsx", "clsy").distinct()
+    met = met.join(sided(able, "x", "cls", "n", "rare", "last"), "clsx").join(sided(able, "y", "cls", "n", "rare", "last"), "clsy")
+    # Of the set whose rare shingles end first, those that are not rare may all be common.
+    others = F.when(F.col("lastx") <= F.col("lasty"), F.col("nx") - F.size("rarex")).otherwise(F.col("ny") - F.size("rarey"))
+    met = met.where(enough(F.size(F.array_intersect("rarex", "rarey")) + others, "x", "y"))
+    further(met.select(F.col("clsx").alias("leaf"), F.col("clsy").alias("hub")))
+    heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
-    of_class = heads.select("digest", "comp").join(least_of, "comp").select(F.col("digest").alias("cls"), "first")
+    of_class = heads.select("cls", "comp").join(least_of, "comp").select("cls", "first")
     return signed.join(of_class, "cls", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("first", place).alias("first"), place.alias("place"))
 
 
@@ -295,7 +313,9 @@ def near_dedup(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
 
 def near_filter(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of docs that stay: one document of each group, with all its columns; rows without words stay."""
-    key, nth = fresh(docs, "row_key", "nth")
-    stay = near_groups(docs, percent, size).where(F.col("place") == F.col("first")).select(F.col("row_key").alias(key)).distinct()
-    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(stay, key, "left_semi")
-    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).drop(nth, key)
+    key, doc, nth, stays = fresh(docs, "row_key", "doc", "nth", "stays")
+    stay = near_groups(docs, percent, size).where(F.col("place") == F.col("first")).select(F.col("row_key").alias(key), F.col("doc_id").alias(doc)).distinct()
+    # A row is told from others by its doc_id and the hash of its text together.
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    rows = rows.join(stay.withColumnRenamed(key, stays), (F.col(key) == F.col(stays)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_semi")
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(key))).where(F.col(nth) == 1).drop(nth, key)
