@@ -110,11 +110,13 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
 
 def mix_repeat(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 20) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, with all their columns."""
-    row, times, n, each, copy = fresh(docs, "row_hash", "times", "n", "each", "copy")
-    key = F.xxhash64("doc_id", "source", "text")
+    row, doc, of, times, n, each, copy = fresh(docs, "row_hash", "doc", "of", "times", "n", "each", "copy")
+    key = F.xxhash64("source", "text")
     sizes = checkpoint(with_sizes(docs, key.alias("row_hash")))
-    taken = pareto_take(sizes, targets(sizes, share, cap, weights), seed).groupBy(F.col("row_hash").alias(row)).agg(F.sum("times").alias(times), F.count("*").alias(n))
-    rows = docs.withColumn(row, key).join(taken.where(F.col(times) > 0), row)
-    nth = F.row_number().over(Window.partitionBy(row).orderBy(row))
+    # A row is told from others by its doc_id and the hash of the rest together.
+    taken = pareto_take(sizes, targets(sizes, share, cap, weights), seed).groupBy(F.col("doc_id").cast("long").alias(doc), F.col("row_hash").alias(of)).agg(F.sum("times").alias(times), F.count("*").alias(n))
+    same = (F.col(row) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    rows = docs.withColumn(row, key).join(taken.where(F.col(times) > 0), same)
+    nth = F.row_number().over(Window.partitionBy(doc, row).orderBy(row))
     rows = rows.withColumn(each, F.floor(F.col(times) / F.col(n)) + (nth <= F.col(times) % F.col(n)).cast("long")).where(F.col(each) > 0)
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).drop(row, times, n, each, copy)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).drop(row, doc, of, times, n, each, copy)
