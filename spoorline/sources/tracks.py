@@ -42,10 +42,11 @@ def read_written_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_particles(spark: SparkSession, path: str) -> DataFrame:
-    """Particle files (XML): file, particle, frame, x, y, in order of time."""
+    """Particle files (XML): file, particle, frame, x, y, in order of time. A particle is named by a hash of its file and detections, the same in every run; equal ones of a file are one."""
     schema = "_nSpots long, detection array<struct<_t:int,_x:double,_y:double>>"
-    d = spark.read.format("xml").option("rowTag", "particle").schema(schema).load(path).withColumn("particle", F.monotonically_increasing_id())
-    return d.select(F.input_file_name().alias("file"), "particle", F.explode("detection").alias("p")).select("file", "particle", F.col("p._t").alias("frame"), F.col("p._x").alias("x"), F.col("p._y").alias("y"))
+    d = spark.read.format("xml").option("rowTag", "particle").schema(schema).load(path)
+    d = d.select(F.input_file_name().alias("file"), F.xxhash64(F.input_file_name(), F.to_json("detection")).alias("particle"), "detection").dropDuplicates(["file", "particle"])
+    return d.select("file", "particle", F.explode("detection").alias("p")).select("file", "particle", F.col("p._t").alias("frame"), F.col("p._x").alias("x"), F.col("p._y").alias("y"))
 
 
 def read_tracker_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -190,7 +191,10 @@ def newest(files: DataFrame, by: list[str]) -> DataFrame:
     return files.groupBy(*by).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
 
 
-def markdown(rows: DataFrame) -> str:
-    """A small result table as Markdown. For reports: it comes to the driver."""
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small result table as Markdown. For reports: it comes to the driver; a table of more than ``most`` rows is an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
-    return "\n".join([head, *("| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows.limit(1000).collect())])
+    return "\n".join([head, *("| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in found)])
