@@ -11,6 +11,7 @@ from ..operators import metrics as m
 from ..operators import optimum as op
 from ..operators import propagation as p
 from ..operators import radial as r
+from ..operators import router as ro
 from ..operators import sequences as s
 from ..operators import stepwise as st
 from . import views as v
@@ -139,6 +140,41 @@ def _propagated_sql(back: bool) -> str:
 _AHEAD = f"ahead(track_id, t0, t1, frame, x, y) AS (SELECT track_id, t0, t1, t0, x0, y0 FROM seg UNION ALL SELECT p.track_id, t0, t1, p.frame + 1, p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM ahead p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')} WHERE p.frame < t1)"
 _BACK = f"back(track_id, t0, t1, frame, x, y) AS (SELECT track_id, t0, t1, t1, x1, y1 FROM seg UNION ALL SELECT p.track_id, t0, t1, p.frame - 1, p.x - coalesce(f.dx, 0), p.y - coalesce(f.dy, 0) FROM back p LEFT JOIN flow f ON {HIT.format(t='p.frame - 1', x='p.x', y='p.y')} WHERE p.frame > t0)"
 
+def _routed(sp, sf):
+    """Two thirds of the tracks by anchors, short gaps straight; the others from a seed in their middle."""
+    t = v.steady(sp, sf)
+    spans = t.groupBy("track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    anchors = t.where("track_id % 3 <> 0 AND (frame + track_id) % 9 IN (0, 2)").select("track_id", "frame", "x", "y")
+    seeds = t.join(spans, "track_id").where("track_id % 3 = 0 AND frame = floor((lo + hi) / 2)").select("track_id", F.struct(F.col("frame").cast("int").alias("frame"), "x", "y").alias("seed"))
+    requests = spans.select("track_id", F.lit("full_blend").alias("method")).join(seeds, "track_id", "left")
+    return rounded(ro.optimise_tracks(requests, anchors, v.flow(sp, sf, t), CELL_X, CELL_Y, spans, 400, 2), 3)
+
+
+def _routed_sql() -> str:
+    inner = "(SELECT *, x AS qx, y AS qy FROM bs WHERE frame > lo)"
+    for n in range(3):
+        inner = f"(SELECT q{n}.track_id, q{n}.lo, q{n}.frame, q{n}.x, q{n}.y, q{n}.x - coalesce(f.dx, 0) AS qx, q{n}.y - coalesce(f.dy, 0) AS qy FROM {inner} q{n} LEFT JOIN flow f ON {HIT.format(t=f'q{n}.frame - 1', x=f'q{n}.qx', y=f'q{n}.qy')})"
+    go = f"p.x + coalesce(f.dx, 0), p.y + coalesce(f.dy, 0) FROM {{name}} p LEFT JOIN flow f ON {HIT.format(t='p.frame', x='p.x', y='p.y')}"
+    return (
+        with_(
+            STEADY, FLOW, "sp AS (SELECT track_id, min(frame) AS lo, max(frame) AS hi FROM tracks GROUP BY track_id)", "anchors AS (SELECT track_id, frame, x, y FROM tracks WHERE track_id % 3 <> 0 AND (frame + track_id) % 9 IN (0, 2))",
+            "every AS (SELECT * FROM (SELECT track_id, frame AS t0, x AS x0, y AS y0, lead(frame) OVER w AS t1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM anchors WINDOW w AS (PARTITION BY track_id ORDER BY frame)) WHERE t1 IS NOT NULL)",
+            "seg AS (SELECT * FROM every WHERE t1 - t0 > 2)", _AHEAD, _BACK,
+            "fi AS (SELECT a.*, lo FROM anchors a JOIN sp ON a.track_id = sp.track_id QUALIFY row_number() OVER (PARTITION BY a.track_id ORDER BY frame) = 1)", "la AS (SELECT a.*, hi FROM anchors a JOIN sp ON a.track_id = sp.track_id QUALIFY row_number() OVER (PARTITION BY a.track_id ORDER BY frame DESC) = 1)",
+            f"bk(track_id, lo, frame, x, y) AS (SELECT track_id, lo, frame, x, y FROM fi UNION ALL SELECT p.track_id, p.lo, p.frame - 1, p.x - coalesce(f.dx, 0), p.y - coalesce(f.dy, 0) FROM bk p LEFT JOIN flow f ON {HIT.format(t='p.frame - 1', x='p.x', y='p.y')} WHERE p.frame > p.lo)",
+            f"fw(track_id, hi, frame, x, y) AS (SELECT track_id, hi, frame, x, y FROM la UNION ALL SELECT p.track_id, p.hi, p.frame + 1, {go.format(name='fw')} WHERE p.frame < p.hi)",
+            "sd AS (SELECT t.track_id, lo, hi, frame, x, y FROM tracks t JOIN sp ON t.track_id = sp.track_id WHERE t.track_id % 3 = 0 AND frame = (lo + hi) // 2)",
+            f"fs(track_id, hi, frame, x, y) AS (SELECT track_id, hi, frame, x, y FROM sd UNION ALL SELECT p.track_id, p.hi, p.frame + 1, {go.format(name='fs')} WHERE p.frame < p.hi)",
+            f"bs(track_id, lo, frame, x, y) AS (SELECT track_id, lo, frame, x, y FROM sd UNION ALL SELECT b.track_id, b.lo, b.frame - 1, b.qx, b.qy FROM {inner} b)",
+            "every_row AS (SELECT a.track_id, a.frame, (1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.x + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.x AS x, (1 - (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE)) * a.y + (a.frame - a.t0) / CAST(a.t1 - a.t0 AS DOUBLE) * b.y AS y FROM ahead a JOIN back b ON a.track_id = b.track_id AND a.t0 = b.t0 AND a.frame = b.frame WHERE a.frame > a.t0 AND a.frame < a.t1"
+            " UNION ALL SELECT track_id, t0 + 1, (x0 + x1) / 2, (y0 + y1) / 2 FROM every WHERE t1 - t0 = 2 UNION ALL SELECT track_id, frame, x, y FROM anchors"
+            " UNION ALL SELECT b.track_id, b.frame, b.x, b.y FROM bk b JOIN fi ON b.track_id = fi.track_id AND b.frame < fi.frame UNION ALL SELECT w.track_id, w.frame, w.x, w.y FROM fw w JOIN la ON w.track_id = la.track_id AND w.frame > la.frame"
+            " UNION ALL SELECT track_id, frame, x, y FROM fs UNION ALL SELECT b.track_id, b.frame, b.x, b.y FROM bs b JOIN sd ON b.track_id = sd.track_id AND b.frame < sd.frame)",
+        )
+        + "SELECT track_id, frame, round(x + 1e-9, 3) AS x, round(y + 1e-9, 3) AS y FROM every_row"
+    )
+
+
 QUERIES = {
     # Filters
     "persistent_all": (lambda sp, sf: f.persistent(v.detections(sp, sf)).select("track_id", "frame", "x"), with_(TRACKS, "d AS (SELECT * FROM tracks WHERE NOT occluded)") + "SELECT track_id, frame, x FROM d WHERE track_id IN (SELECT track_id FROM d GROUP BY track_id HAVING count(DISTINCT frame) = (SELECT count(DISTINCT frame) FROM d))"),
@@ -235,6 +271,7 @@ QUERIES = {
         + "SELECT pt.track_id, pt.frame, round(x + coalesce(0.1 * sx / w, 0) + 1e-9, 4) AS x, round(y + coalesce(0.1 * sy / w, 0) + 1e-9, 4) AS y FROM pt LEFT JOIN mm ON pt.track_id = mm.track_id AND pt.frame = mm.frame",
     ),
     "optimise_motion": (lambda sp, sf: rounded(st.optimise_motion(_open_tracks(sp, sf), _completed(sp, sf), v.flow(sp, sf, v.steady(sp, sf)), CELL_X, CELL_Y, cells=(6, 5)), 2), _optimised_sql()),
+    "optimise_tracks": (_routed, _routed_sql()),
     "optimum_per_track": (lambda sp, sf: op.optimum(op.rebuild_scores(v.steady(sp, sf), v.flow(sp, sf, v.steady(sp, sf)), CELL_X, CELL_Y, 2, 400)), _optimum_sql()),
     "beyond_anchors": (
         lambda sp, sf: rounded(p.beyond_anchors(_late_anchors(sp, sf), v.flow(sp, sf), CELL_X, CELL_Y, v.tracks(sp, sf).groupBy("track_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")), 10), 3),
