@@ -62,20 +62,31 @@ def greedy_match(truth: DataFrame, predicted: DataFrame, radius: float, by: str
     pairs = near(truth, predicted, radius, strict=True).select(by, "a_id", "b_id", "d")
 
     def take(p):
-        free, out = set(p["b_id"]), []
-        for a, group in p.sort_values(["a_id", "d", "b_id"]).groupby("a_id", sort=True):
-            for b, d in zip(group["b_id"], group["d"], strict=True):
-                if b in free:
-                    free.discard(b)
-                    out.append((p[by].iloc[0], a, b, d))
-                    break
+        p = p.sort_values(["a_id", "d", "b_id"])
+        used, done, out = set(), None, []
+        for a, b, d in zip(p["a_id"].tolist(), p["b_id"].tolist(), p["d"].tolist(), strict=True):
+            if a != done and b not in used:
+                used.add(b)
+                done = a
+                out.append((a, b, d))
         import pandas as pd
 
-        return pd.DataFrame(out, columns=[by, "a_id", "b_id", "d"])
+        return pd.DataFrame({by: p[by].iloc[0], "a_id": [a for a, _, _ in out], "b_id": [b for _, b, _ in out], "d": [d for _, _, d in out]})
 
     return pairs.groupBy(by).applyInPandas(take, f"{by} long, a_id long, b_id long, d double")
 
 
+def match_tracks(truth: DataFrame, predicted: DataFrame, radius: float = 20.0, by: str = "video") -> DataFrame:
+    """Tracks of a video matched one to one: each truth's first place against the predictions' places in frame 0, in order of truth ids.
+
+    truth and predicted: by (a number), track_id, frame, x, y; rows without a place do not count. Result: by, a_id, b_id, d.
+    """
+    seen = truth.where("x IS NOT NULL AND y IS NOT NULL")
+    first = seen.groupBy(by, F.col("track_id").alias("a_id")).agg(F.min_by(F.struct("x", "y"), "frame").alias("p")).select(by, F.col(by).alias("frame"), "a_id", "p.x", "p.y")
+    start = predicted.where("frame = 0 AND x IS NOT NULL AND y IS NOT NULL").select(F.col(by).alias("frame"), F.col("track_id").alias("b_id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return greedy_match(first, start, radius, by)
+
+
 def assign_queries(queries: DataFrame, tracks: DataFrame, reach: float = 2.0) -> DataFrame:
     """For each query (query_id, frame, x, y) the first track within reach in both coordinates."""
     t = tracks.select("frame", F.col("track_id"), F.col("x").alias("px"), F.col("y").alias("py"))

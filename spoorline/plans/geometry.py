@@ -43,6 +43,17 @@ def rounded(df, digits=4, *cols):
     return df.withColumns({c: F.round(F.col(c) + 1e-9, digits) for c in cols or ("x", "y")})
 
 
+def _greedy_sql(radius: float) -> str:
+    """From t (video, a_id, x, y) and q (video, b_id, px, py), in one frame each: truths in order, each taking the nearest that none before it has."""
+    d = "sqrt((x - px) * (x - px) + (y - py) * (y - py))"
+    return (
+        f"pr AS (SELECT t.video, a_id, b_id, {d} AS d FROM t JOIN q ON t.video = q.video WHERE {d} < {radius})",
+        "ca AS (SELECT video, a_id, list({'d': d, 'b': b_id} ORDER BY d, b_id) AS near, row_number() OVER (PARTITION BY video ORDER BY a_id) AS i FROM pr GROUP BY video, a_id)",
+        "go(video, i, a_id, took, used) AS (SELECT DISTINCT video, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRUCT(d DOUBLE, b BIGINT)), CAST([] AS BIGINT[]) FROM ca"
+        " UNION ALL SELECT video, i, a_id, took, CASE WHEN took IS NULL THEN used ELSE list_append(used, took.b) END FROM (SELECT g.video, c.i, c.a_id, g.used, list_filter(c.near, lambda e: NOT list_contains(g.used, e.b))[1] AS took FROM go g JOIN ca c ON c.video = g.video AND c.i = g.i + 1))",
+    )
+
+
 def _field_sql(weight: str, reach: float | None) -> str:
     d = "sqrt((g.x - s.px) * (g.x - s.px) + (g.y - s.py) * (g.y - s.py))"
     return (
@@ -177,7 +188,7 @@ def _routed_sql() -> str:
 
 QUERIES = {
     # Filters
-    "persistent_all": (lambda sp, sf: f.persistent(v.detections(sp, sf)).select("track_id", "frame", "x"), with_(TRACKS, "d AS (SELECT * FROM tracks WHERE NOT occluded)") + "SELECT track_id, frame, x FROM d WHERE track_id IN (SELECT track_id FROM d GROUP BY track_id HAVING count(DISTINCT frame) = (SELECT count(DISTINCT frame) FROM d))"),
+    "persistent_all": (lambda sp, sf: f.persistent(v.detections(sp, sf).withColumn("frame", F.floor(F.col("frame") / 20).cast("int"))).select("track_id", "frame", "x"), with_(TRACKS, "d AS (SELECT track_id, frame // 20 AS frame, x FROM tracks WHERE NOT occluded)") + "SELECT track_id, frame, x FROM d WHERE track_id IN (SELECT track_id FROM d GROUP BY track_id HAVING count(DISTINCT frame) = (SELECT count(DISTINCT frame) FROM d))"),
     "persistent_min": (lambda sp, sf: f.persistent(v.detections(sp, sf), 45).select("track_id", "frame", "x"), with_(TRACKS, DETECTIONS) + "SELECT track_id, frame, x FROM det WHERE track_id IN (SELECT track_id FROM det GROUP BY track_id HAVING count(DISTINCT frame) >= 45)"),
     "occlusion_filter": (lambda sp, sf: f.rarely_occluded(v.occluded(sp, sf), 0.2).select("track_id", "frame", "x"), with_(TRACKS) + "SELECT track_id, frame, x FROM tracks WHERE track_id IN (SELECT track_id FROM tracks GROUP BY track_id HAVING avg(CAST(occluded AS DOUBLE)) <= 0.2)"),
     "mad_outliers": (
@@ -197,7 +208,14 @@ QUERIES = {
         lambda sp, sf: rounded(j.mutual_nearest(v.tracks(sp, sf).select("frame", F.col("track_id").alias("a_id"), "x", "y"), v.predictions(sp, sf).select("frame", F.col("track_id").alias("b_id"), F.col("x").alias("px"), F.col("y").alias("py")), 20.0), 4, "d"),
         with_(TRACKS, PRED, "pr AS (SELECT t.frame, t.track_id AS a_id, p.track_id AS b_id, sqrt((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y)) AS d FROM tracks t JOIN pred p ON t.frame = p.frame)") + "SELECT frame, a_id, b_id, round(d, 4) AS d FROM (SELECT *, row_number() OVER (PARTITION BY frame, a_id ORDER BY d, b_id) AS ra, row_number() OVER (PARTITION BY frame, b_id ORDER BY d, a_id) AS rb FROM pr WHERE d < 20) WHERE ra = 1 AND rb = 1",
     ),
-    "greedy_match": (lambda sp, sf: j.greedy_match(v.tracks(sp, sf).select("frame", F.col("frame").cast("long").alias("video"), F.col("track_id").alias("a_id"), "x", "y"), v.predictions(sp, sf).select("frame", F.col("track_id").alias("b_id"), F.col("x").alias("px"), F.col("y").alias("py")), 20.0), None),
+    "greedy_match": (
+        lambda sp, sf: rounded(j.greedy_match(v.tracks(sp, sf).select("frame", F.col("frame").cast("long").alias("video"), F.col("track_id").alias("a_id"), "x", "y"), v.predictions(sp, sf).select("frame", F.col("track_id").alias("b_id"), F.col("x").alias("px"), F.col("y").alias("py")), 20.0), 5, "d"),
+        with_(TRACKS, PRED, "t AS (SELECT CAST(frame AS BIGINT) AS video, track_id AS a_id, x, y FROM tracks)", "q AS (SELECT CAST(frame AS BIGINT) AS video, track_id AS b_id, x AS px, y AS py FROM pred)", *_greedy_sql(20.0)) + "SELECT video, a_id, took.b AS b_id, round(took.d + 1e-9, 5) AS d FROM go WHERE took IS NOT NULL",
+    ),
+    "match_tracks": (
+        lambda sp, sf: rounded(j.match_tracks(v.occluded(sp, sf).where("NOT occluded").withColumn("video", F.col("track_id") % 5), v.predictions(sp, sf).withColumn("video", F.col("track_id") % 5)), 5, "d"),
+        with_(TRACKS, PRED, "t AS (SELECT track_id % 5 AS video, track_id AS a_id, arg_min(x, frame) AS x, arg_min(y, frame) AS y FROM tracks WHERE NOT occluded GROUP BY track_id)", "q AS (SELECT track_id % 5 AS video, track_id AS b_id, x AS px, y AS py FROM pred WHERE frame = 0)", *_greedy_sql(20.0)) + "SELECT video, a_id, took.b AS b_id, round(took.d + 1e-9, 5) AS d FROM go WHERE took IS NOT NULL",
+    ),
     "radius_semi": (
         lambda sp, sf: j.near(v.predictions(sp, sf), v.tracks(sp, sf).where("track_id % 4 = 0").select("frame", F.col("x").alias("px"), F.col("y").alias("py")), 15.0).select("track_id", "frame").distinct(),
         with_(TRACKS, PRED) + "SELECT track_id, frame FROM pred p WHERE EXISTS (SELECT 1 FROM tracks t WHERE t.track_id % 4 = 0 AND t.frame = p.frame AND sqrt((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y)) <= 15)",
