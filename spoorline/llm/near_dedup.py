@@ -9,9 +9,10 @@ Pairs within four standard errors of the threshold, at that threshold, or above
 Documents with equal sets are one class, so copies cost nothing. Every class is first held against one other alone; links
 join into components. In buckets that then still have several, classes are held against the bucket's least and greatest,
 and against the one with most such buckets, and at last candidates that are still in different components against each
-other. Their rarest shingles bound what two sets can have in common, exactly, and pairs that cannot reach the threshold
-drop out before full sets are read. No pair that could change a component goes untested, and a large group of near copies
-is never paired out.
+other. What a set has in common with all other components together bounds what it can have with one of them, exactly, and
+classes and pairs that cannot reach the threshold drop out before full sets are read. No pair that could change a component
+goes untested. A large group of near copies is not paired out; of a large group of loose copies, alike but below the threshold,
+candidates that the bounds let through are, as names, each pair once.
 
 Texts are shuffled once, to set those apart that share a bucket with others; all later steps read that smaller table. To be
 confirmed, each text goes to one block, and to each block that has others to be held against it; pairs move as pairs of
@@ -178,29 +179,23 @@ def enough_in_common(a: bytes, b: bytes, percent: int, size: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def rarest_shingles(texts: DataFrame, among: DataFrame, percent: int, size: int) -> DataFrame:
-    """cls, n, shared and the class's rarest shingles (rare) with the last of them in order (last), for among: cls, comp.
+def shared_counts(texts: DataFrame, among: DataFrame, size: int) -> DataFrame:
+    """cls, n and shared (of its n shingles, those that some class of another component has too) for among: cls, comp.
 
-    Shingles are in one order for all: first those of one component only, then by how many of the classes have them.
-    shared counts the others: no class of another component has more in common with it. A set of n shingles keeps so many
-    rare ones that a similar enough set must have some of them.
+    No class of another component has more in common with it.
     """
 
     def rows(batches):
         for batch in batches:
             for a, raw, at in slices(batch["text"]):
                 found = shingle_sets(raw, at, size)
-                of = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]) + a)
-                yield pa.RecordBatch.from_arrays([batch["cls"].take(of), batch["comp"].take(of), pa.array(np.concatenate(found).view(np.int64))], names=["cls", "comp", "shingle"])
+                n = pa.array([len(s) for s in found], pa.int64())
+                of = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]))
+                yield pa.RecordBatch.from_arrays([batch["cls"].slice(a, len(found)).take(of), batch["comp"].slice(a, len(found)).take(of), n.take(of), pa.array(np.concatenate(found).view(np.int64))], names=["cls", "comp", "n", "shingle"])
 
-    each = texts.join(among, "cls").select("cls", "comp", "text").mapInArrow(rows, "cls binary, comp binary, shingle long")
-    common = each.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
-    rarity = F.when(F.col("c0") == F.col("c1"), 0).otherwise(F.col("c")).alias("r")
-    ranked = each.select("cls", "shingle").join(common.select("shingle", rarity), "shingle")
-    # A document's own set is what one row holds here.
-    sets = ranked.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("r", "shingle"))).alias("all"), F.count("*").alias("n"), F.count_if(F.col("r") > 0).alias("shared"))
-    rare = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    return sets.select("cls", "n", "shared", rare.alias("rare")).select("cls", "n", "shared", F.col("rare.shingle").alias("rare"), F.element_at("rare", -1).alias("last"))
+    each = texts.join(among, "cls").select("cls", "comp", "text").mapInArrow(rows, "cls binary, comp binary, n long, shingle long")
+    common = each.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("shingle")
+    return each.select("cls", "n", "shingle").join(common, "shingle").groupBy("cls", "n").agg(F.count("*").alias("shared"))
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -288,17 +283,15 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
     further(rows.join(middle, "band").where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct())
     rows = checkpoint(still_apart(rows.select("band", "cls")))
-    # Exact bounds on what a class has in common with other components leave little of a large group of loose copies.
-    able = rarest_shingles(texts, checkpoint(rows.select("cls", "comp").distinct()), percent, size).where(100 * F.col("shared") >= percent * F.col("n"))
-    able = checkpoint(able)
-    rows = checkpoint(rows.join(able.select("cls", "n", "shared").join(sigs, "cls"), "cls"))
-    small = ("band", "cls", "comp", "n", "shared", "sig")
+    # What a class has in common with all other components together bounds, exactly, what it has with any class of them.
+    able = shared_counts(texts, checkpoint(rows.select("cls", "comp").distinct()), size).where(100 * F.col("shared") >= percent * F.col("n"))
+    lists = rows.groupBy("cls").agg(F.collect_set("band").alias("bands"))  # at most one a band of the signature
+    rows = checkpoint(rows.join(able, "cls").join(sigs, "cls").join(lists, "cls"))
+    small = ("band", "cls", "comp", "n", "shared", "sig", "bands")
     met = sided(rows, "x", *small).join(sided(rows, "y", *small), F.col("bandx") == F.col("bandy"))
-    met = met.where((F.col("clsx") < F.col("clsy")) & (F.col("compx") != F.col("compy")) & enough(F.least("sharedx", "sharedy"), "x", "y") & (estimate("sigx", "sigy") >= least)).select("clsx", "clsy").distinct()
-    met = met.join(sided(able, "x", "cls", "n", "rare", "last"), "clsx").join(sided(able, "y", "cls", "n", "rare", "last"), "clsy")
-    # Of the set whose rare shingles end first, those that are not rare may all be common.
-    others = F.when(F.col("lastx") <= F.col("lasty"), F.col("nx") - F.size("rarex")).otherwise(F.col("ny") - F.size("rarey"))
-    met = met.where(enough(F.size(F.array_intersect("rarex", "rarey")) + others, "x", "y"))
+    # Two classes meet once, in the least of the buckets that they share.
+    once = F.array_min(F.array_intersect("bandsx", "bandsy")) == F.col("bandx")
+    met = met.where((F.col("clsx") < F.col("clsy")) & (F.col("compx") != F.col("compy")) & enough(F.least("sharedx", "sharedy"), "x", "y") & (estimate("sigx", "sigy") >= least) & once)
     further(met.select(F.col("clsx").alias("leaf"), F.col("clsy").alias("hub")))
     heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
