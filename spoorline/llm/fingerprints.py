@@ -8,7 +8,7 @@ fingerprints have in common, of all that either has.
 
 The query holds each document against the next one in descending order of doc_id and against itself with its last third
 replaced by the next one's beginning. Documents are dealt to ranges of the order, one range a partition, and sorted there. Ranges begin
-at rows of a sample whose keys are taken by their hashes (PER_RANGE a range, the only thing that reaches the driver); the
+at rows of a sample whose keys are taken by their hashes (some PER_RANGE a range, the only thing that reaches the driver); the
 first row of each range goes to the range before it as well, so that every document finds its successor in its own
 partition: texts are shuffled once and there is no window over the whole table.
 
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .common import mix, prefix_hashes, range_hashes, shuffle_partitions, whole_text
 
 GRAM, WINDOW = 24, 64
-#: Sampled keys for each range: ranges then differ by a fifth or so in rows.
-PER_RANGE = 32
+#: Sampled keys for each range: ranges then differ by a quarter or so in rows.
+PER_RANGE = 16
 #: Characters of finished rows that are handed on at once.
 CHUNK = 1 << 22
 _LAST = (1 << 63) - 1
@@ -101,12 +101,15 @@ def _ranges(keyed: DataFrame, parts: int) -> tuple[tuple | None, list[tuple]]:
     """The first key of all, and the keys at which further ranges begin."""
     key = F.struct("n", "a", "tie").alias("key")
     keys = keyed.select(key)
-    first = keys.agg(F.min("key").alias("k")).first().k
-    if first is None:
+    whole = keys.agg(F.min("key").alias("k"), F.count("*").alias("rows")).first()
+    if whole.k is None:
         return None, []
-    sample = sorted({tuple(r.key) for r in keys.orderBy(F.xxhash64("key")).limit(PER_RANGE * parts).collect()} - {tuple(first)})
+    first = tuple(whole.k)
+    # One key in so many, by hash: about PER_RANGE * parts of them, however many rows there are and however often a key is repeated.
+    every = max(1, whole.rows // (PER_RANGE * parts))
+    sample = sorted({tuple(r.key) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).distinct().collect()} - {first})
     step = max(1, -(-len(sample) // parts))
-    return tuple(first), sample[step - 1 :: step][: parts - 1]
+    return first, sample[step - 1 :: step][: parts - 1]
 
 
 def with_successors(docs: DataFrame, use, schema: str) -> DataFrame:
