@@ -49,9 +49,9 @@ def nearest_k(a: DataFrame, b: DataFrame, key: list[str], order: str, k: int, si
 
 def mutual_nearest(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs that are each other's nearest within a radius: frame, a_id, b_id, d. Ties go to the least id."""
-    pairs = near(a, b, radius, strict=True)
-    wa, wb = (Window.partitionBy("frame", k).orderBy("d", o) for k, o in (("a_id", "b_id"), ("b_id", "a_id")))
-    return pairs.withColumn("ra", F.row_number().over(wa)).withColumn("rb", F.row_number().over(wb)).where("ra = 1 and rb = 1").select("frame", "a_id", "b_id", "d")
+    pairs = near(a, b, radius, strict=True).select("frame", "a_id", "b_id", "d")
+    best = lambda k, o: pairs.groupBy("frame", k).agg(F.min(F.struct("d", o)).alias("m")).select("frame", k, f"m.{o}", "m.d")
+    return best("a_id", "b_id").join(best("b_id", "a_id").drop("d"), ["frame", "a_id", "b_id"]).select("frame", "a_id", "b_id", "d")
 
 
 def greedy_match(truth: DataFrame, predicted: DataFrame, radius: float, by: str = "video") -> DataFrame:

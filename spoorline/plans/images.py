@@ -93,6 +93,17 @@ def _blobs(sp, sf, of, **more):
     return rounded(of(flow=_image_flow(sp, sf), pixels=_image_pixels(sp, sf), sx=10.0, sy=1.75, width=50, height=7, last=79, search=5.0, radius=1.5, **more), 3)
 
 
+def _optimal(sp, sf, n=8):
+    """Votes of diverse, moving and complex months."""
+    found = d.features(v.pixels(sp, sf)).groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("f"))
+    names = [*(f"h{i}" for i in range(32)), *(f"{k}{a}_{b}" for k in "ms" for a in range(4) for b in range(4)), "gx", "gy", "g"]
+    vectors = found.select("frame", F.array(*(F.coalesce(F.element_at("f", F.lit(x)), F.lit(0.0)) for x in names)).alias("vector"))
+    video = F.lit(0).cast("long").alias("video")
+    complex_ = d.complexity(v.pixels(sp, sf)).select(video, "frame", F.col("complexity").alias("score"))
+    candidates = {"diversity": sa.diverse(vectors, 2 * n).select(video, "frame"), "motion": sa.spaced_top(_motion_scores(sp, sf), 2 * n, True), "complexity": sa.spaced_top(complex_, 2 * n, False)}
+    return sa.optimal_frames(v.pixels(sp, sf).select(video, "frame").distinct(), candidates, n)
+
+
 PEAKS = with_(TRACKS, PRED, "pr AS (SELECT t.frame, t.track_id, p.track_id AS near_id, sqrt((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y)) AS d FROM tracks t JOIN pred p ON t.frame = p.frame WHERE NOT t.occluded)", "be AS (SELECT frame, track_id, near_id FROM pr WHERE d < 12 QUALIFY row_number() OVER (PARTITION BY frame, track_id ORDER BY d, near_id) = 1)", "ne AS (SELECT t.track_id, t.frame, near_id FROM tracks t LEFT JOIN be ON be.track_id = t.track_id AND be.frame = t.frame WHERE NOT t.occluded)", "pv AS (SELECT *, lag(near_id) OVER (PARTITION BY track_id ORDER BY frame) AS was FROM ne WHERE near_id IS NOT NULL)")
 
 QUERIES = {
@@ -119,6 +130,7 @@ QUERIES = {
     "detect_nms": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.5, 0.02, distance=4.0, most=10), None),
     "detect_multiscale": (lambda sp, sf: d.detect(v.pixels(sp, sf), 1.2, 0.02, distance=3.0, scales=(1.0, 1.6, 2.56)), None),
     "link": (lambda sp, sf: fo.link(_detections(sp, sf), 40.0, 1), None),
+    "adaptive_link": (lambda sp, sf: fo.adaptive_link(_detections(sp, sf), 40.0, 1), None),
     "spectral_fill": (lambda sp, sf: rounded(fo.spectral_fill(_known(sp, sf))), None),
     "dct_smooth": (lambda sp, sf: rounded(fo.cosine_smooth(_known(sp, sf))), None),
     "corridor_dp": (_corridors, None),
@@ -150,6 +162,7 @@ QUERIES = {
     "rank_nulls_last": (lambda sp, sf: sa.ranked(v.tracks(sp, sf).groupBy("track_id").agg(F.when(F.count("*") > 60, F.count("*")).alias("score")), "score").withColumn("rank", F.col("rank").cast("long")), with_(TRACKS) + "SELECT track_id, score, rank() OVER (ORDER BY score NULLS LAST) AS rank FROM (SELECT track_id, CASE WHEN count(*) > 60 THEN count(*) END AS score FROM tracks GROUP BY track_id)"),
     "train_test_split": (lambda sp, sf: sa.split(v.tracks(sp, sf).select("track_id").distinct(), "track_id"), None),
     "permutation_trials": (lambda sp, sf: sa.permutations(v.anchors(sp, sf).select("track_id", "frame"), "track_id", 3), None),
+    "optimal_frames": (_optimal, None),
     "diverse_frames": (lambda sp, sf: sa.diverse(sp.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("frame") if "vec_id" in sp.read.parquet(f"{sf}/embeddings.parquet").columns else F.col(sp.read.parquet(f"{sf}/embeddings.parquet").columns[0]).alias("frame"), F.col(next(f.name for f in sp.read.parquet(f"{sf}/embeddings.parquet").schema if f.dataType.typeName() == "array")).cast("array<double>").alias("vector")), 10), None),
     "combined_occlusion": (lambda sp, sf: v.tracks(sp, sf).select("track_id", "frame", sc.combined_occlusion(F.col("x") / 100 - 2, F.col("y") / 50 - 1.5).alias("occluded")), with_(TRACKS) + "SELECT track_id, frame, 1 - (1 - 1 / (1 + exp(-(x / 100 - 2)))) * (1 - 1 / (1 + exp(-(y / 50 - 1.5)))) > 0.5 AS occluded FROM tracks"),
     "scalar_functions": (
