@@ -272,7 +272,7 @@ QUERIES = {
     "bilinear_sample": (
         lambda sp, sf: rounded(i.bilinear(v.tracks(sp, sf).select((F.col("track_id") * 1000 + F.col("frame")).alias("point_id"), (F.col("frame") % 80 + 23941).cast("int").alias("frame"), (F.col("x") / 10).alias("x"), (F.col("y") / 15).alias("y")), v.pixels(sp, sf)), 4, "value"),
         with_(TRACKS, PIXELS, "sz AS (SELECT frame, max(px) AS wx, max(py) AS wy FROM pixels GROUP BY frame)", "pt AS (SELECT track_id * 1000 + t.frame AS point_id, s.frame, x / 10 AS x, y / 15 AS y, wx, wy FROM tracks t JOIN sz s ON s.frame = t.frame % 80 + 23941)", "c AS (SELECT point_id, frame, (CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) AS w, CAST(greatest(0, least(wx, floor(x) + i)) AS INTEGER) AS px, CAST(greatest(0, least(wy, floor(y) + j)) AS INTEGER) AS py FROM pt, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))")
-        + "SELECT point_id, round(sum(w * coalesce(value, 0)), 4) AS value FROM c LEFT JOIN pixels p ON c.frame = p.frame AND c.px = p.px AND c.py = p.py GROUP BY point_id",
+        + "SELECT point_id, round(sum(w * coalesce(value, 0)) + 1e-9, 4) AS value FROM c LEFT JOIN pixels p ON c.frame = p.frame AND c.px = p.px AND c.py = p.py GROUP BY point_id",
     ),
     # Propagation
     "propagate_forward": (lambda sp, sf: rounded(p.propagate(v.tracks(sp, sf).where("frame = 0"), v.flow(sp, sf), CELL_X, CELL_Y, 15), 3), _propagated_sql(False)),

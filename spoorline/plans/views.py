@@ -43,12 +43,12 @@ def steady(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flow(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
-    """Mean displacement to the next frame per frame and cell: frame, gx, gy, dx, dy. of: other tracks than tracks()."""
+    """Mean displacement to the next frame per frame and cell, rounded a hair above ties: frame, gx, gy, dx, dy. of: other tracks than tracks()."""
     t = tracks(spark, sf) if of is None else of
     w = Window.partitionBy("track_id").orderBy("frame")
     t = t.withColumn("dx", F.lead("x").over(w) - F.col("x")).withColumn("dy", F.lead("y").over(w) - F.col("y")).where("dx is not null")
     return t.groupBy("frame", F.rint(F.col("x") / CELL_X).cast("int").alias("gx"), F.rint(F.col("y") / CELL_Y).cast("int").alias("gy")).agg(
-        F.round(F.avg("dx"), 6).alias("dx"), F.round(F.avg("dy"), 6).alias("dy")
+        F.round(F.avg("dx") + 1e-9, 6).alias("dx"), F.round(F.avg("dy") + 1e-9, 6).alias("dy")
     )
 
 
@@ -67,7 +67,7 @@ PRED = "pred AS (SELECT track_id, frame, x + ((frame * 7 + track_id) % 23 - 11)
 ANCHORS = f"anchors AS (SELECT track_id, frame, x, y FROM tracks WHERE frame % {ANCHOR_STEP} = 0)"
 DETECTIONS = "det AS (SELECT * FROM tracks WHERE NOT occluded)"
 FLOW = """moves AS (SELECT *, lead(x) OVER (PARTITION BY track_id ORDER BY frame) - x AS mx, lead(y) OVER (PARTITION BY track_id ORDER BY frame) - y AS my FROM tracks),
-flow AS (SELECT frame, CAST(round_even(x / 100, 0) AS INTEGER) AS gx, CAST(round_even(y / 25, 0) AS INTEGER) AS gy, round(avg(mx), 6) AS dx, round(avg(my), 6) AS dy FROM moves WHERE mx IS NOT NULL GROUP BY ALL)"""
+flow AS (SELECT frame, CAST(round_even(x / 100, 0) AS INTEGER) AS gx, CAST(round_even(y / 25, 0) AS INTEGER) AS gy, round(avg(mx) + 1e-9, 6) AS dx, round(avg(my) + 1e-9, 6) AS dy FROM moves WHERE mx IS NOT NULL GROUP BY ALL)"""
 PIXELS = "pixels AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS frame, CAST(l_quantity AS INTEGER) - 1 AS px, l_linenumber - 1 AS py, round(avg(l_extendedprice), 4) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 
 
