@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import compact
 
 
 def _stars(e: DataFrame) -> bool:
@@ -21,13 +21,13 @@ def components(links: DataFrame) -> DataFrame:
     summed up before the shuffle and joined back; the links of one node meet in one task there, as rows of two numbers, which
     Spark sorts on disk where need be. Rounds grow with the logarithm of the longest path.
     """
-    e = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    e = compact(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = checkpoint(large)
+        e = compact(large)
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = checkpoint(small.where("u <> v").distinct())
+        e = compact(small.where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

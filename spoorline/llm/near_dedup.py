@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, flat, fresh, mix, prefix_hashes, range_hashes, word_bounds, word_hashes
+from .common import checkpoint, compact, flat, fresh, mix, prefix_hashes, range_hashes, word_bounds, word_hashes
 from .graph import components
 
 MINIMA, BITS, SEED = 128, 2, 7
@@ -230,7 +230,7 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     least, width = percent / 100 - margin(percent), band_rows(percent)
     signed = checkpoint(_rows(docs).mapInArrow(lambda b: _signed(size, width, b), "doc_id long, row_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_key").alias("k"))
-    classes = checkpoint(signed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    classes = compact(signed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     sigs = classes.select("cls", "sig")
     banded = classes.select("cls", F.explode("bands").alias("band"))
 
@@ -244,11 +244,11 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
         return ends(pairs).join(ends(tested).select("x", "y").distinct(), ["x", "y"], "left_anti").groupBy("x", "y").agg(F.max("leaf").alias("leaf"), F.max("hub").alias("hub")).select("leaf", "hub")
 
     buckets = banded.groupBy("band").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-    shared = checkpoint(banded.join(buckets, "band"))
+    shared = compact(banded.join(buckets, "band"))
     texts = checkpoint(_texts_of(docs, classes.join(shared.select("cls").distinct(), "cls", "left_semi")))
     # First every class against one other alone, the least of all its buckets: most groups are one component then.
-    tested = checkpoint(likely(shared.groupBy(F.col("cls").alias("leaf")).agg(F.min("low").alias("hub")).where("leaf <> hub")))
-    comps = checkpoint(components(confirmed(texts, tested, percent, size)))
+    tested = compact(likely(shared.groupBy(F.col("cls").alias("leaf")).agg(F.min("low").alias("hub")).where("leaf <> hub")))
+    comps = compact(components(confirmed(texts, tested, percent, size)))
     # What is known of the components stands for the links they came from.
     known = lambda: comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
@@ -267,26 +267,26 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     def further(pairs: DataFrame) -> None:
         """Hold candidates against each other that were not yet, and join what they link."""
         nonlocal comps, tested
-        new = checkpoint(untested(pairs, tested))
+        new = compact(untested(pairs, tested))
         tested = tested.unionByName(new)
-        new = checkpoint(likely(new))
+        new = compact(likely(new))
         if not new.isEmpty():
-            comps = checkpoint(components(known().unionByName(confirmed(texts, new, percent, size))))
+            comps = compact(components(known().unionByName(confirmed(texts, new, percent, size))))
 
     # Then, in buckets of several components, against the bucket's least and greatest class.
-    rows = checkpoint(still_apart(shared.select("band", "cls")))
+    rows = compact(still_apart(shared.select("band", "cls")))
     ends = rows.groupBy("band").agg(F.min(F.struct("cls", "comp")).alias("a"), F.max(F.struct("cls", "comp")).alias("b"))
     further(rows.join(ends, "band").select("cls", "comp", F.explode(F.array("a", "b")).alias("m")).where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct())
     # Once more against one class a bucket, the one with most open buckets, which in a group of copies is near its source.
-    rows = checkpoint(still_apart(rows.select("band", "cls")))
+    rows = compact(still_apart(rows.select("band", "cls")))
     wide = rows.join(rows.groupBy("cls").agg(F.count("*").alias("reach")), "cls")
     middle = wide.groupBy("band").agg(F.max_by(F.struct("cls", "comp"), F.struct("reach", "cls")).alias("m"))
     further(rows.join(middle, "band").where("comp <> m.comp").select(F.col("cls").alias("leaf"), F.col("m.cls").alias("hub")).distinct())
-    rows = checkpoint(still_apart(rows.select("band", "cls")))
+    rows = compact(still_apart(rows.select("band", "cls")))
     # What a class has in common with all other components together bounds, exactly, what it has with any class of them.
-    able = shared_counts(texts, checkpoint(rows.select("cls", "comp").distinct()), size).where(100 * F.col("shared") >= percent * F.col("n"))
+    able = shared_counts(texts, compact(rows.select("cls", "comp").distinct()), size).where(100 * F.col("shared") >= percent * F.col("n"))
     lists = rows.groupBy("cls").agg(F.collect_set("band").alias("bands"))  # at most one a band of the signature
-    rows = checkpoint(rows.join(able, "cls").join(sigs, "cls").join(lists, "cls"))
+    rows = compact(rows.join(able, "cls").join(sigs, "cls").join(lists, "cls"))
     small = ("band", "cls", "comp", "n", "shared", "sig", "bands")
     met = sided(rows, "x", *small).join(sided(rows, "y", *small), F.col("bandx") == F.col("bandy"))
     # Two classes meet once, in the least of the buckets that they share.
