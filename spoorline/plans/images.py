@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.lineage import written
 from ..operators import blobs as bl
 from ..operators import detection as d
 from ..operators import folds as fo
@@ -41,8 +42,8 @@ def _detections(sp, sf):
     return t.select((F.col("track_id") % 3).alias("video"), "frame", F.col("track_id").alias("det_id"), "x", "y")
 
 
-def _motion_scores(sp, sf):
-    return d.motion(v.pixels(sp, sf)).select(F.lit(0).cast("long").alias("video"), "frame", F.col("motion").alias("score"))
+def _motion_scores(pixels):
+    return d.motion(pixels).select(F.lit(0).cast("long").alias("video"), "frame", F.col("motion").alias("score"))
 
 
 def _known(sp, sf):
@@ -93,15 +94,26 @@ def _blobs(sp, sf, of, **more):
     return rounded(of(flow=_image_flow(sp, sf), pixels=_image_pixels(sp, sf), sx=10.0, sy=1.75, width=50, height=7, last=79, search=5.0, radius=1.5, **more), 3)
 
 
+def _pixels_once(sp, sf):
+    """Pixels that a query reads several times: items and orders are joined once, and some thousand pixels a month are kept."""
+    return written(v.pixels(sp, sf))
+
+
 def _optimal(sp, sf, n=8):
     """Votes of diverse, moving and complex months."""
-    found = d.features(v.pixels(sp, sf)).groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("f"))
+    pixels = _pixels_once(sp, sf)
+    found = d.features(pixels).groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("f"))
     names = [*(f"h{i}" for i in range(32)), *(f"{k}{a}_{b}" for k in "ms" for a in range(4) for b in range(4)), "gx", "gy", "g"]
     vectors = found.select("frame", F.array(*(F.coalesce(F.element_at("f", F.lit(x)), F.lit(0.0)) for x in names)).alias("vector"))
     video = F.lit(0).cast("long").alias("video")
-    complex_ = d.complexity(v.pixels(sp, sf)).select(video, "frame", F.col("complexity").alias("score"))
-    candidates = {"diversity": sa.diverse(vectors, 2 * n).select(video, "frame"), "motion": sa.spaced_top(_motion_scores(sp, sf), 2 * n, True), "complexity": sa.spaced_top(complex_, 2 * n, False)}
-    return sa.optimal_frames(v.pixels(sp, sf).select(video, "frame").distinct(), candidates, n)
+    complex_ = d.complexity(pixels).select(video, "frame", F.col("complexity").alias("score"))
+    candidates = {"diversity": sa.diverse(vectors, 2 * n).select(video, "frame"), "motion": sa.spaced_top(_motion_scores(pixels), 2 * n, True), "complexity": sa.spaced_top(complex_, 2 * n, False)}
+    return sa.optimal_frames(pixels.select(video, "frame").distinct(), candidates, n)
+
+
+def _subpixel(sp, sf):
+    pixels = _pixels_once(sp, sf)
+    return d.subpixel(d.local_maxima(pixels, 60000.0), pixels)
 
 
 PEAKS = with_(TRACKS, PRED, "pr AS (SELECT t.frame, t.track_id, p.track_id AS near_id, sqrt((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y)) AS d FROM tracks t JOIN pred p ON t.frame = p.frame WHERE NOT t.occluded)", "be AS (SELECT frame, track_id, near_id FROM pr WHERE d < 12 QUALIFY row_number() OVER (PARTITION BY frame, track_id ORDER BY d, near_id) = 1)", "ne AS (SELECT t.track_id, t.frame, near_id FROM tracks t LEFT JOIN be ON be.track_id = t.track_id AND be.frame = t.frame WHERE NOT t.occluded)", "pv AS (SELECT *, lag(near_id) OVER (PARTITION BY track_id ORDER BY frame) AS was FROM ne WHERE near_id IS NOT NULL)")
@@ -110,7 +122,7 @@ QUERIES = {
     "percentile_stretch": (lambda sp, sf: d.stretch(v.pixels(sp, sf)), with_(TRACKS, PIXELS, "q AS (SELECT frame, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM pixels GROUP BY frame)") + "SELECT p.frame, px, py, round(greatest(0, least(1, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0 END)), 5) AS value FROM pixels p JOIN q ON p.frame = q.frame"),
     "local_maxima": (lambda sp, sf: d.local_maxima(v.pixels(sp, sf), 60000.0), with_(TRACKS, PIXELS, NB) + "SELECT * FROM mx"),
     "subpixel": (
-        lambda sp, sf: d.subpixel(d.local_maxima(v.pixels(sp, sf), 60000.0), v.pixels(sp, sf)),
+        _subpixel,
         with_(TRACKS, PIXELS, NB) + f"SELECT m.frame, round(m.px + {_shift('l', 'r')}, 5) AS x, round(m.py + {_shift('u', 'd')}, 5) AS y, m.value AS quality FROM mx m " + " ".join(f"LEFT JOIN pixels {n} ON {n}.frame = m.frame AND {n}.px = m.px + {a} AND {n}.py = m.py + {b}" for n, a, b in (("l", -1, 0), ("r", 1, 0), ("u", 0, -1), ("d", 0, 1))),
     ),
     "top_by_quality": (lambda sp, sf: d.top_by_quality(d.local_maxima(v.pixels(sp, sf), 60000.0).select("frame", F.col("px").alias("x"), F.col("py").alias("y"), F.col("value").alias("quality")), 3), with_(TRACKS, PIXELS, NB) + "SELECT frame, px AS x, py AS y, value AS quality FROM mx QUALIFY row_number() OVER (PARTITION BY frame ORDER BY value DESC, py, px) <= 3"),
@@ -145,7 +157,7 @@ QUERIES = {
     "mesh_laplacian": (lambda sp, sf: me.laplacian(me.edges(me.triangles(_mesh_points(sp, sf))), _mesh_points(sp, sf)), None),
     "propagate_blobs": (lambda sp, sf: _blobs(sp, sf, bl.propagate_blobs, seeds=_image_places(sp, sf).where("frame = track_id % 80")), None),
     "blob_segments": (lambda sp, sf: _blobs(sp, sf, bl.blend_blobs, anchors=_image_places(sp, sf).where("frame % 10 = 5")), None),
-    "gap_topk": (lambda sp, sf: sa.spaced_top(_motion_scores(sp, sf), 8, True), None),
+    "gap_topk": (lambda sp, sf: sa.spaced_top(_motion_scores(_pixels_once(sp, sf)), 8, True), None),
     "complexity_topk": (lambda sp, sf: sa.spaced_top(d.complexity(v.pixels(sp, sf)).select(F.lit(0).cast("long").alias("video"), "frame", F.col("complexity").alias("score")), 8, False), None),
     "weighted_votes": (
         lambda sp, sf: sa.votes({"motion": (d.motion(v.pixels(sp, sf)).where("motion > 25000"), 1.0), "complex": (d.complexity(v.pixels(sp, sf)).where("complexity > 35000"), 1.5)}),

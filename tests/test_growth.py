@@ -3,6 +3,7 @@
 import random
 
 from spoorline.operators import sequences
+from spoorline.plans import images
 
 
 def plan(df):
@@ -24,3 +25,18 @@ def test_training_windows_make_no_table_of_windows(spark):
         got = sequences.training_windows(frame, length, stride)
         assert sorted(map(tuple, got.collect())) == sorted(expected)
         assert "Join" not in plan(got)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_subpixel_joins_items_and_orders_once(spark):
+    assert "lineitem" not in plan(images.QUERIES["subpixel"][0](spark, SMALL))
+
+
+def test_optimal_frames_joins_items_and_orders_once(spark, monkeypatch):
+    calls, pixels = [], images.v.pixels
+    monkeypatch.setattr(images.v, "pixels", lambda *a: calls.append(a) or pixels(*a))
+    monkeypatch.setattr(images.sa, "diverse", lambda vectors, n: vectors.select("frame").limit(n))
+    assert "lineitem" not in plan(images.QUERIES["optimal_frames"][0](spark, SMALL))
+    assert len(calls) == 1
