@@ -1,8 +1,11 @@
 """Operators on crowded frames: right against plain loops, and no step that grows with the square of a frame's points."""
 
+import math
 import random
 
-from spoorline.operators import sequences
+import numpy as np
+
+from spoorline.operators import matching, places, sequences
 from spoorline.plans import images
 
 
@@ -40,3 +43,50 @@ def test_optimal_frames_joins_items_and_orders_once(spark, monkeypatch):
     monkeypatch.setattr(images.sa, "diverse", lambda vectors, n: vectors.select("frame").limit(n))
     assert "lineitem" not in plan(images.QUERIES["optimal_frames"][0](spark, SMALL))
     assert len(calls) == 1
+
+
+def crowd(rng, n, step=0.5):
+    """Places on a grid, many of which coincide or lie at equal distances."""
+    return np.array([(rng.randrange(0, 60) * step, rng.randrange(0, 40) * step) for _ in range(n)])
+
+
+def test_nearest_against_all_pairs():
+    rng = random.Random(5)
+    for n, m, radius in ((0, 3, 1.0), (3, 0, 1.0), (1, 1, 5.0), (80, 60, 2.0), (300, 40, 20.0), (40, 400, 0.4)):
+        a, b, ids = crowd(rng, n), crowd(rng, m) * 1.1, np.array(rng.sample(range(1000), m), dtype=np.int64)
+        i, j, d = (c.tolist() for c in places.nearest(*(a.T if n else a.reshape(2, 0)), *(b.T if m else b.reshape(2, 0)), ids, radius))
+        got = {p: (e, q) for p, q, e in zip(i, j, d, strict=True) if e <= radius}
+        want = {p: min((float(np.sqrt((x - u) * (x - u) + (y - v) * (y - v))), int(k)) for (u, v), k in zip(b, ids, strict=True)) for p, (x, y) in enumerate(a)} if m else {}
+        assert got == {p: w for p, w in want.items() if w[0] <= radius}
+
+
+def test_nearest_in_keeps_tiles_apart(spark):
+    rng = random.Random(6)
+    a, b = ([(f, i, x, y) for f in range(2) for i, (x, y) in enumerate(crowd(rng, 60, 1.7) - 30)] for _ in range(2))
+    frame = lambda r, *c: spark.createDataFrame([(f, i, float(x), float(y)) for f, i, x, y in r], "frame int, {} long, {} double, {} double".format(*c))
+    left, right = frame(a, "a_id", "x", "y"), frame(b, "b_id", "px", "py")
+    best = lambda p, others: min(((float(np.sqrt((p[2] - q[2]) * (p[2] - q[2]) + (p[3] - q[3]) * (p[3] - q[3]))), q[1]) for q in others if q[0] == p[0]), default=(99.0, -1))
+    there, back = {(p[0], p[1]): best(p, b) for p in a}, {(q[0], q[1]): best(q, a) for q in b}
+    got = {(r.frame, r.a_id): (r.d, r.b_id) for r in matching.nearest_in(left, right, 3.0).collect()}
+    assert got == {k: w for k, w in there.items() if w[0] <= 3.0}
+    mutual = matching.mutual_nearest(left, right, 3.0)
+    assert {tuple(r)[:3] for r in mutual.collect()} == {(f, i, q) for (f, i), (d, q) in there.items() if d < 3.0 and back[f, q][1] == i}
+    assert "Generate explode(array(" not in plan(mutual) and "HashAggregate" not in plan(mutual)
+
+
+def test_greedy_match_against_a_loop_over_pairs(spark):
+    rng = random.Random(7)
+    t = [(f, f // 2, i, *p) for f in range(4) for i, p in enumerate(crowd(rng, 50).tolist())]
+    q = [(f, i, *p) for f in range(4) for i, p in enumerate(crowd(rng, 45).tolist())]
+    want = []
+    for v in (0, 1):
+        used = set()
+        for a in range(50):
+            near = sorted((math.sqrt((x - u) ** 2 + (y - w) ** 2), b) for f, k, i, x, y in t if k == v and i == a for g, b, u, w in q if g == f)
+            near = [(d, b) for d, b in near if d < 4.0 and b not in used]
+            if near:
+                used.add(near[0][1])
+                want.append((v, a, near[0][1], near[0][0]))
+    got = matching.greedy_match(spark.createDataFrame(t, "frame int, video long, a_id long, x double, y double"), spark.createDataFrame(q, "frame int, b_id long, px double, py double"), 4.0)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "FlatMapGroupsInPandas" not in plan(got)  # which read all pairs
