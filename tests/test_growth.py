@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from spoorline.operators import matching, places, sequences
+from spoorline.operators import interpolation, matching, places, propagation, sequences
 from spoorline.plans import images
 
 
@@ -90,3 +90,26 @@ def test_greedy_match_against_a_loop_over_pairs(spark):
     got = matching.greedy_match(spark.createDataFrame(t, "frame int, video long, a_id long, x double, y double"), spark.createDataFrame(q, "frame int, b_id long, px double, py double"), 4.0)
     assert sorted(map(tuple, got.collect())) == want
     assert "FlatMapGroupsInPandas" not in plan(got)  # which read all pairs
+
+
+def test_sums_within_a_radius_against_all_pairs(spark):
+    rng = random.Random(8)
+    a = [(i, f, x, y) for f in range(2) for i, (x, y) in enumerate((crowd(rng, 50, 1.5) - 20).tolist())]
+    b = [(i, f, x, y, rng.uniform(-2, 2), rng.uniform(-2, 2)) for f in range(2) for i, (x, y) in enumerate((crowd(rng, 40, 1.5) - 20).tolist())]
+    points = spark.createDataFrame(a, "track_id long, frame int, x double, y double")
+    sources = spark.createDataFrame(b, "s_id long, frame int, px double, py double, mx double, my double")
+    none = spark.createDataFrame([], "frame int, gx int, gy int, dx double, dy double")
+    pulled = propagation.mesh_pull(points, sources.select("frame", "px", "py"), 9.0)
+    assert "Join" not in plan(pulled)
+    blended = interpolation.blended_motion(points, sources, none, 10.0, 10.0, 9.0)
+    assert "explode(array(" not in plan(blended)
+    pulled, blended = ({(r[0], r[1]): tuple(r)[2:] for r in df.collect()} for df in (pulled, blended))
+    for i, f, x, y in a:
+        near = [(math.hypot(x - u, y - v), s, u, v, mx, my) for s, g, u, v, mx, my in b if g == f and math.hypot(x - u, y - v) <= 9.0]
+        w = [math.exp(-n[0] ** 2 / 18) if n[0] < 9.0 else 0.0 for n in near]
+        want = [c + (0.1 * sum(k * (n[at] - c) for k, n in zip(w, near)) / sum(w) if sum(w) else 0.0) for c, at in ((x, 2), (y, 3))]
+        assert np.allclose(pulled[i, f], want, atol=6e-5)
+        on, far = sorted((n[1], n[4], n[5]) for n in near if n[0] < 1e-6), [n for n in near if n[0] >= 1e-6]
+        total = sum(n[0] ** -2 for n in far)
+        want = on[0][1:] if on else [0.9 * sum(n[0] ** -2 * n[at] for n in far) / total if far else 0.0 for at in (4, 5)]
+        assert np.allclose(blended[i, f], want)
