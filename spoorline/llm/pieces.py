@@ -127,25 +127,25 @@ class Lattice:
         none = np.zeros(0, dtype=np.int32)
         self.start = self.stop = self.end = self.place = self.next = none
         self.ids, self.log_prob, self.opens = none.astype(np.int32), none.astype(np.float64), none.astype(bool)
-        self.first, self.upto = np.zeros(1, dtype=np.int32), np.zeros(0)
+        self.first, self.upto, self.prob = np.zeros(1, dtype=np.int32), np.zeros(0), np.zeros(0)
         self.spelled: list[list[int]] = []
 
-    def numbers(self, parts: list[list[str]]) -> list[list[int]]:
-        """The number of every chunk; new chunks get their lattices."""
+    def numbers(self, parts: list[list[str]]) -> np.ndarray:
+        """The number of every chunk, text by text; new chunks get their lattices."""
         if len(self.end) > KEPT:
             often = [c for c, n in zip(self.number, self.seen.tolist(), strict=True) if n > 3]
             self.clear()
             self.numbers([often])
-        out = [list(map(self.number.__getitem__, p)) for p in parts]
+        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
         new = list(islice(self.number, len(self.seen), None))
         if new:
             self.add(new)
-        self.seen = np.append(self.seen, np.zeros(len(new), dtype=np.int64)) + np.bincount(np.fromiter(chain.from_iterable(out), dtype=np.int64), minlength=len(self.number))
+        self.seen = np.append(self.seen, np.zeros(len(new), dtype=np.int64)) + np.bincount(out, minlength=len(self.number))
         return out
 
     def add(self, chunks: list[str]) -> None:
         n, e, spelled = len(self.end), len(self.place), self.spelled
-        old = {k: self.__dict__.pop(k) for k in ("start", "stop", "end", "place", "next", "first", "log_prob", "opens", "ids", "upto")}
+        old = {k: self.__dict__.pop(k) for k in ("start", "stop", "end", "place", "next", "first", "log_prob", "opens", "ids", "upto", "prob")}
         self.spelled = []
         self.build(self.model, chunks)
         self.ids = np.where(self.ids < -1, self.ids - len(spelled), self.ids).astype(np.int32)
@@ -201,7 +201,16 @@ class Lattice:
         slot = np.arange(n) + np.repeat(np.arange(len(chunks)), size)
         beta = np.zeros(n + len(chunks))
         left = self.end - np.arange(n)
-        by = np.argsort((left[place] << 32) | place, kind="stable")
+        # Edges came by length, so counting gives every edge its rank at its place, a spelled one last, and no edges are sorted.
+        many, nth = np.zeros(n, dtype=np.int64), []
+        for i, _, _ in found:
+            nth.append(many[i])
+            many[i] += 1
+        nth, every = np.concatenate(nth), np.arange(len(place))
+        near = np.argsort(left.astype(np.uint16) if n < 1 << 16 or left.max() < 1 << 16 else left, kind="stable")
+        begun, by = np.zeros(n, dtype=np.int64), np.empty_like(every)
+        begun[near] = np.cumsum(many[near]) - many[near]
+        by[begun[place] + nth] = every
         far, at, ahead, w = left[place[by]], slot[place[by]], slot[place[by]] + length[by], weight[by]
         cut = np.searchsorted(far, np.arange(1, int(far.max(initial=0)) + 2))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -210,14 +219,21 @@ class Lattice:
             top = np.maximum.reduceat(x, new)
             beta[to[new]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(new, b - a)))), new))
         lp = np.minimum(w + beta[ahead] - beta[at], 0.0)
-        order = np.argsort((place[by] << 8) | (255 - length[by]), kind="stable")
-        by = by[order]
-        self.place, self.next, self.ids, self.log_prob = place[by], (place + length)[by], ids[by], lp[order]
-        self.first = np.searchsorted(self.place, np.arange(n + 1))
-        self.opens = np.isin(self.place, self.start)
+        each = np.empty(len(by))
+        each[by] = lp
+        # By place, long ones first: a spelled one is of one character, so it comes last here too.
+        nth += ~single[place]
+        nth[len(nth) - len(other) :] = 0
+        self.first = np.append(0, np.cumsum(many))
+        by[self.first[place] + many[place] - 1 - nth] = every
+        self.place, self.next, self.ids, self.log_prob = place[by], (place + length)[by], ids[by], each[by]
+        opens = np.zeros(n, dtype=bool)
+        opens[self.start] = True
+        self.opens = opens[self.place]
         rank = np.arange(len(by)) - self.first[self.place]
         # Sums of probabilities up to each edge of a place; the last edge takes what is left.
-        self.upto = np.exp(self.log_prob)
+        self.prob = np.exp(self.log_prob)
+        self.upto = self.prob.copy()
         for r in range(1, int(rank.max(initial=0)) + 1):
             i = np.flatnonzero(rank == r)
             self.upto[i] += self.upto[i - 1]
@@ -228,7 +244,7 @@ class Lattice:
         e = np.arange(self.first[self.place[edge]], self.first[self.place[edge] + 1])
         for x in shut:
             e = e[e != x]
-        return e, np.exp(self.log_prob[e])
+        return e, self.prob[e]
 
     def walk(self, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each start to its chunk's end: the number of its pieces, and the edges of all, walk by walk."""
@@ -251,7 +267,7 @@ class Lattice:
             count[live] = step + 1
             e = e[on]
             # The last edge of a place has no more than what is left.
-            u = np.clip((u[on] - low[on]) / np.exp(self.log_prob[e]), 0.0, 1.0)
+            u = np.clip((u[on] - low[on]) / self.prob[e], 0.0, 1.0)
             live, now, step = live[on], after[on], step + 1
         begin = np.cumsum(count) - count
         edges = np.empty(int(count.sum()), dtype=np.int32)
@@ -285,9 +301,9 @@ class _Text:
 def rounds(model: Model, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[tuple], np.ndarray]:
     """For each sample 1..k (texts, log_prob, score, ids, ids of each text), and each text's (k+1)-th value."""
     lattice = model.lattice
-    parts = lattice.numbers([model.chunks("▁" + t.replace(" ", "▁")) if t else [] for t in texts])
+    parts = [model.chunks("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
     first = np.cumsum([0, *map(len, parts)])
-    occ = np.fromiter(chain.from_iterable(parts), dtype=np.int64, count=int(first[-1]))
+    occ = lattice.numbers(parts)
     begin = lattice.start[occ]
     found = [_Text() for _ in texts]
     taken: list[np.ndarray] = []  # the edges of each round's paths
