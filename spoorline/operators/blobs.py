@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import by_frame, new_folder
+from ..functions.lineage import by_frame, new_folder, written
 from ..sources.tiles import assembled, patches, tiled
 from .matching import anchor_segments
 from .stepwise import STATE, waves
@@ -132,9 +132,11 @@ def refined(points: DataFrame, tiles: DataFrame, width: int, height: int, search
 def blob_waves(seeds: DataFrame, flow: DataFrame, pixels: DataFrame, sx: float, sy: float, width: int, height: int, search: float = 15.0, radius: float = 5.0) -> DataFrame:
     """Seeds (STATE) carried by the flow at their place, kept in the image, and moved to the nearest blob, at every step.
 
-    Forward, the flow of the cell a point is in; back, the place whose flow leads here, by BACK_ROUNDS rounds from here.
+    Seeds of one place, frame and way are one, which is carried once. Forward, the flow of the cell a point is in; back, the place whose flow leads here, by BACK_ROUNDS rounds from here.
     """
     folder = new_folder(seeds.sparkSession)
+    members = written(seeds.select("id", F.struct(*STATE[1:]).alias("way")))
+    ways = members.select("way").distinct().select(F.col("way").alias("id"), "way.*")
     tiles = by_frame(tiled(pixels), f"{folder}/tiles")
     field = by_frame(flow.select("frame", "gx", "gy", "dx", "dy"), f"{folder}/flow")
 
@@ -153,7 +155,8 @@ def blob_waves(seeds: DataFrame, flow: DataFrame, pixels: DataFrame, sx: float,
         predicted = points.sparkSession.sql(step, points=points, field=field.where(there))
         return refined(predicted, tiles.where(there), width, height, search, radius)
 
-    return waves(seeds, advance, folder)
+    moved = waves(ways, advance, folder).withColumnRenamed("id", "of")
+    return members.join(moved, F.col("way").eqNullSafe(F.col("of"))).select(*STATE)
 
 
 def propagate_blobs(seeds: DataFrame, flow: DataFrame, pixels: DataFrame, sx: float, sy: float, width: int, height: int, last: int, search: float = 15.0, radius: float = 5.0) -> DataFrame:
