@@ -121,3 +121,43 @@ def test_points_that_coincide_are_one_before_a_frame_is_meshed(spark):
     tri = mesh.triangles(points)
     assert sorted(map(tuple, tri.collect())) == [(0, 0, 1, 2), (0, 1, 2, 3)]
     assert "HashAggregate" in plan(tri)
+
+
+def test_copies_of_a_segment_are_one(spark):
+    """A hundred tracks on the same way: the corridor search sees one segment."""
+    from spoorline.operators import folds
+
+    s = spark.range(100).selectExpr("id AS track_id", "0 AS t0", "2D AS x0", "2D AS y0", "2 AS t1", "4D AS x1", "3D AS y1")
+    flow = spark.createDataFrame([(0, 2.0, 2.0, 1.0, 0.0), (1, 3.0, 2.0, 1.0, 1.0)], "frame int, x double, y double, dx double, dy double")
+    solve = folds.corridor_paths(s, flow, 2, least=4)
+    got = {}
+    for r in solve.collect():
+        got.setdefault(r.track_id, []).append((r.frame, r.x, r.y))
+    assert len(got) == 100 and all(sorted(p) == [(0, 2.0, 2.0), (1, 3.0, 2.0), (2, 4.0, 3.0)] for p in got.values())
+    plan = solve._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInPandas") < plan.index("Aggregate")
+
+
+def test_nearest_rows_copy_the_few(spark):
+    """One row looks among 1000: cells are copied for that row, not for the others."""
+    from spoorline.operators import matching
+
+    a = spark.createDataFrame([(0, 1, 5.0, 5.0)], "frame int, q int, x double, y double")
+    b = spark.range(1000).selectExpr("0 AS frame", "id AS s_id", "id * 0.1D AS px", "5D AS py")
+    plan = matching.near(a, b, 3.0, copied="a")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("LogicalRDD")
+    assert {r.s_id for r in matching.near(a, b, 3.0, copied="a").collect()} == {r.s_id for r in matching.near(a, b, 3.0).collect()}
+
+
+def test_seeds_of_one_way_are_carried_once(spark, monkeypatch):
+    from spoorline.operators import blobs
+
+    seen = []
+    was = blobs.waves
+    monkeypatch.setattr(blobs, "waves", lambda seeds, *rest: seen.append(seeds.count()) or was(seeds, *rest))
+    seeds = spark.range(50).selectExpr("id", "true AS ahead", "0 AS frame", "3D AS x", "2D AS y", "2 AS until")
+    flow = spark.createDataFrame([(0, 0, 0, 1.0, 0.5)], "frame int, gx int, gy int, dx double, dy double")
+    pixels = spark.createDataFrame([(f, 0, 0, 0.0) for f in range(3)], "frame int, px int, py int, value double")
+    got = blobs.blob_waves(seeds, flow, pixels, 20.0, 20.0, 12, 12, 3.0, 1.5).collect()
+    assert seen == [1] and sorted((r.id, r.frame) for r in got) == [(i, f) for i in range(50) for f in (1, 2)]
+    assert {(r.frame, r.x, r.y) for r in got} == {(1, 4.0, 2.5), (2, 4.0, 2.5)}
