@@ -10,9 +10,10 @@ Documents with equal sets are one class, so copies cost nothing. Every class is
 join into components. In buckets that then still have several, classes are held against the bucket's least and greatest,
 and against the one with most such buckets, and at last candidates that are still in different components against each
 other. What a set has in common with all other components together bounds what it can have with one of them, exactly, and
-classes and pairs that cannot reach the threshold drop out before full sets are read. No pair that could change a component
-goes untested. A large group of near copies is not paired out; of a large group of loose copies, alike but below the threshold,
-candidates that the bounds let through are, as names, each pair once.
+classes and pairs that cannot reach the threshold drop out before full sets are read. For pairs there is a second exact bound: each set
+sets the parity of ODD bits by its shingles, and two sets differ in as many shingles at least as in bits. No pair that could change a
+component goes untested. A large group of near copies is not paired out; nor is one of loose copies, alike but below the threshold,
+unless they differ in so many shingles (several thousand) that their bits run full.
 
 Texts are shuffled once, to set those apart that share a bucket with others; all later steps read that smaller table. To be
 confirmed, each text goes to one block, and to each block that has others to be held against it; pairs move as pairs of
@@ -48,6 +49,8 @@ CHANCE = 1 / (1 << BITS)
 #: Standard errors of the estimate at the threshold that a candidate may lie below it.
 ERRORS = 4
 CHUNK = 1 << 20
+#: Bits of a set whose parities are kept.
+ODD = 1 << 12
 #: Bytes of text in a block of classes that are held against others.
 BLOCK_BYTES = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -198,6 +201,40 @@ def shared_counts(texts: DataFrame, among: DataFrame, size: int) -> DataFrame:
     return each.select("cls", "n", "shingle").join(common, "shingle").groupBy("cls", "n").agg(F.count("*").alias("shared"))
 
 
+def odd_bits(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each set, in ODD / 64 numbers, which bits an odd number of its shingles falls on. A shingle that one of two sets lacks changes one bit."""
+    each = (np.bincount((s & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD).astype(np.uint8) & 1 for s in sets)
+    return [np.packbits(x).view(np.int64) for x in each]
+
+
+def with_odd_bits(texts: DataFrame, among: DataFrame, size: int) -> DataFrame:
+    """cls and odd of the classes among (cls)."""
+
+    def rows(batches):
+        for batch in batches:
+            for a, raw, at in slices(batch["text"]):
+                odd = odd_bits(shingle_sets(raw, at, size))
+                yield pa.RecordBatch.from_arrays([batch["cls"].slice(a, len(odd)), pa.array(odd, pa.list_(pa.int64()))], names=["cls", "odd"])
+
+    return texts.join(among.select("cls"), "cls", "left_semi").mapInArrow(rows, "cls binary, odd array<long>")
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """leaf and hub: pairs of different components in a bucket that no bound rules out, once each.
+
+    rows: band, cls, comp, n, shared, sig, bands (all of the class's) and odd.
+    """
+    sided = lambda side: rows.select(*(F.col(c).alias(c + side) for c in ("band", "cls", "comp", "n", "shared", "sig", "bands", "odd")))
+    total = F.col("nx") + F.col("ny")
+    in_common = (100 + percent) * F.least("sharedx", "sharedy") >= percent * total
+    differing = F.aggregate(F.zip_with("oddx", "oddy", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    alike = (estimate("sigx", "sigy") >= percent / 100 - margin(percent)) & ((100 + percent) * differing <= (100 - percent) * total)
+    # Two classes meet once, in the least of the buckets that they share.
+    once = F.array_min(F.array_intersect("bandsx", "bandsy")) == F.col("bandx")
+    met = sided("x").join(sided("y"), F.col("bandx") == F.col("bandy")).where((F.col("clsx") < F.col("clsy")) & (F.col("compx") != F.col("compy")) & in_common & alike & once)
+    return met.select(F.col("clsx").alias("leaf"), F.col("clsy").alias("hub"))
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (leaf, hub of classes) whose full sets are similar enough, as u and v. texts: cls, text.
 
@@ -258,12 +295,6 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
         open_ = named.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
         return named.join(open_, "band")
 
-    def enough(common: Column, x: str, y: str) -> Column:
-        return (100 + percent) * common >= percent * (F.col(f"n{x}") + F.col(f"n{y}"))
-
-    def sided(rows: DataFrame, side: str, *columns: str) -> DataFrame:
-        return rows.select(*(F.col(c).alias(c + side) for c in columns))
-
     def further(pairs: DataFrame) -> None:
         """Hold candidates against each other that were not yet, and join what they link."""
         nonlocal comps, tested
@@ -286,13 +317,9 @@ def near_groups(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     # What a class has in common with all other components together bounds, exactly, what it has with any class of them.
     able = shared_counts(texts, compact(rows.select("cls", "comp").distinct()), size).where(100 * F.col("shared") >= percent * F.col("n"))
     lists = rows.groupBy("cls").agg(F.collect_set("band").alias("bands"))  # at most one a band of the signature
-    rows = compact(rows.join(able, "cls").join(sigs, "cls").join(lists, "cls"))
-    small = ("band", "cls", "comp", "n", "shared", "sig", "bands")
-    met = sided(rows, "x", *small).join(sided(rows, "y", *small), F.col("bandx") == F.col("bandy"))
-    # Two classes meet once, in the least of the buckets that they share.
-    once = F.array_min(F.array_intersect("bandsx", "bandsy")) == F.col("bandx")
-    met = met.where((F.col("clsx") < F.col("clsy")) & (F.col("compx") != F.col("compy")) & enough(F.least("sharedx", "sharedy"), "x", "y") & (estimate("sigx", "sigy") >= least) & once)
-    further(met.select(F.col("clsx").alias("leaf"), F.col("clsy").alias("hub")))
+    able = compact(able)
+    rows = rows.join(able, "cls").join(sigs, "cls").join(lists, "cls").join(with_odd_bits(texts, able, size), "cls")
+    further(candidates(compact(rows), percent))
     heads = classes.join(comps, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("comp"), "first")
     least_of = heads.groupBy("comp").agg(F.min("first").alias("first"))
     of_class = heads.select("cls", "comp").join(least_of, "comp").select("cls", "first")

@@ -136,3 +136,32 @@ def test_filter_keeps_clashing_columns(spark):
     got = nd.near_filter(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == [docs[0], docs[2], docs[4], docs[5]]
+
+
+def test_a_crowd_of_loose_copies_is_not_paired_out(spark, monkeypatch):
+    """150 copies of one text, each with words of its own at five places: alike at some 0.75, so that estimates tell few pairs from 0.85."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for d in range(150):
+        w = list(base)
+        for i in r.sample(range(200), 5):
+            w[i] = f"d{d}x{i}"
+        docs.append((d, " ".join(w)))
+    docs += [(200, docs[7][1] + " end"), (201, docs[9][1] + " end")]
+    asked, confirmed = [], nd.confirmed
+    monkeypatch.setattr(nd, "confirmed", lambda texts, pairs, *a: (asked.append(pairs.count()), confirmed(texts, pairs, *a))[1])
+    got = nd.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(docs, 85, 3))
+    assert sum(asked) < 15 * len(docs)
+
+
+def test_odd_bits_never_say_more_than_the_difference():
+    r = np.random.default_rng(4)
+    for n in (0, 3, 200, 9000):
+        both = r.integers(0, 2**63, n, dtype=np.uint64)
+        one, two = (np.concatenate([both, r.integers(0, 2**63, k, dtype=np.uint64)]) for k in (n // 7, n // 5 + 1))
+        p, q = nd.odd_bits([one, two])
+        assert len(p) == nd.ODD // 64
+        unlike = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
+        assert unlike <= n // 7 + n // 5 + 1 and (n > 200 or unlike >= 0.9 * (n // 7 + n // 5))
