@@ -21,9 +21,7 @@ empty table. The character U+2581 in a text decodes to a space, as in every Sent
 from __future__ import annotations
 
 import heapq
-import re
-from collections import defaultdict
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, score double, log_inclusion double, round_trip boolean, ids array<int>"
 CHUNK = 1 << 19
 #: Characters of distinct chunks whose lattices are kept.
-KEPT = 1_000_000
+KEPT = 500_000
 #: Places after a changed piece that are sets of their own.
 NEAR = 64
 #: Steps of a walk that one uniform number drives, by its rest after each choice.
@@ -54,6 +52,22 @@ def gumbel(key: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(uniform(key)))
 
 
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """start[0], ..., stop[0] - 1, start[1], and so on."""
+    size = (stop - start).astype(np.int64)
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def chunk_hashes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of characters from each entry of at to the next: sums of one mixed number for each character at each place."""
+    size = np.diff(at)
+    place = np.arange(len(codes)) - np.repeat(at[:-1], size)
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix((place.astype(np.uint64) << np.uint64(32) | codes) * _STEP + _PLACE), out=total[1:])
+        return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64) * _ROUND)
+
+
 class Model:
     """A SentencePiece model: pieces, weights, and what it takes to cut texts into chunks."""
 
@@ -78,8 +92,7 @@ class Model:
         self.longest = max(len(self.text[i]) for i in plain)
         if any("▁" in self.text[i].lstrip("▁") for i in plain):
             raise ValueError("pieces reach over the start of a word")
-        alone = "" if any("\n" in self.text[i] for i in plain) else "\n"
-        self.chunks = re.compile(f"▁+[^▁{alone}]*|[^▁{alone}]+" + (f"|{alone}" if alone else "")).findall
+        self.alone = not any("\n" in self.text[i] for i in plain)  # line ends are chunks of their own
         codes = np.frombuffer("".join(self.text[i] for i in plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         ends = np.cumsum([len(self.text[i]) for i in plain])
         h = mix(range_hashes(prefix_hashes(codes + np.uint64(1)), np.append(0, ends[:-1]), ends))
@@ -97,6 +110,25 @@ class Model:
             some = ends - begins >= length
             self.may[mix(range_hashes(prefix, begins[some], begins[some] + length)) >> np.uint64(42)] = True
 
+    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters of all texts, each chunk's start (one more entry for the end), and each text's first chunk (likewise).
+
+        A chunk begins with its text, with the first of some spaces, and at and after a line end that no piece holds.
+        """
+        codes = np.frombuffer("".join(f" {t}" if t else "" for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        codes[codes == 0x20] = 0x2581
+        at = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        space = codes == 0x2581
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        if self.alone:
+            ends = codes == 0x0A
+            begins |= ends
+            begins[1:] |= ends[:-1]
+        begins[at[:-1][at[:-1] < at[1:]]] = True
+        start = np.flatnonzero(begins)
+        return codes, np.append(start, len(codes)), np.searchsorted(start, at)
+
     @property
     def lattice(self) -> Lattice:
         if not hasattr(self, "_lattice"):
@@ -121,33 +153,49 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        # Chunks are known by a hash, in order of it, with their numbers.
+        self.known, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.seen = np.zeros(0, dtype=np.int64)
+        self.codes = np.zeros(0, dtype=np.uint32)
         none = np.zeros(0, dtype=np.int32)
         self.start = self.stop = self.end = self.place = self.next = none
         self.ids, self.log_prob, self.opens = none.astype(np.int32), none.astype(np.float64), none.astype(bool)
         self.first, self.upto, self.prob = np.zeros(1, dtype=np.int32), np.zeros(0), np.zeros(0)
         self.spelled: list[list[int]] = []
 
-    def numbers(self, parts: list[list[str]]) -> np.ndarray:
-        """The number of every chunk, text by text; new chunks get their lattices."""
+    def numbers(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The number of every chunk, given all chunks' characters and starts; new chunks get their lattices."""
         if len(self.end) > KEPT:
-            often = [c for c, n in zip(self.number, self.seen.tolist(), strict=True) if n > 3]
+            often = np.flatnonzero(self.seen > 3)
+            kept = _ranges(self.start[often], self.stop[often])
+            kept, sizes = self.codes[kept], (self.stop - self.start)[often]
             self.clear()
-            self.numbers([often])
-        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
-        new = list(islice(self.number, len(self.seen), None))
-        if new:
-            self.add(new)
-        self.seen = np.append(self.seen, np.zeros(len(new), dtype=np.int64)) + np.bincount(out, minlength=len(self.number))
+            self.numbers(kept, np.append(0, np.cumsum(sizes)))
+        every, first, each = np.unique(chunk_hashes(codes, at), return_index=True, return_inverse=True)
+        have = len(self.known)
+        to = np.searchsorted(self.known, every)
+        new = self.known[np.minimum(to, have - 1)] != every if have else np.ones(len(every), dtype=bool)
+        number = np.empty(len(every), dtype=np.int64)
+        number[~new] = self.number[to[~new]]
+        if new.any():
+            come = np.argsort(first[new])  # numbers in order of coming
+            rank = np.empty(len(come), dtype=np.int64)
+            rank[come] = np.arange(have, have + len(come))
+            number[new] = rank
+            self.known, self.number = np.insert(self.known, to[new], every[new]), np.insert(self.number, to[new], rank)
+            a = first[new][come]
+            self.add(codes[_ranges(at[a], at[a + 1])], at[a + 1] - at[a])
+            self.seen = np.append(self.seen, np.zeros(len(come), dtype=np.int64))
+        out = number[each]
+        self.seen += np.bincount(out, minlength=len(self.seen))
         return out
 
-    def add(self, chunks: list[str]) -> None:
+    def add(self, codes: np.ndarray, size: np.ndarray) -> None:
         n, e, spelled = len(self.end), len(self.place), self.spelled
         old = {k: self.__dict__.pop(k) for k in ("start", "stop", "end", "place", "next", "first", "log_prob", "opens", "ids", "upto", "prob")}
         self.spelled = []
-        self.build(self.model, chunks)
+        self.build(self.model, codes, size)
+        self.codes = np.append(self.codes, codes)
         self.ids = np.where(self.ids < -1, self.ids - len(spelled), self.ids).astype(np.int32)
         self.spelled = spelled + self.spelled
         old["first"] = old["first"][:-1]
@@ -156,11 +204,9 @@ class Lattice:
         for name in list(old):
             setattr(self, name, np.append(old.pop(name), getattr(self, name)))
 
-    def build(self, model: Model, chunks: list[str]) -> None:
-        size = np.array([len(c) for c in chunks], dtype=np.int64)
+    def build(self, model: Model, codes: np.ndarray, size: np.ndarray) -> None:
         self.stop = np.cumsum(size)
         self.start = self.stop - size
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(codes)
         self.end = np.repeat(self.stop, size)
         wide = codes.astype(np.uint64) + np.uint64(1)
@@ -198,8 +244,8 @@ class Lattice:
         weight = model.weight[np.maximum(ids, 0)]
         weight[len(weight) - len(other) :] = weights
         # Backward sums, all chunks at once, by distance from the chunk's end; ends have slots of their own.
-        slot = np.arange(n) + np.repeat(np.arange(len(chunks)), size)
-        beta = np.zeros(n + len(chunks))
+        slot = np.arange(n) + np.repeat(np.arange(len(size)), size)
+        beta = np.zeros(n + len(size))
         left = self.end - np.arange(n)
         # Edges came by length, so counting gives every edge its rank at its place, a spelled one last, and no edges are sorted.
         many, nth = np.zeros(n, dtype=np.int64), []
@@ -301,9 +347,8 @@ class _Text:
 def rounds(model: Model, texts: list[str], keys: np.ndarray, k: int) -> tuple[list[tuple], np.ndarray]:
     """For each sample 1..k (texts, log_prob, score, ids, ids of each text), and each text's (k+1)-th value."""
     lattice = model.lattice
-    parts = [model.chunks("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    first = np.cumsum([0, *map(len, parts)])
-    occ = lattice.numbers(parts)
+    codes, at, first = model.chunks(texts)
+    occ = lattice.numbers(codes, at)
     begin = lattice.start[occ]
     found = [_Text() for _ in texts]
     taken: list[np.ndarray] = []  # the edges of each round's paths

@@ -95,3 +95,22 @@ def test_ids_decode_with_the_library(model):
     for text in TEXTS[3:9]:
         for _, _, _, ids in pieces.sample(model, [text], np.array([1], dtype=np.uint64), 2)[0]:
             assert sp.decode(ids.tolist()) == text == model.decode(ids.tolist())
+
+
+def test_chunks_against_a_pattern(model, monkeypatch):
+    """Cut by arrays as by the pattern; one number for equal chunks, also when rare ones are given up."""
+    import re
+
+    monkeypatch.setattr(pieces, "KEPT", 40)
+    texts = [t or "" for t in TEXTS] + ["\n\n a\n b", "▁▁ x", "the the a", " ", "a\nthe"]
+    alone = "\n" if model.alone else ""
+    cut = [re.findall(f"▁+[^▁{alone}]*|[^▁{alone}]+" + (f"|{alone}" if alone else ""), "▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    lattice = pieces.Lattice(model)
+    for a in (0, 5, 0):
+        codes, at, first = model.chunks(texts[a:])
+        assert first.tolist() == np.cumsum([0, *map(len, cut[a:])]).tolist()
+        flat = [c for chunks in cut[a:] for c in chunks]
+        assert ["".join(map(chr, codes[i:j])) for i, j in zip(at[:-1], at[1:], strict=True)] == flat
+        number = lattice.numbers(codes, at)
+        assert len(set(zip(flat, number.tolist(), strict=True))) == len(set(flat)) == len(set(number.tolist()))
+        assert ["".join(map(chr, lattice.codes[lattice.start[n] : lattice.stop[n]])) for n in number.tolist()] == flat
