@@ -113,3 +113,13 @@ def test_fewest_corrections(spark):
         top = max((v, -c) for (_, u, c), v in own.items() if u == trial)
         o = best[k, 1.5]
         assert (o.optimal_trial, o.best_auc_trial, o.optimal_k) == (trial, trial, -top[1]) and abs(o.optimal_app - top[0]) < 1e-6
+
+
+def test_pairs_share_their_anchors_ways(spark, monkeypatch):
+    """Each anchor is carried once forward and once back, whatever the number of pairs that it is in."""
+    seen, fold = [], propagation._fold
+    monkeypatch.setattr(propagation, "_fold", lambda flow, seeds, *a: (seen.append(seeds.groupBy("id.track_id", "frame").count().agg({"count": "max"}).first()[0]), fold(flow, seeds, *a))[1])
+    t = spark.createDataFrame([(1, f, float(f), 0.0) for f in range(9)], "track_id long, frame int, x double, y double")
+    field = spark.createDataFrame([(0, 0, 0, 1.0, 0.0)], "frame int, gx int, gy int, dx double, dy double")
+    optimum.rebuild_scores(t, field, 10.0, 10.0, 3, 20)
+    assert seen and max(seen) == 1
