@@ -48,7 +48,8 @@ MISSED = 1 / 20_000
 CHANCE = 1 / (1 << BITS)
 #: Standard errors of the estimate at the threshold that a candidate may lie below it.
 ERRORS = 4
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once; their words, shingles and minima take some 40 times that.
+CHUNK = 1 << 18
 #: Bits of a set whose parities are kept.
 ODD = 1 << 12
 #: Bytes of text in a block of classes that are held against others.

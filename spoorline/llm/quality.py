@@ -58,15 +58,21 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
+def counts_of(text: pa.Array) -> pa.Array:
+    """COUNTS of each text. One text at a time is taken out of Arrow, whatever the batch."""
+    found = np.array([measure(x.as_py()) for x in text], dtype=np.int64).reshape(-1, len(COUNTS))
+    return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(COUNTS))], names=COUNTS)
+
+
 def measures(docs: DataFrame, carried: list[str]) -> DataFrame:
     """One row per document: the carried columns in a struct named row, lang, source, the counts, base_failed and MEASURES. Only texts go to Python."""
-    kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
     @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
     def counted(text: pa.Array) -> pa.Array:
-        found = np.array([measure(x) for x in text.to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
-        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(COUNTS))], fields=list(kind))
+        return counts_of(text)
 
+    # Else filters are moved below and measure every text once more, in a second worker for each task.
+    counted = counted.asNondeterministic()
     m = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row"), "lang", "source", counted("text").alias("counts")).select("row", "lang", "source", "counts.*")
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return m.withColumns({

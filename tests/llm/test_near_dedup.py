@@ -1,8 +1,10 @@
 """Operator 7 against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spoorline.llm import near_dedup as nd
@@ -165,3 +167,17 @@ def test_odd_bits_never_say_more_than_the_difference():
         assert len(p) == nd.ODD // 64
         unlike = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
         assert unlike <= n // 7 + n // 5 + 1 and (n > 200 or unlike >= 0.9 * (n // 7 + n // 5))
+
+
+def test_signing_holds_little_at_a_time():
+    r = random.Random(6)
+    text = [" ".join(str(r.randrange(10**6)) for _ in range(300)).encode() for _ in range(1000)]
+    ids = pa.array(range(len(text)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(text, pa.binary())], names=["doc_id", "row_key", "text"])
+    rows = 0
+    tracemalloc.start()
+    for out in nd._signed(5, nd.band_rows(80), [batch]):
+        rows += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(text) and peak < 20 << 20

@@ -1,9 +1,11 @@
 """Operator 8: measures by brute force, sketches against exact quantiles, verdicts."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from spoorline.llm import quality
 
@@ -116,3 +118,22 @@ def test_kept_by_exact_quantiles(spark):
         else:
             assert got[i].kept == (not beyond)
     assert near < 40 and sum(not got[i].kept for i, *_ in good) >= 25
+
+
+def test_filter_measures_each_text_once_in_a_task(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", f"s{i % 2}") for i in range(20)] + [(20, "short", "en", "s0")], "doc_id long, text string, lang string, source string")
+    out = quality.quality_filter(docs)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(20))
+    # Two in a row are two workers for each task.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_counts_take_one_text_at_a_time():
+    text = pa.array(["word " * 2000] * 500)
+    tracemalloc.start()
+    found = quality.counts_of(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [dict(zip(quality.COUNTS, quality.measure("word " * 2000), strict=True))] * 500
+    assert peak < 2 << 20
+    assert len(quality.counts_of(pa.array([], pa.string()))) == 0 and quality.counts_of(pa.array([None], pa.string())).to_pylist() == [dict.fromkeys(quality.COUNTS, 0)]
